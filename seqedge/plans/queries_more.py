@@ -1,2 +1,218 @@
 """Registered queries for network, matrix, genome, token, motif, source and
 run operators (imported for its registrations)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from seqedge.operators import genome, matrix, metrics, network, ranking
+from seqedge.plans import standins as S
+from seqedge.plans.catalog import BASE_CTES, PREDICTIONS_SQL, SCORED_PAIRS_SQL, _predictions, _ranking_cte, r9, register
+from seqedge.plans.standins import with_ctes
+
+# ===================================================================== network
+
+
+def _long_genes(spark, d):
+    return genome.max_length(S.genes(spark, d), 60)
+
+
+def _tf12(spark, d):
+    return S.tf_seqs(spark, d).filter(F.length("sequence") == 12).select("tf").distinct()
+
+
+SHORT_GENES_SQL = "short_genes AS (SELECT gene, sequence FROM genes WHERE length(sequence) < 60)"
+TF12_SQL = "tf12 AS (SELECT DISTINCT tf FROM tf_seqs WHERE length(sequence) = 12)"
+RESTRICTED_SQL = """restricted AS (SELECT tf, gene FROM edges
+  WHERE gene IN (SELECT gene FROM short_genes) AND tf IN (SELECT tf FROM tf12))"""
+NET_CTES = [S.GENES_SQL, S.TF_SEQS_SQL, S.EDGES_SQL, SHORT_GENES_SQL, TF12_SQL, RESTRICTED_SQL]
+
+
+@register("network_merge", with_ctes(S.EDGES_SQL) + """
+SELECT tf, gene FROM edges
+UNION ALL
+SELECT 'T' || CAST(l_suppkey AS VARCHAR) AS tf, 'G' || CAST(l_partkey AS VARCHAR) AS gene
+FROM lineitem WHERE l_returnflag = 'R'""")
+def q_network_merge(spark, d):
+    returned = (S.table(spark, d, "lineitem").filter(F.col("l_returnflag") == "R")
+                .select(F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("tf"),
+                        F.concat(F.lit("G"), F.col("l_partkey").cast("string")).alias("gene")))
+    return network.merge(S.edges(spark, d), returned)
+
+
+def _restricted(spark, d):
+    return network.restrict(S.edges(spark, d), _long_genes(spark, d).select("gene"), _tf12(spark, d))
+
+
+@register("network_restrict", with_ctes(*NET_CTES) + "SELECT tf, gene FROM restricted")
+def q_network_restrict(spark, d):
+    return _restricted(spark, d)
+
+
+@register("network_used_sequences", with_ctes(*NET_CTES) +
+          "SELECT gene, sequence FROM short_genes WHERE gene IN (SELECT gene FROM restricted)")
+def q_network_used_sequences(spark, d):
+    return network.used_sequences(_long_genes(spark, d), _restricted(spark, d), "gene")
+
+
+@register("network_key_overlap", with_ctes(S.GENES_SQL, S.PRIOR_SQL, SHORT_GENES_SQL) + """,
+a AS (SELECT DISTINCT gene FROM prior), b AS (SELECT DISTINCT gene FROM short_genes)
+SELECT (SELECT count(*) FROM a WHERE gene IN (SELECT gene FROM b)) AS n_both,
+       (SELECT count(*) FROM a WHERE gene NOT IN (SELECT gene FROM b)) AS n_left_only,
+       (SELECT count(*) FROM b WHERE gene NOT IN (SELECT gene FROM a)) AS n_right_only""")
+def q_network_key_overlap(spark, d):
+    return network.key_overlap(S.prior(spark, d), _long_genes(spark, d), "gene")
+
+
+@register("network_to_matrix", with_ctes(*NET_CTES) +
+          "PIVOT (SELECT DISTINCT gene, tf FROM restricted) ON tf USING CAST(count(*) AS INTEGER) GROUP BY gene")
+def q_network_to_matrix(spark, d):
+    return network.to_matrix(_restricted(spark, d))
+
+
+@register("network_density", with_ctes(*NET_CTES) + """
+SELECT count(DISTINCT gene) AS n_genes, count(DISTINCT tf) AS n_tfs, count(*) AS n_ones,
+       count(DISTINCT gene) * count(DISTINCT tf) - count(*) AS n_zeros
+FROM (SELECT DISTINCT gene, tf FROM restricted) x""")
+def q_network_density(spark, d):
+    return network.density(_restricted(spark, d))
+
+
+@register("network_summary", with_ctes(S.EDGES_SQL) + """
+SELECT count(DISTINCT tf) AS n_tfs, count(DISTINCT gene) AS n_genes, count(DISTINCT (tf, gene)) AS n_edges,
+       count(*) AS n_rows FROM edges""")
+def q_network_summary(spark, d):
+    return network.summary(S.edges(spark, d))
+
+
+@register("matrix_labels", with_ctes(S.EDGES_SQL) +
+          "SELECT tf, row_number() OVER (ORDER BY tf) AS rank FROM (SELECT DISTINCT tf FROM edges) x")
+def q_matrix_labels(spark, d):
+    tfs = S.edges(spark, d).select("tf").distinct()
+    return ranking.prefix_rank(tfs, "tf", rank_col="rank")
+
+
+# ===================================================================== matrix
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def _pivot_mean(spark, d):
+    ev = S.table(spark, d, "events")
+    w = matrix.pivot_mean(ev, "user_id", "event_type", "value", EVENT_TYPES)
+    return w.select("user_id", *[r9(c).alias(c) for c in EVENT_TYPES])
+
+
+PIVOT_MEAN_SQL = "pm AS (SELECT user_id, " + ", ".join(
+    f"round(coalesce(avg(value) FILTER (WHERE event_type = '{t}'), 0.0), 9) AS {t}" for t in EVENT_TYPES) + \
+    " FROM events GROUP BY user_id)"
+
+
+@register("matrix_pivot_mean", with_ctes(PIVOT_MEAN_SQL) + "SELECT * FROM pm")
+def q_matrix_pivot_mean(spark, d):
+    return _pivot_mean(spark, d)
+
+
+@register("matrix_pivot_any", "SELECT user_id, " + ", ".join(
+    f"coalesce(max(CAST(value > 300 AS INTEGER)) FILTER (WHERE event_type = '{t}'), 0) AS {t}"
+    for t in EVENT_TYPES) + " FROM events GROUP BY user_id")
+def q_matrix_pivot_any(spark, d):
+    ev = S.table(spark, d, "events").withColumn("x", F.col("value") - 300)
+    return matrix.pivot_any(ev, "user_id", "event_type", "x", EVENT_TYPES)
+
+
+@register("matrix_melt", with_ctes(PIVOT_MEAN_SQL) +
+          "SELECT user_id, event_type, value FROM (UNPIVOT pm ON " + ", ".join(EVENT_TYPES) +
+          " INTO NAME event_type VALUE value) u")
+def q_matrix_melt(spark, d):
+    return matrix.melt(_pivot_mean(spark, d), "user_id", "event_type", "value")
+
+
+def _prior_short(spark, d):
+    return S.prior(spark, d).join(_long_genes(spark, d).select("gene"), "gene", "left_semi")
+
+
+@register("matrix_align", with_ctes(S.GENES_SQL, S.PRIOR_SQL, S.GOLD_SQL, SHORT_GENES_SQL) + """,
+a AS (SELECT * FROM prior WHERE gene IN (SELECT gene FROM short_genes)),
+rows_ AS (SELECT DISTINCT gene FROM a INTERSECT SELECT DISTINCT gene FROM gold),
+cols_ AS (SELECT DISTINCT tf FROM a INTERSECT SELECT DISTINCT tf FROM gold)
+SELECT 'pred' AS side, gene, tf, value FROM a WHERE gene IN (SELECT gene FROM rows_) AND tf IN (SELECT tf FROM cols_)
+UNION ALL
+SELECT 'gold' AS side, gene, tf, value FROM gold WHERE gene IN (SELECT gene FROM rows_) AND tf IN (SELECT tf FROM cols_)""")
+def q_matrix_align(spark, d):
+    a, b = matrix.align(_prior_short(spark, d), S.gold(spark, d))
+    return (a.select(F.lit("pred").alias("side"), "gene", "tf", "value")
+            .unionByName(b.select(F.lit("gold").alias("side"), "gene", "tf", "value")))
+
+
+@register("matrix_head_block", with_ctes(S.PRIOR_SQL) + """
+SELECT gene, tf, value FROM prior
+WHERE gene IN (SELECT DISTINCT gene FROM prior ORDER BY gene LIMIT 100)
+  AND tf IN (SELECT DISTINCT tf FROM prior ORDER BY tf LIMIT 10)""")
+def q_matrix_head_block(spark, d):
+    return matrix.head_block(S.prior(spark, d), 100, 10)
+
+
+SHARE = (1.0 - 0.99) ** 0.5
+
+
+def _sample_sql(key: str, seed: int, name: str, cut: str) -> str:
+    return f"""{name} AS (SELECT {key} FROM (SELECT {key}, row_number() OVER (ORDER BY md5('{seed}|' || {key}), {key}) AS r,
+       count(*) OVER () AS n FROM (SELECT DISTINCT {key} FROM prior) x) y WHERE r <= {cut})"""
+
+
+REFRESH_CUT = f"ceil(round(CAST('{SHARE!r}' AS DOUBLE) * n, 9))"
+
+
+@register("matrix_refresh_block", with_ctes(S.PRIOR_SQL, S.GOLD_SQL, _sample_sql("gene", 0, "rs_", REFRESH_CUT),
+                                            _sample_sql("tf", 1, "cs_", REFRESH_CUT)) + """
+SELECT p.gene, p.tf, coalesce(g.value, p.value) AS value FROM prior p
+LEFT JOIN (SELECT gene, tf, value FROM gold WHERE gene IN (SELECT gene FROM rs_) AND tf IN (SELECT tf FROM cs_)) g
+  ON p.gene = g.gene AND p.tf = g.tf""")
+def q_matrix_refresh_block(spark, d):
+    return matrix.refresh_block(S.prior(spark, d), S.gold(spark, d), 0.99, seed=0)
+
+
+@register("matrix_refresh_pairs", with_ctes(S.PRIOR_SQL, S.GOLD_SQL) + """,
+rg AS (SELECT gene, row_number() OVER (ORDER BY md5('0|' || gene), gene) AS i FROM (SELECT DISTINCT gene FROM prior) x),
+rt AS (SELECT tf, row_number() OVER (ORDER BY md5('1|' || tf), tf) AS i FROM (SELECT DISTINCT tf FROM prior) x),
+cells AS (SELECT rg.gene, rt.tf FROM rg JOIN rt ON rg.i = rt.i WHERE rg.i <= 50)
+SELECT p.gene, p.tf, coalesce(g.value, p.value) AS value FROM prior p
+LEFT JOIN (SELECT gold.* FROM gold JOIN cells ON gold.gene = cells.gene AND gold.tf = cells.tf) g
+  ON p.gene = g.gene AND p.tf = g.tf""")
+def q_matrix_refresh_pairs(spark, d):
+    return matrix.refresh_pairs(S.prior(spark, d), S.gold(spark, d), 50, seed=0)
+
+
+@register("matrix_hadamard", with_ctes(S.PRIOR_SQL, S.GOLD_SQL) +
+          "SELECT p.gene, p.tf, round(p.value * g.value * 0.5, 9) AS value FROM prior p JOIN gold g "
+          "ON p.gene = g.gene AND p.tf = g.tf")
+def q_matrix_hadamard(spark, d):
+    h = matrix.scale(matrix.hadamard(S.prior(spark, d), S.gold(spark, d)), 0.5)
+    return h.withColumn("value", r9("value"))
+
+
+@register("matrix_clip_logit_sigmoid", with_ctes(S.PRIOR_SQL) + """,
+c AS (SELECT gene, tf, CASE WHEN value IS NULL THEN NULL ELSE greatest(0.01, least(0.99, value)) END AS clipped FROM prior)
+SELECT gene, tf, round(clipped, 9) AS clipped, round(ln(clipped / (1 - clipped)), 9) AS logit,
+       round(1 / (1 + exp(-ln(clipped / (1 - clipped)))), 9) AS sigmoid FROM c""")
+def q_matrix_clip_logit_sigmoid(spark, d):
+    c = matrix.clip(S.prior(spark, d), 0.01, 0.99).withColumnRenamed("value", "clipped")
+    lg = c.withColumn("logit", F.log(F.col("clipped") / (1 - F.col("clipped"))))
+    sg = matrix.sigmoid(lg.withColumn("sigmoid", F.col("logit")), "sigmoid")
+    return sg.select("gene", "tf", r9("clipped").alias("clipped"), r9("logit").alias("logit"),
+                     r9("sigmoid").alias("sigmoid"))
+
+
+@register("metrics_auprc_vs_gold", with_ctes(*BASE_CTES, SCORED_PAIRS_SQL, PREDICTIONS_SQL, S.GOLD_SQL) + """,
+rows_ AS (SELECT DISTINCT gene FROM predictions INTERSECT SELECT DISTINCT gene FROM gold),
+cols_ AS (SELECT DISTINCT tf FROM predictions INTERSECT SELECT DISTINCT tf FROM gold),
+cells AS (SELECT coalesce(p.prediction, 0.0) AS score, coalesce(CAST(g.value >= 0.5 AS INTEGER), 0) AS label
+          FROM rows_ r CROSS JOIN cols_ c
+          LEFT JOIN predictions p ON p.gene = r.gene AND p.tf = c.tf
+          LEFT JOIN gold g ON g.gene = r.gene AND g.tf = c.tf),
+""" + _ranking_cte("cells", "score", "label") + "\nSELECT auprc, average_precision, roc_auc, n_pos, n_neg FROM rs")
+def q_metrics_auprc_vs_gold(spark, d):
+    pred = _predictions(spark, d).withColumnRenamed("prediction", "value")
+    s = metrics.auprc_vs_gold(pred, S.gold(spark, d), 0.5)
+    return s.select(*[r9(c).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
