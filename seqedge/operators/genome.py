@@ -96,8 +96,12 @@ def extract_intervals(features: DataFrame, chunks: DataFrame, chunk: int = DEFAU
     # A feature spans a bounded number of chunks, so its list is small.
     assembled = parts.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda x: x["p"]), "").alias(out))
-    # start > stop gives '' as a slice does; start <= 0 is treated as 1.
-    return features.join(assembled, keys, "left")
+    # A known contig with an empty window gives '' (as a slice does); a
+    # missing contig gives NULL. The contig list has one row per contig.
+    known = chunks.select(F.col("contig").alias(contig)).distinct().withColumn("_known", F.lit(True))
+    return (features.join(assembled, keys, "left").join(known, contig, "left")
+            .withColumn(out, F.when(F.col("_known"), F.coalesce(F.col(out), F.lit(""))))
+            .drop("_known"))
 
 
 def promoter_bounds(genes: DataFrame, lengths: DataFrame, width: int = 1000, include_tss: bool | None = None,
@@ -130,7 +134,6 @@ def promoters(genes: DataFrame, chunks: DataFrame, width: int = 1000, include_ts
     Genes on missing contigs are dropped (inner join, as the reference)."""
     b = promoter_bounds(genes, contig_lengths(chunks), width, include_tss, strand=strand)
     seqs = extract_intervals(b, chunks, chunk, start="p_start", stop="p_stop", out="_p")
-    seqs = seqs.filter(F.col("_p").isNotNull())
     return (seqs.withColumn(out, F.when(F.col(strand) == "-", reverse_complement("_p")).otherwise(F.col("_p")))
             .drop("_p", "p_start", "p_stop"))
 

@@ -216,3 +216,139 @@ def q_metrics_auprc_vs_gold(spark, d):
     pred = _predictions(spark, d).withColumnRenamed("prediction", "value")
     s = metrics.auprc_vs_gold(pred, S.gold(spark, d), 0.5)
     return s.select(*[r9(c).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+# ===================================================================== genome
+
+CHUNK = 1000
+
+
+def _chunks(spark, d):
+    return genome.chunk_contigs(S.contigs(spark, d), CHUNK)
+
+
+@register("genome_chunk_contigs", with_ctes(S.CONTIGS_SQL) + f"""
+SELECT contig, CAST(c AS INTEGER) AS chunk, CAST(c * {CHUNK} AS BIGINT) AS offset,
+       substring(seq, CAST(c * {CHUNK} + 1 AS BIGINT), {CHUNK}) AS seq
+FROM (SELECT contig, seq, unnest(range(0, CAST(greatest(ceil(length(seq) / {CHUNK}.0), 1) AS BIGINT))) AS c
+      FROM contigs) x""")
+def q_genome_chunk_contigs(spark, d):
+    return _chunks(spark, d)
+
+
+@register("genome_extract_intervals", with_ctes(S.CONTIGS_SQL, S.FEATURES_SQL) + """
+SELECT f.gene_id, f.contig, f.start, f.stop, f.strand, f.category,
+       CASE WHEN c.contig IS NULL THEN NULL ELSE substring(c.seq, f.start, f.stop - f.start + 1) END AS sequence
+FROM features f LEFT JOIN contigs c ON f.contig = c.contig""")
+def q_genome_extract_intervals(spark, d):
+    return genome.extract_intervals(S.features(spark, d), _chunks(spark, d), CHUNK)
+
+
+@register("genome_slice_closed", with_ctes(S.CONTIGS_SQL, S.FEATURES_SQL) + """
+SELECT f.gene_id, substring(c.seq, f.start, f.stop - f.start + 1) AS piece
+FROM features f JOIN contigs c ON f.contig = c.contig""")
+def q_genome_slice_closed(spark, d):
+    f = S.features(spark, d).join(S.contigs(spark, d), "contig")
+    return f.select("gene_id", genome.slice_closed("seq", "start", "stop").alias("piece"))
+
+
+def _rc_sql(x: str) -> str:
+    from seqedge.functions.dna import IUPAC_FROM, IUPAC_TO
+    return f"reverse(translate({x}, '{IUPAC_FROM}', '{IUPAC_TO}'))"
+
+
+@register("genome_promoters", with_ctes(S.CONTIGS_SQL, S.FEATURES_SQL) + f"""
+SELECT f.gene_id, f.contig, f.start, f.stop, f.strand, f.category,
+       CASE WHEN f.strand = '-'
+            THEN {_rc_sql("substring(c.seq, f.stop + 1, greatest(least(f.stop + 200, length(c.seq)) - f.stop, 0))")}
+            ELSE substring(c.seq, greatest(f.start - 199, 1), f.start - greatest(f.start - 199, 1) + 1)
+       END AS promoter_sequence
+FROM features f JOIN contigs c ON f.contig = c.contig""")
+def q_genome_promoters(spark, d):
+    return genome.promoters(S.features(spark, d), _chunks(spark, d), width=200, chunk=CHUNK)
+
+
+@register("genome_promoters_with_tss", with_ctes(S.CONTIGS_SQL, S.FEATURES_SQL) + f"""
+SELECT f.gene_id, f.contig, f.start, f.stop, f.strand, f.category,
+       CASE WHEN f.strand = '-'
+            THEN {_rc_sql("substring(c.seq, f.stop, greatest(least(f.stop + 199, length(c.seq)) - f.stop + 1, 0))")}
+            ELSE substring(c.seq, greatest(f.start - 199, 1), f.start - greatest(f.start - 199, 1) + 1)
+       END AS promoter_sequence
+FROM features f JOIN contigs c ON f.contig = c.contig""")
+def q_genome_promoters_with_tss(spark, d):
+    return genome.promoters(S.features(spark, d), _chunks(spark, d), width=200, include_tss=True, chunk=CHUNK)
+
+
+@register("genome_reverse_complement", with_ctes(S.GENES_SQL) +
+          f"SELECT gene, {_rc_sql(chr(39) + 'NWSRYKMBDHVacgtU' + chr(39) + ' || sequence')} AS rc FROM genes")
+def q_genome_reverse_complement(spark, d):
+    g = S.genes(spark, d)
+    return g.select("gene", genome.reverse_complement(F.concat(F.lit("NWSRYKMBDHVacgtU"), F.col("sequence")))
+                    .alias("rc"))
+
+
+GTF_FEATURES_SQL = """gtf_features AS (
+  SELECT 'c' || CAST(p_partkey % 7 AS VARCHAR) AS contig, p_partkey * 100 AS start,
+         p_partkey * 100 + p_size * 40 AS stop, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand,
+         CASE p_size % 3 WHEN 0 THEN 'gene' WHEN 1 THEN 'exon' ELSE 'transcript' END AS category,
+         CASE WHEN p_size % 10 = 0 THEN NULL ELSE 'G' || CAST(p_partkey AS VARCHAR) END AS gene_id
+  FROM part)"""
+
+
+def _gtf_features(spark, d):
+    p = S.table(spark, d, "part")
+    return p.select(
+        F.concat(F.lit("c"), F.pmod("p_partkey", F.lit(7)).cast("string")).alias("contig"),
+        (F.col("p_partkey") * 100).alias("start"), (F.col("p_partkey") * 100 + F.col("p_size") * 40).alias("stop"),
+        F.when(F.pmod("p_size", F.lit(2)) == 0, "+").otherwise("-").alias("strand"),
+        F.when(F.pmod("p_size", F.lit(3)) == 0, "gene").when(F.pmod("p_size", F.lit(3)) == 1, "exon")
+        .otherwise("transcript").alias("category"),
+        F.when(F.pmod("p_size", F.lit(10)) == 0, F.lit(None)).otherwise(
+            F.concat(F.lit("G"), F.col("p_partkey").cast("string"))).alias("gene_id"))
+
+
+@register("genome_feature_filters", with_ctes(GTF_FEATURES_SQL) + """
+SELECT 'chr' || contig AS contig, start, stop, strand, category, gene_id FROM gtf_features
+WHERE category = 'gene' AND contig IN ('c1', 'c2', 'c3') AND gene_id IS NOT NULL""")
+def q_genome_feature_filters(spark, d):
+    f = genome.genes_only(_gtf_features(spark, d))
+    f = genome.keep_contigs(f, ["c1", "c2", "c3"])
+    return genome.prefix_contig(genome.drop_unnamed(f))
+
+
+@register("genome_count_unnamed", with_ctes(GTF_FEATURES_SQL) +
+          "SELECT count_if(gene_id IS NULL) AS n_unnamed, count(*) AS n_rows FROM gtf_features")
+def q_genome_count_unnamed(spark, d):
+    return genome.count_unnamed(_gtf_features(spark, d))
+
+
+@register("genome_length_histogram", """
+WITH x AS (SELECT CAST(length(text) AS DOUBLE) AS x FROM documents),
+st AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 100 AS w FROM x),
+cnt AS (SELECT CAST(least(floor((x - lo) / w) + 1, 100) AS INTEGER) AS bin, count(*) AS n FROM x, st GROUP BY 1),
+bins AS (SELECT CAST(b AS INTEGER) AS bin FROM range(1, 101) t(b))
+SELECT bins.bin, round(lo + (bins.bin - 1) * w, 9) AS lo, round(lo + bins.bin * w, 9) AS hi,
+       coalesce(cnt.n, 0) AS n
+FROM bins LEFT JOIN cnt ON bins.bin = cnt.bin, st""")
+def q_genome_length_histogram(spark, d):
+    h = genome.length_histogram(S.table(spark, d, "documents"), "text", bins=100)
+    return h.select("bin", r9("lo").alias("lo"), r9("hi").alias("hi"), "n")
+
+
+@register("genome_length_split", """
+SELECT count_if(length(text) < 12000) AS n_under, count_if(length(text) >= 12000) AS n_over,
+       round(count_if(length(text) < 12000) / count(*), 9) AS share_under,
+       round(count_if(length(text) >= 12000) / count(*), 9) AS share_over FROM documents""")
+def q_genome_length_split(spark, d):
+    s = genome.length_split(S.table(spark, d, "documents"), 12000, "text")
+    return s.select("n_under", "n_over", r9("share_under").alias("share_under"),
+                    r9("share_over").alias("share_over"))
+
+
+@register("genome_sequences_from_features", with_ctes(S.CONTIGS_SQL, S.FEATURES_SQL) + """
+SELECT f.gene_id, f.contig, f.start, f.stop, f.strand, f.category,
+       substring(c.seq, f.start, f.stop - f.start + 1) AS sequence
+FROM features f JOIN contigs c ON f.contig = c.contig
+WHERE length(substring(c.seq, f.start, f.stop - f.start + 1)) < 2000""")
+def q_genome_sequences_from_features(spark, d):
+    return genome.sequences_from_features(S.features(spark, d), S.contigs(spark, d), CHUNK, bound=2000)
