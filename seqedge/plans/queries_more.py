@@ -352,3 +352,236 @@ FROM features f JOIN contigs c ON f.contig = c.contig
 WHERE length(substring(c.seq, f.start, f.stop - f.start + 1)) < 2000""")
 def q_genome_sequences_from_features(spark, d):
     return genome.sequences_from_features(S.features(spark, d), S.contigs(spark, d), CHUNK, bound=2000)
+
+
+# ===================================================================== tokens
+
+from seqedge.operators import motifs, tokens  # noqa: E402
+from seqedge.plans.catalog import _pairs  # noqa: E402
+
+
+def _ids_str(col):
+    return F.array_join(F.col(col).cast("array<string>"), " ")
+
+
+def _token_id_sql(x: str, k: int = 6) -> str:
+    single = tokens.KMER_BASE + 4 ** k
+    singles = " ".join(f"WHEN {x} = '{b}' THEN {single + i}" for i, b in enumerate(tokens.SINGLE_BASES))
+    code = f"list_reduce(list_transform(string_split({x}, ''), lambda ch: instr('ACGT', ch) - 1), lambda a, b: a * 4 + b)"
+    return (f"CASE WHEN {x} = '<cls>' THEN {tokens.CLS_ID} WHEN length({x}) = {k} THEN {tokens.KMER_BASE} + {code} "
+            f"{singles} ELSE {tokens.UNK_ID} END")
+
+
+TOKENS_SQL = f"""toks AS (
+  SELECT gene, tf, tf_dna,
+         ([3] || list_transform(regexp_extract_all(gene_dna || '<cls>' || tf_dna, '(<cls>|[ACGT]{{6}}|.)', 1),
+                                lambda x: {_token_id_sql('x')}))[1:32] AS ids FROM pairs)"""
+
+
+def _tokens(spark, d, padding):
+    p = _pairs(spark, d).withColumn("formatted_inputs", tokens.format_pair("gene_dna", "tf_dna"))
+    return tokens.tokenize(p, k=6, max_length=32, padding=padding).select(
+        "gene", "tf", "tf_dna", "input_ids", "attention_mask")
+
+
+@register("tokens_tokenize", with_ctes(*BASE_CTES, TOKENS_SQL) + """
+SELECT gene, tf, tf_dna, array_to_string(list_resize(ids, 32, 1), ' ') AS input_ids,
+       array_to_string(list_resize(list_transform(ids, lambda x: 1), 32, 0), ' ') AS attention_mask FROM toks""")
+def q_tokens_tokenize(spark, d):
+    t = _tokens(spark, d, padding=True)
+    return t.select("gene", "tf", "tf_dna", _ids_str("input_ids").alias("input_ids"),
+                    _ids_str("attention_mask").alias("attention_mask"))
+
+
+@register("tokens_remove_padding", with_ctes(*BASE_CTES, TOKENS_SQL) + """
+SELECT gene, tf, tf_dna, array_to_string(ids, ' ') AS input_ids,
+       array_to_string(list_transform(ids, lambda x: 1), ' ') AS attention_mask FROM toks""")
+def q_tokens_remove_padding(spark, d):
+    t = tokens.remove_padding(_tokens(spark, d, padding=True))
+    return t.select("gene", "tf", "tf_dna", _ids_str("input_ids").alias("input_ids"),
+                    _ids_str("attention_mask").alias("attention_mask"))
+
+
+@register("tokens_collate", with_ctes(*BASE_CTES, TOKENS_SQL) + """,
+b AS (SELECT *, max(len(ids)) OVER (PARTITION BY gene) AS n FROM toks)
+SELECT gene, tf, tf_dna, array_to_string(list_resize(ids, n, 1), ' ') AS input_ids,
+       array_to_string(list_resize(list_transform(ids, lambda x: 1), n, 0), ' ') AS attention_mask FROM b""")
+def q_tokens_collate(spark, d):
+    t = tokens.collate(_tokens(spark, d, padding=False), "gene")
+    return t.select("gene", "tf", "tf_dna", _ids_str("input_ids").alias("input_ids"),
+                    _ids_str("attention_mask").alias("attention_mask"))
+
+
+def _cache(spark, d):
+    return tokens.build_cache(_tokens(spark, d, padding=True))
+
+
+def _seqs_str(col="seqs"):
+    return F.array_join(F.transform(col, lambda s: F.array_join(s["input_ids"].cast("array<string>"), " ")), ";")
+
+
+@register("tokens_build_cache", with_ctes(*BASE_CTES, TOKENS_SQL) + """
+SELECT gene, tf, CAST(count(*) AS INTEGER) AS n_seqs,
+       array_to_string(list_transform(list_sort(list(ids)), lambda s: array_to_string(s, ' ')), ';') AS seqs
+FROM toks GROUP BY gene, tf""")
+def q_tokens_build_cache(spark, d):
+    c = _cache(spark, d)
+    return c.select("gene", "tf", F.size("seqs").alias("n_seqs"), _seqs_str().alias("seqs"))
+
+
+@register("tokens_lookup", with_ctes(*BASE_CTES, TOKENS_SQL, S.EDGES_SQL) + """
+SELECT e.gene, e.tf, array_to_string(t.ids, ' ') AS input_ids
+FROM (SELECT DISTINCT gene, tf FROM edges) e JOIN toks t ON e.gene = t.gene AND e.tf = t.tf""")
+def q_tokens_lookup(spark, d):
+    lk = tokens.lookup(S.edges(spark, d).distinct(), _cache(spark, d))
+    return lk.select("gene", "tf", _ids_str("input_ids").alias("input_ids"))
+
+
+@register("tokens_merge_cache", with_ctes(*BASE_CTES, TOKENS_SQL) + """,
+c0 AS (SELECT gene, tf, list_sort(list(ids)) AS seqs FROM toks GROUP BY gene, tf),
+c1 AS (SELECT gene, tf, list_sort(list(ids[1:8])) AS seqs FROM toks t JOIN pairs p USING (gene, tf, tf_dna)
+       WHERE p.interaction = 1 GROUP BY gene, tf)
+SELECT c0.gene, c0.tf, array_to_string(list_transform(coalesce(c1.seqs, c0.seqs), lambda s: array_to_string(s, ' ')), ';') AS seqs
+FROM c0 LEFT JOIN c1 ON c0.gene = c1.gene AND c0.tf = c1.tf""")
+def q_tokens_merge_cache(spark, d):
+    t = _tokens(spark, d, padding=False)
+    part0 = tokens.build_cache(t)
+    pos = t.join(_pairs(spark, d).filter(F.col("interaction") == 1).select("gene", "tf", "tf_dna"),
+                 ["gene", "tf", "tf_dna"], "left_semi")
+    part1 = tokens.build_cache(pos.withColumn("input_ids", F.slice("input_ids", 1, 8))
+                               .withColumn("attention_mask", F.slice("attention_mask", 1, 8)))
+    m = tokens.merge_cache([part0, part1], mode="dict")
+    return m.select("gene", "tf", _seqs_str().alias("seqs"))
+
+
+# ===================================================================== motifs
+
+PWM_SQL = """pwm AS (
+  SELECT motif_id, pos, a / (a + c + g + t) AS A, c / (a + c + g + t) AS C, g / (a + c + g + t) AS G,
+         t / (a + c + g + t) AS T
+  FROM (SELECT 'M' || CAST(vec_id AS VARCHAR) AS motif_id, CAST(p AS INTEGER) AS pos,
+               abs(CAST(embedding[4 * p - 3] AS DOUBLE)) AS a, abs(CAST(embedding[4 * p - 2] AS DOUBLE)) AS c,
+               abs(CAST(embedding[4 * p - 1] AS DOUBLE)) AS g, abs(CAST(embedding[4 * p] AS DOUBLE)) AS t
+        FROM (SELECT vec_id, embedding, unnest(range(1, 17)) AS p FROM embeddings) x) y)"""
+
+
+def _pwm(spark, d):
+    e = S.table(spark, d, "embeddings").select("vec_id", "embedding",
+                                               F.explode(F.sequence(F.lit(1), F.lit(16))).alias("p"))
+    el = {b: F.abs(F.element_at("embedding", F.col("p") * 4 - (3 - i)).cast("double"))
+          for i, b in enumerate(["a", "c", "g", "t"])}
+    tot = el["a"] + el["c"] + el["g"] + el["t"]
+    return e.select(F.concat(F.lit("M"), F.col("vec_id").cast("string")).alias("motif_id"),
+                    F.col("p").cast("int").alias("pos"),
+                    *[(el[b.lower()] / tot).alias(b) for b in ["A", "C", "G", "T"]])
+
+
+CODE_CASE = " ".join(f"WHEN b1 || b2 = '{k}' OR b2 || b1 = '{k}' THEN '{v}'" for k, v in motifs.PAIR_CODES.items())
+
+
+@register("motifs_summarize", with_ctes(PWM_SQL) + f""",
+lng AS (SELECT motif_id, pos, base, p FROM (UNPIVOT pwm ON A, C, G, T INTO NAME base VALUE p) u),
+rk AS (SELECT *, row_number() OVER (PARTITION BY motif_id, pos ORDER BY p DESC, base) AS r FROM lng),
+top AS (SELECT motif_id, pos, max(CASE WHEN r = 1 THEN base END) AS b1, max(CASE WHEN r = 1 THEN p END) AS p1,
+               max(CASE WHEN r = 2 THEN base END) AS b2, max(CASE WHEN r = 2 THEN p END) AS p2,
+               sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0.0 END) AS h FROM rk GROUP BY motif_id, pos),
+ch AS (SELECT *, CASE WHEN p1 > 0.5 AND p1 > 2 * p2 THEN b1 WHEN p1 + p2 > 0.75 THEN CASE {CODE_CASE} END
+                      ELSE 'N' END AS c FROM top)
+SELECT motif_id, round(sum(2.0 - h), 9) AS Information_Content, round(sum(h), 9) AS Shannon_Entropy,
+       CAST(count(*) AS INTEGER) AS Length, string_agg(c, '' ORDER BY pos) AS Consensus
+FROM ch GROUP BY motif_id""")
+def q_motifs_summarize(spark, d):
+    s = motifs.summarize(_pwm(spark, d))
+    return s.select("motif_id", r9("Information_Content").alias("Information_Content"),
+                    r9("Shannon_Entropy").alias("Shannon_Entropy"), "Length", "Consensus")
+
+
+@register("motifs_group_sequences", with_ctes(S.TF_SEQS_SQL) +
+          "SELECT tf, array_to_string(list_sort(list(DISTINCT sequence)), ',') AS sequences FROM tf_seqs GROUP BY tf")
+def q_motifs_group_sequences(spark, d):
+    g = motifs.group_sequences(S.tf_seqs(spark, d), distinct=True)
+    return g.select("tf", F.array_join("sequences", ",").alias("sequences"))
+
+
+@register("motifs_group_sequences_all", with_ctes(S.TF_SEQS_SQL) +
+          "SELECT tf, array_to_string(list_sort(list(sequence)), ',') AS sequences FROM tf_seqs GROUP BY tf")
+def q_motifs_group_sequences_all(spark, d):
+    g = motifs.group_sequences(S.tf_seqs(spark, d), distinct=False)
+    return g.select("tf", F.array_join("sequences", ",").alias("sequences"))
+
+
+TARGETS_SQL = """targets AS (
+  SELECT 'T' || CAST(l_suppkey AS VARCHAR) AS TF, string_agg(DISTINCT 'G' || CAST(l_partkey AS VARCHAR), ', ') AS gene_ids
+  FROM lineitem GROUP BY l_suppkey)"""
+
+
+def _targets(spark, d):
+    li = S.table(spark, d, "lineitem")
+    return li.groupBy("l_suppkey").agg(
+        F.concat_ws(", ", F.collect_set(F.concat(F.lit("G"), F.col("l_partkey").cast("string")))).alias("gene_ids")
+    ).select(F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("TF"), "gene_ids")
+
+
+def _proxy(spark, d):
+    prom = S.genes(spark, d).select(F.col("gene").alias("gene_id"), F.col("sequence").alias("promoter_sequence"))
+    return motifs.proxy_sequences(_targets(spark, d), prom)
+
+
+PROXY_SQL = """proxy AS (
+  SELECT t.TF, g.gene AS Gene_ID, g.sequence AS Promoter_Sequence
+  FROM (SELECT TF, trim(unnest(string_split(gene_ids, ','))) AS gid FROM targets) t JOIN genes g ON t.gid = g.gene)"""
+
+
+@register("motifs_proxy_sequences", with_ctes(S.GENES_SQL, TARGETS_SQL, PROXY_SQL) +
+          "SELECT TF, Gene_ID, Promoter_Sequence FROM proxy")
+def q_motifs_proxy_sequences(spark, d):
+    return _proxy(spark, d)
+
+
+@register("motifs_concat_sequences", with_ctes(S.GENES_SQL, TARGETS_SQL, PROXY_SQL) +
+          "SELECT TF, string_agg(Promoter_Sequence, ', ' ORDER BY Gene_ID) AS Promoter_Sequence FROM proxy GROUP BY TF")
+def q_motifs_concat_sequences(spark, d):
+    return motifs.concat_sequences(_proxy(spark, d), "TF", "Promoter_Sequence", "Gene_ID")
+
+
+INFO_SQL = """info AS (
+  SELECT p_brand AS TF_Name, 'T' || CAST(p_partkey AS VARCHAR) AS DBID,
+         'M' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS Motif_ID FROM part)"""
+
+
+def _info(spark, d):
+    p = S.table(spark, d, "part")
+    return p.select(F.col("p_brand").alias("TF_Name"),
+                    F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("DBID"),
+                    F.concat(F.lit("M"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("Motif_ID"))
+
+
+@register("motifs_attach_ids", with_ctes(INFO_SQL) + """
+SELECT m.name AS TF_Name, m.n, d.DBID FROM
+  (SELECT p_brand || CASE WHEN p_size > 25 THEN '' ELSE 'x' END AS name, count(*) AS n FROM part GROUP BY 1) m
+LEFT JOIN (SELECT TF_Name, arg_min(DBID, Motif_ID) AS DBID FROM info GROUP BY TF_Name) d ON m.name = d.TF_Name""")
+def q_motifs_attach_ids(spark, d):
+    p = S.table(spark, d, "part")
+    names = p.groupBy(F.concat("p_brand", F.when(F.col("p_size") > 25, "").otherwise("x")).alias("TF_Name")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    return motifs.attach_ids(names, _info(spark, d)).select("TF_Name", "n", "DBID")
+
+
+@register("motifs_combine", with_ctes(PWM_SQL, INFO_SQL) + """
+SELECT motif_id AS Motif_ID, NULL AS Motif_Name, round(sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END), 9) AS Shannon_Entropy,
+       CAST(count(DISTINCT pos) AS INTEGER) AS Length, NULL AS DBID
+FROM (UNPIVOT pwm ON A, C, G, T INTO NAME base VALUE p) u GROUP BY motif_id
+UNION ALL
+SELECT Motif_ID, upper(DBID) AS Motif_Name, NULL, NULL, upper(TF_Name) AS DBID FROM info
+UNION ALL
+SELECT 'R' || CAST(r_regionkey AS VARCHAR), r_name, NULL, NULL, NULL FROM region""")
+def q_motifs_combine(spark, d):
+    cols = ["Motif_ID", "Motif_Name", "Shannon_Entropy", "Length", "DBID"]
+    summ = motifs.summarize(_pwm(spark, d)).select(F.col("motif_id").alias("Motif_ID"),
+                                                   r9("Shannon_Entropy").alias("Shannon_Entropy"), "Length")
+    info = motifs.normalize_ids(_info(spark, d).withColumnRenamed("TF_Name", "Motif_Name"), ["Motif_Name", "DBID"])
+    info = motifs.swap_id_columns(info, "Motif_Name", "DBID")
+    manual = S.table(spark, d, "region").select(
+        F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("Motif_ID"),
+        F.col("r_name").alias("Motif_Name"))
+    return motifs.add_manual(motifs.combine(summ, info, columns=cols), manual)
