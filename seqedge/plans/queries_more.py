@@ -585,3 +585,107 @@ def q_motifs_combine(spark, d):
         F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("Motif_ID"),
         F.col("r_name").alias("Motif_Name"))
     return motifs.add_manual(motifs.combine(summ, info, columns=cols), manual)
+
+
+# ===================================================================== sources and sinks (round trips)
+
+from seqedge.sources import readers, writers  # noqa: E402
+
+
+@register("io_gtf_roundtrip", with_ctes(GTF_FEATURES_SQL) +
+          "SELECT contig, start, stop, strand, category, gene_id FROM gtf_features")
+def q_io_gtf_roundtrip(spark, d):
+    f = _gtf_features(spark, d)
+    attrs = F.when(F.col("gene_id").isNull(), F.lit('gene_biotype "unnamed";')).otherwise(
+        F.concat(F.lit('gene_id "'), F.col("gene_id"), F.lit('"; gene_name "n'), F.col("gene_id"), F.lit('";')))
+    line = F.concat_ws("\t", "contig", F.lit("src"), "category", F.col("start").cast("string"),
+                       F.col("stop").cast("string"), F.lit("."), "strand", F.lit("."), attrs)
+    header = spark.range(5).select(F.concat(F.lit("#!header line "), F.col("id").cast("string")).alias("value"))
+    path = writers.scratch_path(spark, "gtf")
+    header.unionByName(f.select(line.alias("value"))).write.text(path)
+    return readers.read_gtf(spark, path, "gene_id")
+
+
+FASTA_SQL = f"""fasta AS (
+  SELECT 'c' || CAST(s_suppkey AS VARCHAR) AS contig,
+         string_agg({S._dna_sql("'c' || CAST(s_suppkey AS VARCHAR) || '-' || CAST(i AS VARCHAR)")}, '' ORDER BY i) AS seq
+  FROM (SELECT s_suppkey, unnest(range(0, 10)) AS i FROM supplier) x GROUP BY s_suppkey)"""
+
+
+@register("io_fasta_roundtrip", with_ctes(FASTA_SQL) + """
+SELECT contig, CAST(c AS INTEGER) AS chunk, CAST(c * 100 AS BIGINT) AS offset,
+       substring(seq, CAST(c * 100 + 1 AS BIGINT), 100) AS seq
+FROM (SELECT contig, seq, unnest(range(0, CAST(ceil(length(seq) / 100.0) AS BIGINT))) AS c FROM fasta) x""")
+def q_io_fasta_roundtrip(spark, d):
+    from seqedge.functions.dna import dna_from_key
+    s = S.table(spark, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    block = dna_from_key(F.concat(F.lit("c"), F.col("s_suppkey").cast("string"), F.lit("-"), F.col("i").cast("string")))
+    seqs = s.groupBy("s_suppkey").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", block.alias("b")))), lambda x: x["b"]), "").alias("seq"))
+    wrapped = F.regexp_replace(F.col("seq"), "(.{60})", "$1\n")
+    rec = F.concat(F.lit(">c"), F.col("s_suppkey").cast("string"), F.lit(" stand-in contig\n"), wrapped)
+    path = writers.scratch_path(spark, "fasta")
+    seqs.select(rec.alias("value")).write.text(path)
+    return readers.read_fasta(spark, path, chunk=100)
+
+
+@register("io_matrix_roundtrip", with_ctes(S.PRIOR_SQL) + "SELECT gene, tf, value FROM prior WHERE value <> 0")
+def q_io_matrix_roundtrip(spark, d):
+    path = writers.scratch_path(spark, "matrix")
+    writers.write_wide(S.prior(spark, d), path)
+    return readers.read_matrix(spark, path).filter(F.col("value") != 0)
+
+
+@register("io_edges_roundtrip", with_ctes(S.EDGES_SQL) + "SELECT tf, gene FROM edges")
+def q_io_edges_roundtrip(spark, d):
+    path = writers.scratch_path(spark, "edges")
+    S.edges(spark, d).select(F.col("tf").alias("Gene1"), F.col("gene").alias("Gene2")) \
+        .write.option("header", True).csv(path)
+    return readers.read_edges(spark, path)
+
+
+@register("io_tsv_roundtrip", with_ctes(S.GENES_SQL) + "SELECT gene, sequence FROM genes")
+def q_io_tsv_roundtrip(spark, d):
+    path = writers.scratch_path(spark, "tsv")
+    writers.write_tsv(S.genes(spark, d), path)
+    return readers.read_tsv(spark, path, "gene STRING, sequence STRING")
+
+
+@register("io_jsonl_roundtrip", with_ctes(*BASE_CTES, SCORED_PAIRS_SQL, PREDICTIONS_SQL) +
+          "SELECT gene, tf, prediction FROM predictions")
+def q_io_jsonl_roundtrip(spark, d):
+    pred = _predictions(spark, d).select(F.col("gene").alias("gene_id"), F.col("tf").alias("DBID"), "prediction")
+    path = writers.scratch_path(spark, "jsonl")
+    # two appends, as shards from two inference jobs
+    writers.write_jsonl(pred.filter(F.col("prediction") >= 0.5), path)
+    writers.write_jsonl(pred.filter(F.col("prediction") < 0.5), path)
+    return readers.read_predictions(spark, path)
+
+
+@register("io_summary_roundtrip", with_ctes(S.SCORED_SQL, _ranking_cte("scored", "score", "label")) +
+          "SELECT roc_auc, best_f1, best_threshold, auprc, average_precision, n_pos, n_neg FROM rs")
+def q_io_summary_roundtrip(spark, d):
+    from seqedge.plans.catalog import QUERIES
+    path = writers.scratch_path(spark, "summary")
+    writers.write_summary(QUERIES["metrics_ranking_summary"](spark, d), path)
+    return spark.read.schema("roc_auc DOUBLE, best_f1 DOUBLE, best_threshold DOUBLE, auprc DOUBLE, "
+                             "average_precision DOUBLE, n_pos BIGINT, n_neg BIGINT").json(path)
+
+
+@register("io_materialize", with_ctes(*BASE_CTES) + "SELECT gene, gene_dna, tf, tf_dna, interaction FROM pairs")
+def q_io_materialize(spark, d):
+    path = writers.scratch_path(spark, "pairs")
+    first = writers.materialize(_pairs(spark, d), path)
+    # a second call finds the output and skips the work (mode 'ignore')
+    return writers.materialize(_pairs(spark, d).limit(0), path).select(*first.columns)
+
+
+@register("io_token_cache_roundtrip", with_ctes(*BASE_CTES, TOKENS_SQL) + """
+SELECT gene, tf, CAST(count(*) AS INTEGER) AS n_seqs,
+       array_to_string(list_transform(list_sort(list(ids)), lambda s: array_to_string(s, ' ')), ';') AS seqs
+FROM toks GROUP BY gene, tf""")
+def q_io_token_cache_roundtrip(spark, d):
+    path = writers.scratch_path(spark, "cache")
+    tokens.write_cache(_cache(spark, d), path, max_records_per_file=10000)
+    c = tokens.load_tokens(spark, path)
+    return c.select("gene", "tf", F.size("seqs").alias("n_seqs"), _seqs_str().alias("seqs"))
