@@ -689,3 +689,79 @@ def q_io_token_cache_roundtrip(spark, d):
     tokens.write_cache(_cache(spark, d), path, max_records_per_file=10000)
     c = tokens.load_tokens(spark, path)
     return c.select("gene", "tf", F.size("seqs").alias("n_seqs"), _seqs_str().alias("seqs"))
+
+
+# ===================================================================== runs
+
+from seqedge.operators import runs, scoring  # noqa: E402
+
+
+@register("runs_best", """
+SELECT event_type, arg_max(user_id, (m, user_id)) AS user_id, max(m) AS m
+FROM (SELECT event_type, user_id, round(avg(value) / 500, 9) AS m FROM events GROUP BY event_type, user_id) x
+GROUP BY event_type""")
+def q_runs_best(spark, d):
+    ev = S.table(spark, d, "events").groupBy("event_type", "user_id").agg(r9(F.avg("value") / 500).alias("m"))
+    return runs.best(ev, "m", run="user_id", by=["event_type"])
+
+
+@register("runs_latest", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def q_runs_latest(spark, d):
+    return runs.latest(S.table(spark, d, "events"), "user_id", "ts", "event_id")
+
+
+@register("runs_next_threshold", """
+SELECT user_id, arg_max(value / 500, event_id) AS next_threshold FROM events GROUP BY user_id""")
+def q_runs_next_threshold(spark, d):
+    log = S.table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"),
+                                             (F.col("value") / 500).alias("best_threshold"))
+    return runs.next_threshold(log, by=["user_id"])
+
+
+@register("runs_round_seed", """
+SELECT user_id, r AS round,
+       CAST(CAST('0x' || substr(md5(CAST(user_id AS VARCHAR) || '|' || CAST(r AS VARCHAR)), 1, 8) AS BIGINT)
+            % 2147483648 AS BIGINT) AS seed
+FROM (SELECT DISTINCT user_id FROM events) u, range(0, 3) t(r)""")
+def q_runs_round_seed(spark, d):
+    u = S.table(spark, d, "events").select("user_id").distinct()
+    u = u.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("round"))
+    return u.select("user_id", F.col("round").cast("bigint").alias("round"),
+                    runs.round_seed(F.col("user_id"), F.col("round")).alias("seed"))
+
+
+@register("runs_flatten_options", """
+SELECT event_id, 'event_type=' || event_type || ',ids.user_id=' || CAST(user_id AS VARCHAR)
+       || ',ids.event_id=' || CAST(event_id AS VARCHAR) AS options FROM events""")
+def q_runs_flatten_options(spark, d):
+    ev = S.table(spark, d, "events").select(
+        "event_id", F.struct("event_type", F.struct("user_id", "event_id").alias("ids")).alias("cfg"))
+    f = runs.flatten_options(ev, "cfg")
+    return f.select("event_id", F.array_join("options", ",").alias("options"))
+
+
+def _scorer(p):
+    return scoring.kmer_overlap(p, k=4)
+
+
+@register("runs_iterate")
+def q_runs_iterate(spark, d):
+    return runs.iterate(spark, S.prior(spark, d), S.genes(spark, d), S.tf_seqs(spark, d), _scorer,
+                        n_rounds=2, threshold=0.5, gold=S.gold(spark, d))
+
+
+# ===================================================================== user models
+
+@register("score_pairs_model", with_ctes(*BASE_CTES, SCORED_PAIRS_SQL) +
+          "SELECT gene, tf, tf_dna, round(score, 9) AS score FROM scored_pairs")
+def q_score_pairs_model(spark, d):
+    s = scoring.score_pairs(_pairs(spark, d), lambda: scoring.KmerShareModel(k=4), keys=("gene", "tf", "tf_dna"))
+    return s.select("gene", "tf", "tf_dna", r9("score").alias("score"))
+
+
+@register("score_edge_classifier")
+def q_score_edge_classifier(spark, d):
+    p = _pairs(spark, d)
+    model = scoring.fit_edge_classifier(p, k=3, num_features=1 << 10, class_weights=(0.3, 1.0),
+                                        label="interaction", max_iter=10)
+    return scoring.predict_edges(model, p, k=3).select("gene", "tf", "tf_dna", "interaction", "score")
