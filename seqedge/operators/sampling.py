@@ -102,11 +102,8 @@ def even_class_batches(df: DataFrame, batch_size: int, drop_last: bool, label: s
     if batch_size % 2 != 0:
         raise ValueError(f"even_class_batches needs an even batch size, got {batch_size}")
     half = batch_size // 2
-    base = df.select(F.col(id_col).alias("_id"), (F.col(label) > 0).cast("int").alias("_y"))
-    key = F.col(order).cast("string") if order else order_key(seed, "_id")
-    base = base.withColumn("_ok", key)
-    if order:
-        base = base.withColumn("_ok", F.lpad(F.col("_ok"), 20, "0"))
+    key = F.lpad(F.col(order).cast("string"), 20, "0") if order else order_key(seed, F.col(id_col))
+    base = df.select(F.col(id_col).alias("_id"), (F.col(label) > 0).cast("int").alias("_y"), key.alias("_ok"))
     counts = {r["_y"]: r["n"] for r in base.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n = counts.get(1, 0), counts.get(0, 0)
     small_y = 0 if n < p else 1  # positives are the cycled side when sizes tie
