@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,14 +79,19 @@ def prefix_rank(df: DataFrame, key: str, by: Sequence[str] = (), ties: Sequence[
 
 def select_first_n(df: DataFrame, key: str, target: Callable[[Column], Column],
                    by: Sequence[str] = (), ties: Sequence[str] = (), flag_col: str = "selected",
-                   digits: int = 4, small_groups: bool = True) -> DataFrame:
+                   digits: int = 4, small_groups: bool = True, cache_input: bool = True) -> DataFrame:
     """Flag the first ``target(group_total)`` rows of each ``by`` group in
     ``key`` order (exact size, reproducible).
 
     Only the rows of the one bucket per group that straddles the cut are
     numbered; every other row is decided by its bucket's offset, so the bulk
-    of the data never goes through a sort.
+    of the data never goes through a sort or a shuffle. The input is read
+    twice (bucket counts, then flags); ``cache_input`` persists it (memory
+    and disk, rebuilt from lineage if an executor is lost) so an expensive
+    upstream plan runs once.
     """
+    if cache_input:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     d, counts = _prefix_counts(df, key, by, digits)
     counts = (counts.withColumn("_se_cut", target(F.col("_se_total")).cast("bigint"))
               .withColumn("_se_state",

@@ -765,3 +765,11 @@ def q_score_edge_classifier(spark, d):
     model = scoring.fit_edge_classifier(p, k=3, num_features=1 << 10, class_weights=(0.3, 1.0),
                                         label="interaction", max_iter=10)
     return scoring.predict_edges(model, p, k=3).select("gene", "tf", "tf_dna", "interaction", "score")
+
+
+@register("metrics_class_distribution", """
+SELECT vec_id, array_to_string([round(1 - label / 9.0, 9), round(label / 9.0, 9)], ' ') AS dist FROM embeddings""")
+def q_metrics_class_distribution(spark, d):
+    from seqedge.functions.arrays import class_distribution
+    e = S.table(spark, d, "embeddings").select("vec_id", class_distribution(F.col("label") / 9.0).alias("a"))
+    return e.select("vec_id", F.array_join(F.transform("a", lambda x: F.round(x, 9).cast("string")), " ").alias("dist"))
