@@ -379,8 +379,7 @@ TOKENS_SQL = f"""toks AS (
 
 
 def _tokens(spark, d, padding):
-    p = _pairs(spark, d).withColumn("formatted_inputs", tokens.format_pair("gene_dna", "tf_dna"))
-    return tokens.tokenize(p, k=6, max_length=32, padding=padding).select(
+    return tokens.tokenize_pairs(_pairs(spark, d), k=6, max_length=32, padding=padding).select(
         "gene", "tf", "tf_dna", "input_ids", "attention_mask")
 
 
