@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqedge.functions.arrays import array_sum, pad_to
@@ -119,11 +119,14 @@ def remove_padding(df: DataFrame, ids: str = "input_ids", mask: str = "attention
 def collate(df: DataFrame, batch: str, ids: str = "input_ids", mask: str = "attention_mask",
             pad_id: int = PAD_ID) -> DataFrame:
     """Within each batch, pad or cut every row to the longest real length
-    (the largest ``sum(mask)`` in the batch). A batch is bounded by the batch
-    size, so the per-batch window is small."""
+    (the largest ``sum(mask)`` in the batch).
+
+    The per-batch maximum is a partial aggregate joined back on the batch key
+    (not a window), so a batch key holding many rows is reduced map-side and
+    its join partition can be split by AQE."""
     real = array_sum(mask).cast("int")
-    n = F.max(real).over(Window.partitionBy(batch))
-    return (df.withColumn("_n", n)
+    widths = df.groupBy(batch).agg(F.max(real).alias("_n"))
+    return (df.join(widths, batch)
             .withColumn(ids, pad_to(ids, F.col("_n"), pad_id))
             .withColumn(mask, pad_to(mask, F.col("_n"), 0)).drop("_n"))
 
