@@ -383,9 +383,9 @@ def q_sample_keep_last(spark, d):
     return k.select(F.md5("text").alias("text_md5"), "doc_id", "lang", "source")
 
 
-@register("sample_cap", "SELECT event_id, ts, value FROM events ORDER BY value DESC, event_id LIMIT 1000")
+@register("sample_cap", "SELECT event_id, user_id, value FROM events ORDER BY value DESC, event_id LIMIT 1000")
 def q_sample_cap(spark, d):
-    ev = S.table(spark, d, "events").select("event_id", "ts", "value")
+    ev = S.table(spark, d, "events").select("event_id", "user_id", "value")
     return sampling.cap(ev, 1000, [F.col("value").desc(), F.col("event_id")])
 
 

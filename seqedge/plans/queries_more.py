@@ -772,3 +772,18 @@ def q_metrics_class_distribution(spark, d):
     from seqedge.functions.arrays import class_distribution
     e = S.table(spark, d, "embeddings").select("vec_id", class_distribution(F.col("label") / 9.0).alias("a"))
     return e.select("vec_id", F.array_join(F.transform("a", lambda x: F.round(x, 9).cast("string")), " ").alias("dist"))
+
+
+@register("io_pwm_roundtrip")
+def q_io_pwm_roundtrip(spark, d):
+    """S7 + A23: PWM tables written one folder per motif, read back, summarized."""
+    path = writers.scratch_path(spark, "pwm")
+    _pwm(spark, d).write.partitionBy("motif_id").option("sep", "\t").option("header", True).csv(path)
+    s = motifs.summarize(readers.read_pwms(spark, path, layout="partitioned"))
+    return s.select("motif_id", r9("Information_Content").alias("Information_Content"),
+                    r9("Shannon_Entropy").alias("Shannon_Entropy"), "Length", "Consensus")
+
+
+from seqedge.plans.catalog import ORACLE as _ORACLE  # noqa: E402
+
+_ORACLE["io_pwm_roundtrip"] = _ORACLE["motifs_summarize"]
