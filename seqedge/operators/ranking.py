@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 _B = "_se_bucket"
+_S = "_se_slice"
+# A score bucket with at least this many distinct scores (and over 1/64 of
+# them) is split a second time.
+HEAVY_BUCKET_ROWS = 65536
 
 
 def order_key(seed, *cols) -> Column:
@@ -62,19 +66,63 @@ def _attach(d: DataFrame, counts: DataFrame, by: Sequence[str], small_groups: bo
     return d.join(side, [*by, _B])
 
 
+_COPIES = "_se_copies"
+_POS = "_se_pos"
+# Copies are regenerated in three levels of at most 2**16 items each, so no
+# generated array is larger than 65,536 entries (up to 2**48 copies).
+_L1, _L2 = 1 << 32, 1 << 16
+
+
+def _orderable(df: DataFrame, exclude: Sequence[str]) -> list[str]:
+    return [c for c, t in df.dtypes if c not in exclude and not t.startswith("map")]
+
+
+def _with_copies(df: DataFrame) -> DataFrame:
+    """Distinct rows with their number of copies. A partial aggregate, so a
+    group of identical rows (even a third of the input) is counted map-side
+    and never lands in one task as rows."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(_COPIES))
+
+
+def _regenerate(df: DataFrame) -> DataFrame:
+    """One row per copy again, with ``_se_pos`` = 0-based copy number."""
+    c = F.col(_COPIES).cast("bigint")
+    lvl1 = df.withColumn("_se_k1", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((c - 1) / _L1))))
+    lvl1 = lvl1.withColumn("_se_n1", F.least(F.lit(_L1), c - F.col("_se_k1") * _L1))
+    lvl2 = lvl1.withColumn("_se_k2", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                          F.floor((F.col("_se_n1") - 1) / _L2))))
+    lvl2 = lvl2.withColumn("_se_n2", F.least(F.lit(_L2), F.col("_se_n1") - F.col("_se_k2") * _L2))
+    lvl3 = lvl2.select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("_se_n2").cast("int")))
+                       .alias("_se_k3", "_se_z"))
+    pos = F.col("_se_k1") * _L1 + F.col("_se_k2") * _L2 + F.col("_se_k3")
+    return lvl3.withColumn(_POS, pos).drop("_se_k1", "_se_n1", "_se_k2", "_se_n2", "_se_k3", "_se_z")
+
+
 def prefix_rank(df: DataFrame, key: str, by: Sequence[str] = (), ties: Sequence[str] = (),
                 rank_col: str = "rank", digits: int = 4, small_groups: bool = True) -> DataFrame:
     """1-based row number of each row ordered by the string ``key``
-    (then ``ties``), restarting for each ``by`` group.
-
-    Equal to ``row_number() over (partition by by order by key, ties)`` but
-    computed as bucket offset + number inside the bucket.
+    (then ``ties``, then the remaining columns), restarting for each ``by``
+    group.
+
+    Equal to ``row_number() over (partition by by order by key, ties, ...)``
+    but computed as bucket offset + running count inside the bucket. Identical
+    rows are first collapsed to one row with a copy count (so a hot group of
+    copies costs one row in the windows) and regenerated at the end with
+    consecutive ranks.
     """
-    d, counts = _prefix_counts(df, key, by, digits)
-    joined = _attach(d, counts.select(*by, _B, "_se_before"), by, small_groups)
-    w = Window.partitionBy(*by, _B).orderBy(F.col(key), *[F.col(t) for t in ties])
-    return (joined.withColumn(rank_col, F.col("_se_before") + F.row_number().over(w))
-            .drop(_B, "_se_before"))
+    cols = df.columns
+    m = _with_copies(df).withColumn(_B, F.substring(F.col(key), 1, digits))
+    counts = m.groupBy(*by, _B).agg(F.sum(_COPIES).alias("_se_n"))
+    w_before = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, _B, F.coalesce(F.sum("_se_n").over(w_before), F.lit(0)).cast("bigint")
+                           .alias("_se_before"))
+    joined = _attach(m, counts, by, small_groups)
+    order = [F.col(key), *[F.col(t) for t in ties],
+             *[F.col(c) for c in _orderable(df, [key, *by, *ties])]]
+    w = Window.partitionBy(*by, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_se_before") + F.coalesce(F.sum(_COPIES).over(w), F.lit(0))
+    ranked = _regenerate(joined.withColumn("_se_start", start))
+    return ranked.select(*cols, (F.col("_se_start") + F.col(_POS) + 1).cast("bigint").alias(rank_col))
 
 
 def select_first_n(df: DataFrame, key: str, target: Callable[[Column], Column],
@@ -84,12 +132,15 @@ def select_first_n(df: DataFrame, key: str, target: Callable[[Column], Column],
     ``key`` order (exact size, reproducible).
 
     Only the rows of the one bucket per group that straddles the cut are
-    numbered; every other row is decided by its bucket's offset, so the bulk
-    of the data never goes through a sort or a shuffle. The input is read
-    twice (bucket counts, then flags); ``cache_input`` persists it (memory
-    and disk, rebuilt from lineage if an executor is lost) so an expensive
-    upstream plan runs once.
+    ordered; every other row is decided by its bucket's offset, so the bulk
+    of the data never goes through a sort or a shuffle. In the straddling
+    bucket identical rows are collapsed to a copy count before the window and
+    regenerated after it, so a hot group of copies is never sorted in one
+    task. The input is read twice (bucket counts, then flags);
+    ``cache_input`` persists it (memory and disk, rebuilt from lineage if an
+    executor is lost) so an expensive upstream plan runs once.
     """
+    cols = df.columns
     if cache_input:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     d, counts = _prefix_counts(df, key, by, digits)
@@ -101,11 +152,17 @@ def select_first_n(df: DataFrame, key: str, target: Callable[[Column], Column],
               .select(*by, _B, "_se_before", "_se_cut", "_se_state"))
     joined = _attach(d, counts, by, small_groups)
     decided = (joined.filter(F.col("_se_state") < 2)
-               .withColumn(flag_col, F.col("_se_state") == 1))
-    w = Window.partitionBy(*by, _B).orderBy(F.col(key), *[F.col(t) for t in ties])
-    edge = (joined.filter(F.col("_se_state") == 2)
-            .withColumn(flag_col, F.col("_se_before") + F.row_number().over(w) <= F.col("_se_cut")))
-    return decided.unionByName(edge).drop(_B, "_se_before", "_se_cut", "_se_state")
+               .select(*cols, (F.col("_se_state") == 1).alias(flag_col)))
+    edge_rows = joined.filter(F.col("_se_state") == 2).drop("_se_state")
+    m = _with_copies(edge_rows)
+    order = [F.col(key), *[F.col(t) for t in ties],
+             *[F.col(c) for c in _orderable(df, [key, *by, *ties])]]
+    w = Window.partitionBy(*by, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_se_before") + F.coalesce(F.sum(_COPIES).over(w), F.lit(0))
+    take = F.least(F.greatest(F.col("_se_cut") - before, F.lit(0)), F.col(_COPIES))
+    edge = _regenerate(m.withColumn("_se_take", take))
+    edge = edge.select(*cols, (F.col(_POS) < F.col("_se_take")).alias(flag_col))
+    return decided.unionByName(edge)
 
 
 def batch_no(rank, batch_size: int) -> Column:
@@ -149,14 +206,30 @@ def running_totals(groups: DataFrame, score: str, sums: Sequence[str], descendin
         rel = (F.lit(float(hi)) - s) / F.lit(span) if descending else (s - F.lit(float(lo))) / F.lit(span)
         bucket = F.least(F.greatest(F.floor(rel * F.lit(n_buckets)), F.lit(0)), F.lit(n_buckets - 1))
     g = groups.withColumn(_B, bucket.cast("int"))
-    totals = g.groupBy(_B).agg(*[F.sum(c).alias("_t_" + c) for c in sums])
-    # At most n_buckets rows: a bounded table, ordered once and broadcast.
-    w_all = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_B, *[F.coalesce(F.sum("_t_" + c).over(w_all), F.lit(0)).alias("_o_" + c)
-                                  for c in sums])
+    # Second level: a bucket holding more than 1/64 of the distinct scores
+    # (and at least HEAVY_BUCKET_ROWS of them) is sliced again over its own
+    # range, so clustered scores do not end up in one window partition. At
+    # most 64 buckets can be heavy: the (bucket, slice) table stays bounded
+    # by 65 * n_buckets rows.
+    st1 = g.groupBy(_B).agg(F.count(F.lit(1)).alias("_n1"), F.min(score).alias("_lo1"),
+                            F.max(score).alias("_hi1"))
+    st1 = st1.withColumn("_heavy", (F.col("_n1") > F.greatest(F.sum("_n1").over(Window.partitionBy()) / 64,
+                                                             F.lit(HEAVY_BUCKET_ROWS)))
+                         & (F.col("_hi1") > F.col("_lo1")))
+    lo1, hi1 = F.col("_lo1").cast("double"), F.col("_hi1").cast("double")
+    rel2 = (hi1 - s) / (hi1 - lo1) if descending else (s - lo1) / (hi1 - lo1)
+    sub = F.when(F.col("_heavy"), F.least(F.greatest(F.floor(rel2 * F.lit(n_buckets)), F.lit(0)),
+                                          F.lit(n_buckets - 1))).otherwise(F.lit(0))
+    g = (g.join(F.broadcast(st1.select(_B, "_heavy", "_lo1", "_hi1")), _B)
+         .withColumn(_S, sub.cast("int")).drop("_heavy", "_lo1", "_hi1"))
+    totals = g.groupBy(_B, _S).agg(*[F.sum(c).alias("_t_" + c) for c in sums])
+    # At most 65 * n_buckets rows: a bounded table, ordered once and broadcast.
+    w_all = Window.orderBy(_B, _S).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_B, _S, *[F.coalesce(F.sum("_t_" + c).over(w_all), F.lit(0)).alias("_o_" + c)
+                                      for c in sums])
     order = F.col(score).desc() if descending else F.col(score).asc()
-    w_in = Window.partitionBy(_B).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = g.join(F.broadcast(offsets), _B)
+    w_in = Window.partitionBy(_B, _S).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = g.join(F.broadcast(offsets), [_B, _S])
     for c in sums:
         out = out.withColumn(c + suffix, (F.col("_o_" + c) + F.sum(c).over(w_in)).cast("bigint"))
-    return out.drop(_B, *["_o_" + c for c in sums])
+    return out.drop(_B, _S, *["_o_" + c for c in sums])

@@ -73,3 +73,28 @@ def test_keep_first_handles_hot_key(spark):
     df = spark.createDataFrame(rows, "k string, v int").repartition(8)
     out = {r["k"]: r["v"] for r in sampling.keep_first(df, ["k"], ["v"]).collect()}
     assert out["hot"] == 0 and len(out) == 601
+
+
+def test_copies_holding_a_third_of_rows(spark):
+    # 300 identical rows + 600 distinct ones: ranks stay 1..900 and exact
+    # samples keep their size although the copies share one order key.
+    rows = [("dup", 0)] * 300 + [(f"k{i}", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, v int").withColumn("o", ranking.order_key(5, "k", "v"))
+    ranks = sorted(r["rank"] for r in ranking.prefix_rank(df, "o", digits=1).collect())
+    assert ranks == list(range(1, 901))
+    for share in (0.1, 0.5, 0.9):
+        f = ranking.select_first_n(df, "o", lambda t, s=share: F.floor(t * s), digits=1)
+        assert f.filter("selected").count() == int(900 * share) and f.count() == 900
+
+
+def test_running_totals_split_clustered_scores(spark, monkeypatch):
+    # most distinct scores sit in a tiny range: the heavy bucket is sliced
+    # again and the running sums still equal a global window
+    monkeypatch.setattr(ranking, "HEAVY_BUCKET_ROWS", 10)
+    vals = [(1000.0 + i * 1e-6, 1, 0) for i in range(400)] + [(float(i), 0, 1) for i in range(50)]
+    g = spark.createDataFrame(vals, "score double, pos long, neg long")
+    ours = {r["score"]: (r["pos_cum"], r["neg_cum"]) for r in ranking.running_totals(g, "score", ["pos", "neg"], n_buckets=8).collect()}
+    w = Window.orderBy(F.col("score").desc())
+    ref = {r["score"]: (r["a"], r["b"]) for r in g.select("score", F.sum("pos").over(w).alias("a"),
+                                                         F.sum("neg").over(w).alias("b")).collect()}
+    assert ours == ref
