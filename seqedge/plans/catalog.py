@@ -81,7 +81,7 @@ def q_pairs_missing_report(spark, d):
 
 
 @register("pairs_gene_counts", with_ctes(S.PRIOR_SQL) + """
-SELECT gene, count_if(value >= 0.5) AS n_interactions, count_if(value < 0.5) AS n_non_interactions
+SELECT gene, count(*) FILTER (WHERE value >= 0.5) AS n_interactions, count(*) FILTER (WHERE value < 0.5) AS n_non_interactions
 FROM prior WHERE value IS NOT NULL GROUP BY gene""")
 def q_pairs_gene_counts(spark, d):
     return pairs.gene_counts(S.prior(spark, d), 0.5)
@@ -213,8 +213,8 @@ def q_metrics_roc_curve(spark, d):
     return c.select("threshold", r9("fpr").alias("fpr"), r9("tpr").alias("tpr"))
 
 
-CONFUSION_SQL = """cm AS (SELECT count_if(label = 1 AND yhat = 1) AS tp, count_if(label = 0 AND yhat = 1) AS fp,
-                    count_if(label = 0 AND yhat = 0) AS tn, count_if(label = 1 AND yhat = 0) AS fn
+CONFUSION_SQL = """cm AS (SELECT count(*) FILTER (WHERE label = 1 AND yhat = 1) AS tp, count(*) FILTER (WHERE label = 0 AND yhat = 1) AS fp,
+                    count(*) FILTER (WHERE label = 0 AND yhat = 0) AS tn, count(*) FILTER (WHERE label = 1 AND yhat = 0) AS fn
              FROM (SELECT label, CAST(score >= 0.5 AS INTEGER) AS yhat FROM scored) x)"""
 
 
@@ -265,8 +265,8 @@ def q_metrics_mcc(spark, d):
 
 
 @register("metrics_null_audit", """
-SELECT count_if(value IS NULL OR isnan(value)) AS value_missing, count_if(props IS NULL) AS props_missing,
-       count_if(user_id IS NULL) AS user_id_missing FROM events""")
+SELECT count(*) FILTER (WHERE value IS NULL OR isnan(value)) AS value_missing, count(*) FILTER (WHERE props IS NULL) AS props_missing,
+       count(*) FILTER (WHERE user_id IS NULL) AS user_id_missing FROM events""")
 def q_metrics_null_audit(spark, d):
     return metrics.null_audit(S.table(spark, d, "events"), ["value", "props", "user_id"])
 
@@ -298,8 +298,8 @@ def q_metrics_weighted_log_loss(spark, d):
 
 
 @register("metrics_report", with_ctes(EMB_SQL, _ranking_cte("prob", "p1", "y"), """cm AS (
-  SELECT count_if(y = 1 AND p1 >= t) AS tp, count_if(y = 0 AND p1 >= t) AS fp,
-         count_if(y = 0 AND p1 < t) AS tn, count_if(y = 1 AND p1 < t) AS fn,
+  SELECT count(*) FILTER (WHERE y = 1 AND p1 >= t) AS tp, count(*) FILTER (WHERE y = 0 AND p1 >= t) AS fp,
+         count(*) FILTER (WHERE y = 0 AND p1 < t) AS tn, count(*) FILTER (WHERE y = 1 AND p1 < t) AS fn,
          max(roc_auc) AS roc_auc, max(best_f1) AS best_f1, max(t) AS best_threshold
   FROM prob, (SELECT thr_raw AS t, roc_auc, best_f1 FROM rs) r)""") +
     _report_sql("cm").replace("FROM cm", f""", round(roc_auc, 9) AS roc_auc, {MCC_SQL} AS matthews_corrcoef,
@@ -392,7 +392,7 @@ def q_sample_cap(spark, d):
 EVEN_SQL = """
 WITH base AS (SELECT CAST(doc_id AS VARCHAR) AS id, CAST(quality > 0 AS INTEGER) AS y,
                      md5('11|' || CAST(doc_id AS VARCHAR)) AS k FROM labels),
-cnt AS (SELECT count_if(y = 1) AS p, count_if(y = 0) AS n FROM base),
+cnt AS (SELECT count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n FROM base),
 side AS (SELECT CASE WHEN n < p THEN 0 ELSE 1 END AS small_y,
                 CASE WHEN n < p THEN n ELSE p END AS m, CASE WHEN n < p THEN p ELSE n END AS big FROM cnt),
 ranked AS (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY k, id) - 1 AS r FROM base),

@@ -317,7 +317,7 @@ def q_genome_feature_filters(spark, d):
 
 
 @register("genome_count_unnamed", with_ctes(GTF_FEATURES_SQL) +
-          "SELECT count_if(gene_id IS NULL) AS n_unnamed, count(*) AS n_rows FROM gtf_features")
+          "SELECT count(*) FILTER (WHERE gene_id IS NULL) AS n_unnamed, count(*) AS n_rows FROM gtf_features")
 def q_genome_count_unnamed(spark, d):
     return genome.count_unnamed(_gtf_features(spark, d))
 
@@ -336,9 +336,9 @@ def q_genome_length_histogram(spark, d):
 
 
 @register("genome_length_split", """
-SELECT count_if(length(text) < 12000) AS n_under, count_if(length(text) >= 12000) AS n_over,
-       round(count_if(length(text) < 12000) / count(*), 9) AS share_under,
-       round(count_if(length(text) >= 12000) / count(*), 9) AS share_over FROM documents""")
+SELECT count(*) FILTER (WHERE length(text) < 12000) AS n_under, count(*) FILTER (WHERE length(text) >= 12000) AS n_over,
+       round(count(*) FILTER (WHERE length(text) < 12000) / count(*), 9) AS share_under,
+       round(count(*) FILTER (WHERE length(text) >= 12000) / count(*), 9) AS share_over FROM documents""")
 def q_genome_length_split(spark, d):
     s = genome.length_split(S.table(spark, d, "documents"), 12000, "text")
     return s.select("n_under", "n_over", r9("share_under").alias("share_under"),
