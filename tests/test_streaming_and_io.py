@@ -67,3 +67,17 @@ def test_merge_cache_modes(spark, mode, expected):
     p1 = spark.createDataFrame([("a", "t", [([9], [1])])], schema)
     got = {r["gene"]: [s["input_ids"] for s in r["seqs"]] for r in tokens.merge_cache([p0, p1], mode).collect()}
     assert got == expected
+
+
+def test_materialize_replaces_partial_output(spark, scratch):
+    from seqedge.sources import writers
+
+    path = os.path.join(scratch, "out")
+    os.makedirs(path)
+    open(os.path.join(path, "part-garbage.txt"), "w").write("x")   # a failed run's leftovers
+    assert not writers.is_committed(spark, path)
+    df = spark.range(5)
+    assert writers.materialize(df, path).count() == 5
+    assert writers.is_committed(spark, path)
+    # a committed output is reused, not rewritten
+    assert writers.materialize(spark.range(50), path).count() == 5
