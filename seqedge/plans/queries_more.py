@@ -787,3 +787,42 @@ def q_io_pwm_roundtrip(spark, d):
 from seqedge.plans.catalog import ORACLE as _ORACLE  # noqa: E402
 
 _ORACLE["io_pwm_roundtrip"] = _ORACLE["motifs_summarize"]
+
+
+# ===================================================================== end-to-end flows
+
+from seqedge.plans import flows  # noqa: E402
+
+
+def _md5_ids(seed: int, alias: str = "") -> str:
+    a = f"{alias}." if alias else ""
+    return f"md5('{seed}|' || {a}gene || '|' || {a}tf || '|' || {a}tf_dna), {a}gene, {a}tf, {a}tf_dna"
+
+
+@register("flow_training_set", with_ctes(*BASE_CTES, TOKENS_SQL) + f""",
+s AS (SELECT p.gene, p.tf, p.tf_dna, p.interaction, t.ids,
+             CASE WHEN row_number() OVER (ORDER BY {_md5_ids(0, 'p')}) <= floor(count(*) OVER () * 0.8)
+                  THEN 'train' ELSE 'dev' END AS split
+      FROM pairs p JOIN toks t ON p.gene = t.gene AND p.tf = t.tf AND p.tf_dna = t.tf_dna),
+neg AS (SELECT *, row_number() OVER (ORDER BY {_md5_ids(1)}) AS r, count(*) OVER () AS n
+        FROM s WHERE split = 'train' AND interaction = 0),
+dev AS (SELECT *, row_number() OVER (ORDER BY {_md5_ids(2)}) AS r FROM s WHERE split = 'dev')
+SELECT gene, tf, tf_dna, interaction, split, array_to_string(ids, ' ') AS input_ids FROM s
+WHERE split = 'train' AND interaction > 0
+UNION ALL
+SELECT gene, tf, tf_dna, interaction, split, array_to_string(ids, ' ') FROM neg WHERE r <= floor(n * 0.3)
+UNION ALL
+SELECT gene, tf, tf_dna, interaction, split, array_to_string(ids, ' ') FROM dev WHERE r <= 5000""")
+def q_flow_training_set(spark, d):
+    t = flows.training_set(S.prior(spark, d), S.genes(spark, d), S.tf_seqs(spark, d), threshold=0.5,
+                           train_prop=0.8, downsample_rate=0.3, seed=0, k=6, max_length=32, max_eval=5000)
+    return t.select("gene", "tf", "tf_dna", "interaction", "split", _ids_str("input_ids").alias("input_ids"))
+
+
+@register("flow_inference", with_ctes(*BASE_CTES, SCORED_PAIRS_SQL, PREDICTIONS_SQL) +
+          "SELECT gene, tf, prediction FROM predictions")
+def q_flow_inference(spark, d):
+    path = writers.scratch_path(spark, "inference")
+    p = flows.inference(S.edges(spark, d), S.genes(spark, d), S.tf_seqs(spark, d), path, n_shards=4,
+                        scorer=lambda x: scoring.kmer_overlap(x, k=4))
+    return p.select("gene", "tf", r9("prediction").alias("prediction"))
