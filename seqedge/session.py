@@ -48,7 +48,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     only read it. When it is unset (local tests) a fresh scratch folder is
     created and registered so ``DataFrame.checkpoint()`` works.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext; the session conf names the folder
+        sc = None
+    if sc is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        return path or tempfile.mkdtemp(prefix="seqedge-ckpt-")
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="seqedge-ckpt-")
