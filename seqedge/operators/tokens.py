@@ -88,16 +88,18 @@ def tokenize_pairs(pairs: DataFrame, k: int = 6, max_length: int | None = None,
     TF sequences are tokenized as distinct rows (partial aggregation
     dedupes them before the shuffle) and joined back by id, so a 12 kb gene
     in thousands of pairs is tokenized once. Equal to ``tokenize`` on
-    ``format_pair``.
+    ``format_pair``; the ``gene_dna`` column is dropped from the output.
     """
     g = (pairs.select(gene, gene_dna).distinct()
          .withColumn("_gids", sequence_ids(gene_dna, k)).drop(gene_dna))
     t = (pairs.select(tf, tf_dna).distinct()
          .withColumn("_tids", sequence_ids(tf_dna, k)))
-    # No eager size check here: both sides come out of an aggregation, so AQE
-    # sees their real size after the shuffle and switches to a broadcast join
-    # only when a side is under its threshold.
-    j = pairs.join(g, gene).join(t, [tf, tf_dna])
+    # The pair rows drop the gene sequence before the joins (the reference
+    # drops the raw columns after tokenizing too): only ids cross the shuffle,
+    # never a 12 kb string per pair. No eager size check: both sides come out
+    # of an aggregation, so AQE sees their real size and broadcasts a side
+    # only when it is under its threshold.
+    j = pairs.drop(gene_dna).join(g, gene).join(t, [tf, tf_dna])
     head = F.array(F.lit(CLS_ID)) if add_cls else F.array().cast("array<int>")
     ids = F.concat(head, F.col("_gids"), F.array(F.lit(CLS_ID)), F.col("_tids"))
     out = j.withColumn("input_ids", ids).drop("_gids", "_tids")

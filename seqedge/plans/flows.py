@@ -61,8 +61,10 @@ def inference(candidates: DataFrame, gene_seq: DataFrame, tf_seq: DataFrame, out
     """
     score = scorer or (lambda p: scoring.kmer_overlap(p, k=6))
     genes = pairs.unique_genes(gene_seq)
-    listed = pairs.listed(candidates.select("gene", "tf").distinct(), tf_seq).join(genes, "gene")
-    sharded = pairs.shard(listed, "gene", n_shards, seed=seed)
+    listed = pairs.listed(candidates.select("gene", "tf").distinct(), tf_seq)
+    # Shard on keys first; the gene sequence joins last, right before scoring,
+    # so no shuffle carries it per pair.
+    sharded = pairs.shard(listed, "gene", n_shards, seed=seed).join(genes, "gene")
     pred = scoring.mean_by_pair(score(sharded), keys=("shard", "gene", "tf"))
     out = pred.select("shard", F.col("gene").alias("gene_id"), F.col("tf").alias("DBID"), "prediction")
     out.write.mode("overwrite").partitionBy("shard").json(out_path)

@@ -207,6 +207,7 @@ def q_matrix_clip_logit_sigmoid(spark, d):
 @register("metrics_auprc_vs_gold", with_ctes(*BASE_CTES, SCORED_PAIRS_SQL, PREDICTIONS_SQL, S.GOLD_SQL) + """,
 rows_ AS (SELECT DISTINCT gene FROM predictions INTERSECT SELECT DISTINCT gene FROM gold),
 cols_ AS (SELECT DISTINCT tf FROM predictions INTERSECT SELECT DISTINCT tf FROM gold),
+-- oracle only: the dense block built by brute force, to check the grid-free Spark version
 cells AS (SELECT coalesce(p.prediction, 0.0) AS score, coalesce(CAST(g.value >= 0.5 AS INTEGER), 0) AS label
           FROM rows_ r CROSS JOIN cols_ c
           LEFT JOIN predictions p ON p.gene = r.gene AND p.tf = c.tf
