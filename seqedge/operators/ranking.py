@@ -233,3 +233,9 @@ def running_totals(groups: DataFrame, score: str, sums: Sequence[str], descendin
     for c in sums:
         out = out.withColumn(c + suffix, (F.col("_o_" + c) + F.sum(c).over(w_in)).cast("bigint"))
     return out.drop(_B, _S, *["_o_" + c for c in sums])
+
+
+def global_rank(df: DataFrame, key: str, by: Sequence[str] = (), ties: Sequence[str] = (),
+                rank_col: str = "rank", digits: int = 4) -> DataFrame:
+    """W6 under its planned name: see ``prefix_rank``."""
+    return prefix_rank(df, key, by=by, ties=ties, rank_col=rank_col, digits=digits)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqedge.functions.arrays import array_sum, pad_to
+from seqedge.functions.arrays import array_sum, pad_to  # noqa: F401  (F6, re-exported)
 from seqedge.functions.arrays import remove_padding as _remove_padding
 from seqedge.operators.sampling import keep_last
 
