@@ -26,6 +26,9 @@ _S = "_se_slice"
 # A score bucket with at least this many distinct scores (and over 1/64 of
 # them) is split a second time.
 HEAVY_BUCKET_ROWS = 65536
+# Pre-aggregated tables (distinct scores) up to this many rows, when their
+# size is known, take running sums in a single ordered window.
+SMALL_TABLE_ROWS = 1 << 18
 
 
 def order_key(seed, *cols) -> Column:
@@ -184,7 +187,8 @@ def tie_groups(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def running_totals(groups: DataFrame, score: str, sums: Sequence[str], descending: bool = True,
-                   n_buckets: int = 4096, suffix: str = "_cum", bounds: tuple | None = None) -> DataFrame:
+                   n_buckets: int = 4096, suffix: str = "_cum", bounds: tuple | None = None,
+                   n_rows: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` along ``score`` order.
 
     ``groups`` must have one row per distinct score (see ``tie_groups``).
@@ -192,6 +196,12 @@ def running_totals(groups: DataFrame, score: str, sums: Sequence[str], descendin
     ``n_buckets`` rows) give each bucket's offset, and a window partitioned by
     bucket adds the part inside the bucket.
     """
+    order = F.col(score).desc() if descending else F.col(score).asc()
+    if n_rows is not None and n_rows <= SMALL_TABLE_ROWS:
+        # A table known to be this small is ordered in one window: cheaper
+        # than the bucket stages, and bounded by SMALL_TABLE_ROWS.
+        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return groups.select("*", *[F.sum(c).over(w).cast("bigint").alias(c + suffix) for c in sums])
     if bounds is None:
         stats = groups.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()
         bounds = (stats["lo"], stats["hi"])
@@ -227,7 +237,6 @@ def running_totals(groups: DataFrame, score: str, sums: Sequence[str], descendin
     w_all = Window.orderBy(_B, _S).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(_B, _S, *[F.coalesce(F.sum("_t_" + c).over(w_all), F.lit(0)).alias("_o_" + c)
                                       for c in sums])
-    order = F.col(score).desc() if descending else F.col(score).asc()
     w_in = Window.partitionBy(_B, _S).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = g.join(F.broadcast(offsets), [_B, _S])
     for c in sums:
