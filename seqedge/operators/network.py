@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +58,13 @@ def to_matrix(edges: DataFrame, gene: str = "gene", tf: str = "tf", columns: lis
     """Wide 0/1 matrix, one row per gene with an edge, one column
     per TF in sorted order. Pass ``columns`` to fix the schema (and skip the
     distinct job)."""
-    cols = columns if columns is not None else labels(edges, tf)
-    wide = ones(edges, gene, tf).groupBy(gene).pivot(tf, cols).agg(F.count(F.lit(1)).cast("int"))
+    e = ones(edges, gene, tf)
+    if columns is None:
+        # the label list and the pivot both read the distinct edges: persist
+        # them (memory and disk) so the upstream plan runs once
+        e = e.persist(StorageLevel.MEMORY_AND_DISK)
+    cols = columns if columns is not None else labels(e, tf)
+    wide = e.groupBy(gene).pivot(tf, cols).agg(F.count(F.lit(1)).cast("int"))
     return wide.fillna(0, subset=cols)
 
 
