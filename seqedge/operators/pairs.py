@@ -91,7 +91,7 @@ def shard(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     joined back, so rows of one key always land in one shard.
     """
     keys = df.select(key).distinct().withColumn("_ok", order_key(seed, key))
-    ranked = prefix_rank(keys, "_ok", ties=[key], rank_col="_r")
+    ranked = prefix_rank(keys, "_ok", ties=[key], rank_col="_r", collapse_copies=False)
     n = keys.count()
     size = max(1, -(-n // k))
     shards = ranked.select(key, batch_no("_r", size).alias("shard"))

@@ -102,7 +102,8 @@ def _regenerate(df: DataFrame) -> DataFrame:
 
 
 def prefix_rank(df: DataFrame, key: str, by: Sequence[str] = (), ties: Sequence[str] = (),
-                rank_col: str = "rank", digits: int = 4, small_groups: bool = True) -> DataFrame:
+                rank_col: str = "rank", digits: int = 4, small_groups: bool = True,
+                collapse_copies: bool = True) -> DataFrame:
     """1-based row number of each row ordered by the string ``key``
     (then ``ties``, then the remaining columns), restarting for each ``by``
     group.
@@ -111,10 +112,12 @@ def prefix_rank(df: DataFrame, key: str, by: Sequence[str] = (), ties: Sequence[
     but computed as bucket offset + running count inside the bucket. Identical
     rows are first collapsed to one row with a copy count (so a hot group of
     copies costs one row in the windows) and regenerated at the end with
-    consecutive ranks.
+    consecutive ranks. Callers whose rows are distinct already (a table of
+    distinct keys) pass ``collapse_copies=False`` and save that aggregation.
     """
     cols = df.columns
-    m = _with_copies(df).withColumn(_B, F.substring(F.col(key), 1, digits))
+    base = _with_copies(df) if collapse_copies else df.withColumn(_COPIES, F.lit(1).cast("bigint"))
+    m = base.withColumn(_B, F.substring(F.col(key), 1, digits))
     counts = m.groupBy(*by, _B).agg(F.sum(_COPIES).alias("_se_n"))
     w_before = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*by, _B, F.coalesce(F.sum("_se_n").over(w_before), F.lit(0)).cast("bigint")
@@ -124,7 +127,10 @@ def prefix_rank(df: DataFrame, key: str, by: Sequence[str] = (), ties: Sequence[
              *[F.col(c) for c in _orderable(df, [key, *by, *ties])]]
     w = Window.partitionBy(*by, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_se_before") + F.coalesce(F.sum(_COPIES).over(w), F.lit(0))
-    ranked = _regenerate(joined.withColumn("_se_start", start))
+    joined = joined.withColumn("_se_start", start)
+    if not collapse_copies:
+        return joined.select(*cols, (F.col("_se_start") + 1).cast("bigint").alias(rank_col))
+    ranked = _regenerate(joined)
     return ranked.select(*cols, (F.col("_se_start") + F.col(_POS) + 1).cast("bigint").alias(rank_col))
 
 
@@ -248,3 +254,4 @@ def global_rank(df: DataFrame, key: str, by: Sequence[str] = (), ties: Sequence[
                 rank_col: str = "rank", digits: int = 4) -> DataFrame:
     """W6 under its planned name: see ``prefix_rank``."""
     return prefix_rank(df, key, by=by, ties=ties, rank_col=rank_col, digits=digits)
+
