@@ -5,7 +5,7 @@ order here: shingles whose hash lies in the lowest ``REGION`` of all hashes come
 
 1. Texts become sets of 64-bit shingle hashes; equal sets (copies) become one.
 2. Document frequencies are counted for each set's lowest hashes only. A set keeps its prefix elements that another
-   set also has; sets without one have no partner and are done.
+   set also has; sets without one have no partner and are done. So are those of which less than t occurs elsewhere.
 3. Sets with the same prefix and size form a group, checked against its leader; members that fail leave it.
 4. Groups meet over (prefix element, size band). Only groups in different components meet, in rounds: each list's pivot
    first, then every group outside the list's largest component, so the near copies of one text cost one check each
@@ -29,7 +29,7 @@ SHINGLE, PERCENT = 5, 80
 REGION = 0.25
 LOW = int(REGION * 2**64) - 2**63
 #: Pivots of a list in one round after the first.
-PIVOTS = 64
+PIVOTS = 512
 CHUNK = 2 << 20
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64) + np.uint64(1)
@@ -170,6 +170,16 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return mine.withColumn("slots", slots.cast("int")).filter("slots > 0").select("s", "n", F.expr("transform(slice(p, 1, slots), x -> x.h)").alias("p"))
 
 
+def peeled(full: DataFrame, percent: int) -> DataFrame:
+    """The sets (s, x) that share so many elements with any others that a partner is possible: a partner holds
+    ``percent`` of a set, so as many of its elements occur in at least two sets. This drops what only has a passage in
+    common with others."""
+    full = cut(full, "candidate-sets")
+    shared = full.select(F.explode("x").alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
+    mine = full.select("s", F.size("x").alias("n"), F.explode("x").alias("h")).join(shared, "h", "left_semi").groupBy("s", "n").agg(F.count("*").alias("c"))
+    return full.join(mine.filter(100 * F.col("c") >= percent * F.col("n")).select("s"), "s", "left_semi")
+
+
 def needed_sql(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
@@ -193,7 +203,8 @@ def links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     wanted = cut(grouped.join(some, "g", "left_semi").select("s", "g", "n", "p"), "candidates")
     reps = sets.join(wanted.select("s"), "s", "left_semi").select("rep").distinct()
     texts = docs.join(reps, F.col("key").eqNullSafe(F.col("rep")), "left_semi")
-    full = cut(full_sets(texts).join(wanted.select("s"), "s", "left_semi").groupBy("s").agg(F.first("x").alias("x")), "sets")
+    full = cut(peeled(full_sets(texts).join(wanted.select("s"), "s", "left_semi").groupBy("s").agg(F.first("x").alias("x")), percent), "sets")
+    wanted = wanted.join(full.select("s"), "s", "left_semi").withColumn("g", F.min("s").over(by_prefix))
 
     # 3. members against their leaders; who fails is a group of its own
     star = cut(linked(wanted.filter("s <> g").select(F.col("g").alias("a"), F.col("s").alias("b")), full, percent), "links")
@@ -203,41 +214,41 @@ def links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     entries = nodes.filter("s = g").select("g", "n", band(F.col("n"), percent).alias("band"), F.explode("p").alias("h")).withColumn(
         "k", F.explode(F.array("band", F.col("band") + 1))).select("g", "n", "h", "k", (F.col("band") == F.col("k")).alias("own"))
     spread = cut(entries, "entries")
+    member = nodes.select("g", F.col("s").alias("m"))
+    many = nodes.groupBy("g").agg(F.count("*").alias("members")).filter("members > 1").select("g")
     found, first = star.select("a", "b"), True
     while True:
+        # Components so far. A list whose groups are all in one is done for good.
         if first:
             labelled = spread.withColumn("c", F.col("g"))
         else:
-            labels = components(found)
+            labels = cut(components(found), "labels")
+            found = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
             labelled = spread.join(labels.withColumnRenamed("node", "g"), "g", "left").withColumn("c", F.coalesce("component", "g")).drop("component")
         open_ = labelled.groupBy("h", "k").agg(F.mode("c").alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("any")).filter("lo < hi and any")
         alive = cut(labelled.join(open_.select("h", "k", "most"), ["h", "k"]), "lists")
-        rank = F.row_number().over(Window.partitionBy("h", "k").orderBy("g"))
         # The first round takes each list's smallest group, mostly the same one in all lists of a cluster. Later rounds
-        # take groups outside the list's largest component, those not yet compared first.
+        # take groups outside the list's largest component that were no pivots yet.
         if first:
             pivots = alive.groupBy("h", "k").agg(F.min_by(F.struct("g", "n", "own", "c"), "g").alias("v")).select("h", "k", "v.*")
         else:
-            done = tried.select("h", "k", "g")
-            pivots = alive.filter("c <> most").join(done, ["h", "k", "g"], "left_anti").withColumn("r", rank).filter(F.col("r") <= PIVOTS).select("h", "k", "g", "n", "own", "c")
+            rank = F.row_number().over(Window.partitionBy("h", "k").orderBy("g"))
+            pivots = alive.filter("c <> most").join(tried, ["h", "k", "g"], "left_anti").withColumn("r", rank).filter(F.col("r") <= PIVOTS).select("h", "k", "g", "n", "own", "c")
         pivots = cut(pivots, "pivots")
         if not pivots.take(1):
-            return components(found) if not first or found.take(1) else found.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        tried = pivots.select("h", "k", "g") if first else cut(tried.unionByName(pivots.select("h", "k", "g")), "tried")
+            return components(found) if first else labels
+        tried = pivots.select("h", "k", "g") if first else tried.unionByName(pivots.select("h", "k", "g"))
         v = pivots.select("h", "k", F.col("g").alias("pg"), F.col("n").alias("pn"), F.col("own").alias("po"), F.col("c").alias("pc"))
         apart = (F.col("c") != F.col("pc")) & (F.col("own") | F.col("po")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
         pairs = cut(alive.join(v, ["h", "k"]).filter(apart).select(F.least("g", "pg").alias("a"), F.greatest("g", "pg").alias("b")).distinct(), "pairs")
         yes = cut(linked(pairs, full, percent), "links")
-        found = found.unionByName(yes)
         # expand what the leaders did not link, where a group has more members
-        many = nodes.groupBy("g").agg(F.count("*").alias("members")).filter("members > 1").select("g")
         rest = pairs.join(yes, ["a", "b"], "left_anti")
         rest = rest.join(many.select(F.col("g").alias("a")), "a", "left_semi").unionByName(rest.join(many.select(F.col("g").alias("b")), "b", "left_semi")).distinct()
-        member = nodes.select("g", F.col("s").alias("m"))
         expanded = (rest.join(member.select(F.col("g").alias("a"), F.col("m").alias("ma")), "a").join(member.select(F.col("g").alias("b"), F.col("m").alias("mb")), "b")
                     .filter("ma <> a or mb <> b").select(F.col("ma").alias("a"), F.col("mb").alias("b")))
-        found = cut(found.unionByName(linked(expanded, full, percent).select("a", "b")), "links")
-        first = False
+        found = found.unionByName(yes.select("a", "b")).unionByName(cut(linked(expanded, full, percent).select("a", "b"), "links"))
+        spread, first = alive.select("g", "n", "h", "k", "own"), False
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
