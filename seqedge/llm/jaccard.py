@@ -78,7 +78,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> lis
     places = [_mix(word + np.uint64((i + 1) * 0xD6E8FEB86659FD93 % 2**64)) for i in range(k)]
     full = np.zeros(max(0, len(word) - k + 1), np.uint64)
     for i in range(k):
-        full += places[i][i : len(word) - k + 1 + i]
+        full += places[i][i : i + len(full)]
     full = _mix(full).view(np.int64)
     first = np.searchsorted(starts, offsets)
     out = []

@@ -148,6 +148,11 @@ def automata(benchmark: DataFrame, key: str, text: str, window: int, shard_words
     yield Automaton(shard, window)
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns numbered: Arrow batches are read by place, whatever the columns' names hold."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10,
           shard_words: int = 300_000) -> DataFrame:
     """``docs`` with n_words, spans (word numbers: begin, end, ...), items (ids, sorted) and n_longest.
@@ -182,7 +187,7 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                         cell.append(value)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:base], *(pa.array(c, t) for c, (_, _, t) in zip(cells, new))], names=names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = by_place(out).mapInArrow(run, out.schema)
     return out
 
 
@@ -218,7 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", siz
                 cells[length] = pa.array(lengths, cells[length].type)
             yield pa.RecordBatch.from_arrays(cells, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(strip, kind)
+    return by_place(found).mapInArrow(strip, kind)
 
 
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
