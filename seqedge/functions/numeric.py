@@ -17,8 +17,8 @@ def nan_to_null(col) -> Column:
 
 
 def binarize(col, threshold: float) -> Column:
-    """1 if ``col >= threshold`` else 0; NULL stays NULL."""
-    return (_c(col) >= F.lit(threshold)).cast("int")
+    """1 if ``col >= threshold`` else 0; NULL stays NULL, and NaN is NULL."""
+    return (nan_to_null(col) >= F.lit(threshold)).cast("int")
 
 
 def clip(col, lo: float, hi: float) -> Column:

@@ -50,8 +50,12 @@ def ones(edges: DataFrame, gene: str = "gene", tf: str = "tf") -> DataFrame:
 
 def labels(df: DataFrame, col: str) -> list[str]:
     """L1: sorted distinct labels (the pivot's column list). The list has one
-    entry per matrix column, bounded by ``spark.sql.pivotMaxValues``."""
-    return [r[0] for r in df.select(col).distinct().orderBy(col).collect()]
+    entry per matrix column; more than ``spark.sql.pivotMaxValues`` raise."""
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    found = [r[0] for r in df.select(col).distinct().orderBy(col).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"a wide matrix of more than {most} columns ({col}): raise spark.sql.pivotMaxValues or stay long")
+    return found
 
 
 def to_matrix(edges: DataFrame, gene: str = "gene", tf: str = "tf", columns: list[str] | None = None) -> DataFrame:
@@ -65,7 +69,7 @@ def to_matrix(edges: DataFrame, gene: str = "gene", tf: str = "tf", columns: lis
         e = e.persist(StorageLevel.MEMORY_AND_DISK)
     cols = columns if columns is not None else labels(e, tf)
     wide = e.groupBy(gene).pivot(tf, cols).agg(F.count(F.lit(1)).cast("int"))
-    return wide.fillna(0, subset=cols)
+    return wide.select(gene, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in cols])
 
 
 def density(edges: DataFrame, gene: str = "gene", tf: str = "tf") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqedge.functions.numeric import binarize, nan_to_null
-from seqedge.operators.ranking import batch_no, bounded_broadcast, order_key, prefix_rank
+from seqedge.operators.ranking import batch_no, order_key, prefix_rank
 from seqedge.operators.sampling import keep_last
 
 PAIR_COLUMNS = ["gene", "gene_dna", "tf", "tf_dna", "interaction"]
@@ -52,7 +52,7 @@ def build(prior: DataFrame, gene_seq: DataFrame, tf_seq: DataFrame, threshold: f
     """
     cells = clean_prior(prior.select("gene", "tf", value), value)
     genes = unique_genes(gene_seq, order=gene_order)
-    tfs, _ = bounded_broadcast(distinct_tf_sequences(tf_seq))
+    tfs = distinct_tf_sequences(tf_seq)
     return (cells.join(genes, "gene")
             .join(tfs, "tf")
             .select("gene", "gene_dna", "tf", "tf_dna", binarize(value, threshold).alias("interaction")))
@@ -71,7 +71,7 @@ def missing_report(prior: DataFrame, gene_seq: DataFrame, tf_seq: DataFrame) ->
 
 def listed(pairs: DataFrame, tf_seq: DataFrame) -> DataFrame:
     """Listed (gene, tf) pairs, one row per distinct TF sequence."""
-    tfs, _ = bounded_broadcast(distinct_tf_sequences(tf_seq))
+    tfs = distinct_tf_sequences(tf_seq)
     return pairs.select("gene", "tf").join(tfs, "tf")
 
 

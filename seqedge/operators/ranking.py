@@ -17,18 +17,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows a side may have to be broadcast without a prior size check. Sides above
-# this bound go through a shuffle join instead.
-BROADCAST_ROWS = 2_000_000
-
 _B = "_se_bucket"
 _S = "_se_slice"
-# A score bucket with at least this many distinct scores (and over 1/64 of
-# them) is split a second time.
-HEAVY_BUCKET_ROWS = 65536
-# Pre-aggregated tables (distinct scores) up to this many rows, when their
-# size is known, take running sums in a single ordered window.
-SMALL_TABLE_ROWS = 1 << 18
 
 
 def order_key(seed, *cols) -> Column:
@@ -41,17 +31,6 @@ def order_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    The check stops reading after ``max_rows + 1`` rows, so it is cheap on a
-    large input; above the bound the frame is returned unchanged and the join
-    it enters shuffles (with AQE skew handling) instead.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(df) if small else df), small
-
-
 def _prefix_counts(df: DataFrame, key: str, by: Sequence[str], digits: int) -> tuple[DataFrame, DataFrame]:
     d = df.withColumn(_B, F.substring(F.col(key), 1, digits))
     counts = d.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_se_n"))
@@ -187,14 +166,13 @@ def tie_groups(df: DataFrame, score: str, label: str) -> DataFrame:
     so a score held by a third of the rows costs one row per task.
     """
     y = F.col(label).cast("bigint")
-    return (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    return (df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
             .groupBy(F.col(score).alias("score"))
             .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
 
 
 def running_totals(groups: DataFrame, score: str, sums: Sequence[str], descending: bool = True,
-                   n_buckets: int = 4096, suffix: str = "_cum", bounds: tuple | None = None,
-                   n_rows: int | None = None) -> DataFrame:
+                   n_buckets: int = 4096, suffix: str = "_cum", bounds: tuple | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` along ``score`` order.
 
     ``groups`` must have one row per distinct score (see ``tie_groups``).
@@ -203,11 +181,6 @@ def running_totals(groups: DataFrame, score: str, sums: Sequence[str], descendin
     bucket adds the part inside the bucket.
     """
     order = F.col(score).desc() if descending else F.col(score).asc()
-    if n_rows is not None and n_rows <= SMALL_TABLE_ROWS:
-        # A table known to be this small is ordered in one window: cheaper
-        # than the bucket stages, and bounded by SMALL_TABLE_ROWS.
-        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return groups.select("*", *[F.sum(c).over(w).cast("bigint").alias(c + suffix) for c in sums])
     if bounds is None:
         stats = groups.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()
         bounds = (stats["lo"], stats["hi"])
@@ -222,15 +195,13 @@ def running_totals(groups: DataFrame, score: str, sums: Sequence[str], descendin
         rel = (F.lit(float(hi)) - s) / F.lit(span) if descending else (s - F.lit(float(lo))) / F.lit(span)
         bucket = F.least(F.greatest(F.floor(rel * F.lit(n_buckets)), F.lit(0)), F.lit(n_buckets - 1))
     g = groups.withColumn(_B, bucket.cast("int"))
-    # Second level: a bucket holding more than 1/64 of the distinct scores
-    # (and at least HEAVY_BUCKET_ROWS of them) is sliced again over its own
+    # Second level: a bucket holding more than 1/64 of the distinct scores is sliced again over its own
     # range, so clustered scores do not end up in one window partition. At
     # most 64 buckets can be heavy: the (bucket, slice) table stays bounded
     # by 65 * n_buckets rows.
     st1 = g.groupBy(_B).agg(F.count(F.lit(1)).alias("_n1"), F.min(score).alias("_lo1"),
                             F.max(score).alias("_hi1"))
-    st1 = st1.withColumn("_heavy", (F.col("_n1") > F.greatest(F.sum("_n1").over(Window.partitionBy()) / 64,
-                                                             F.lit(HEAVY_BUCKET_ROWS)))
+    st1 = st1.withColumn("_heavy", (F.col("_n1") > F.sum("_n1").over(Window.partitionBy()) / 64)
                          & (F.col("_hi1") > F.col("_lo1")))
     lo1, hi1 = F.col("_lo1").cast("double"), F.col("_hi1").cast("double")
     rel2 = (hi1 - s) / (hi1 - lo1) if descending else (s - lo1) / (hi1 - lo1)

@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqedge.operators.ranking import BROADCAST_ROWS, order_key, prefix_rank, select_first_n
+from seqedge.functions.numeric import binarize
+from seqedge.operators.ranking import order_key, prefix_rank, select_first_n
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -87,23 +88,39 @@ def cap(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def _sortable(df: DataFrame, order: str) -> Column:
+    """A string that sorts as ``order`` does, and spreads over its prefixes: a
+    string as it is, an integer as its distance from the least value, padded
+    to the widest one."""
+    kind = dict(df.dtypes)[order]
+    if kind == "string":
+        return F.col(order)
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"order must be a string or integer column, got {kind}")
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    width = len(str((high or 0) - (low or 0)))
+    return F.lpad((F.col(order).cast("decimal(20,0)") - F.lit(low or 0)).cast("string"), width, "0")
+
+
 def even_class_batches(df: DataFrame, batch_size: int, drop_last: bool, label: str = "label",
-                       id_col: str = "id", seed: int = 0, order: str | None = None) -> DataFrame:
-    """Balanced batches. Each class is shuffled (md5 order, or the string
+                       id_col: str = "id", seed: int = 0, order: str | None = None,
+                       threshold: float = 0.5) -> DataFrame:
+    """Balanced batches. A label from ``threshold`` on is positive. Each
+    class is shuffled (md5 order, or the order of the string or integer
     column ``order``); the smaller class is cycled; the i-th item of the larger
     class is paired with item ``i mod m`` of the smaller; pairs are cut into
     batches of ``batch_size / 2``; in a batch the smaller class comes first in
     each pair (positives when equal). ``drop_last`` drops a short last batch.
 
-    Returns ``batch, slot, <id_col>, <label>``. The smaller class is
-    broadcast only below ``BROADCAST_ROWS``; above it each of its rows is
-    matched by at most ``ceil(M / m)`` rows, so a plain shuffle join is even.
+    Returns ``batch, slot, <id_col>, <label>``. Each row of the
+    smaller class is matched by at most ``ceil(M / m)`` rows, so a shuffle join is even; AQE broadcasts a
+    side that it measures as small.
     """
     if batch_size % 2 != 0:
         raise ValueError(f"even_class_batches needs an even batch size, got {batch_size}")
     half = batch_size // 2
-    key = F.lpad(F.col(order).cast("string"), 20, "0") if order else order_key(seed, F.col(id_col))
-    base = df.select(F.col(id_col).alias("_id"), (F.col(label) > 0).cast("int").alias("_y"), key.alias("_ok"))
+    key = _sortable(df, order) if order else order_key(seed, F.col(id_col))
+    base = df.select(F.col(id_col).alias("_id"), binarize(label, threshold).alias("_y"), key.alias("_ok"))
     counts = {r["_y"]: r["n"] for r in base.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n = counts.get(1, 0), counts.get(0, 0)
     small_y = 0 if n < p else 1  # positives are the cycled side when sizes tie
@@ -117,8 +134,7 @@ def even_class_batches(df: DataFrame, batch_size: int, drop_last: bool, label: s
         (F.col("_r") - 1).alias("_i"), F.col("_id").alias("_lid"))
     n_pairs = (big // half) * half if drop_last else big
     large = large.filter(F.col("_i") < n_pairs).withColumn("_j", F.pmod(F.col("_i"), F.lit(m)))
-    side = F.broadcast(small) if m <= BROADCAST_ROWS else small
-    pairs = large.join(side, "_j")
+    pairs = large.join(small, "_j")
     slot0 = (F.col("_i") % half) * 2
     out = pairs.select(
         F.floor(F.col("_i") / half).cast("bigint").alias("batch"),

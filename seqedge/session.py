@@ -45,8 +45,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator and points at shared storage; we
-    only read it. When it is unset (local tests) a fresh scratch folder is
-    created and registered so ``DataFrame.checkpoint()`` works.
+    only read it, and raise where it is unset. With a local master a fresh
+    scratch folder is created and registered then (tests).
     """
     try:
         sc = spark.sparkContext
@@ -54,9 +54,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     if sc is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
-        return path or tempfile.mkdtemp(prefix="seqedge-ckpt-")
+        if not path:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return path
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="seqedge-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seqedge.operators import genome, metrics, ranking, sampling
+from seqedge.functions.numeric import binarize
+from seqedge.operators import genome, metrics, network, ranking, sampling, scoring
 from seqedge.plans import standins as S
+from seqedge.sources import writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,10 +89,9 @@ def test_copies_holding_a_third_of_rows(spark):
         assert f.filter("selected").count() == int(900 * share) and f.count() == 900
 
 
-def test_running_totals_split_clustered_scores(spark, monkeypatch):
+def test_running_totals_split_clustered_scores(spark):
     # most distinct scores sit in a tiny range: the heavy bucket is sliced
     # again and the running sums still equal a global window
-    monkeypatch.setattr(ranking, "HEAVY_BUCKET_ROWS", 10)
     vals = [(1000.0 + i * 1e-6, 1, 0) for i in range(400)] + [(float(i), 0, 1) for i in range(50)]
     g = spark.createDataFrame(vals, "score double, pos long, neg long")
     ours = {r["score"]: (r["pos_cum"], r["neg_cum"]) for r in ranking.running_totals(g, "score", ["pos", "neg"], n_buckets=8).collect()}
@@ -98,3 +99,39 @@ def test_running_totals_split_clustered_scores(spark, monkeypatch):
     ref = {r["score"]: (r["a"], r["b"]) for r in g.select("score", F.sum("pos").over(w).alias("a"),
                                                          F.sum("neg").over(w).alias("b")).collect()}
     assert ours == ref
+
+
+def test_nan_is_null(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, 1, "g", "t"), (0.9, 1, "g", "t"), (0.1, 0, "g", "u")], "score double, label int, gene string, tf string")
+    assert [r[0] for r in df.select(binarize("score", 0.5)).collect()] == [None, 1, 0]
+    assert metrics.ranking_summary(df, "score", "label").first()["roc_auc"] == 1.0
+    assert {r["tf"]: r["prediction"] for r in scoring.mean_by_pair(df).collect()} == {"t": 0.9, "u": 0.1}
+    pred = spark.createDataFrame([("g", "t", 0.9), ("g", "t", 0.7), ("h", "u", 0.2), ("g", "u", nan)], "gene string, tf string, value double")
+    gold = spark.createDataFrame([("g", "t", 1.0), ("g", "t", 1.0), ("h", "u", nan)], "gene string, tf string, value double")
+    r = metrics.auprc_vs_gold(pred, gold).first()
+    assert (r["n_pos"], r["n_neg"]) == (1, 3)
+
+
+def test_even_batches_threshold_and_long_orders(spark):
+    rows = [(i, v, o) for i, (v, o) in enumerate([(0.1, "y"), (0.9, "b"), (0.2, "x" * 20 + "2"), (0.0, "x" * 20 + "1")])]
+    df = spark.createDataFrame(rows, "id int, label double, o string")
+    got = [(r["batch"], r["slot"], r["id"]) for r in sampling.even_class_batches(df, 2, False, order="o").orderBy("batch", "slot").collect()]
+    assert got == [(0, 0, "1"), (0, 1, "3"), (1, 0, "1"), (1, 1, "2"), (2, 0, "1"), (2, 1, "0")]
+    nums = df.withColumn("n", F.col("id") * -100)
+    got = [r["id"] for r in sampling.even_class_batches(nums, 2, False, order="n").filter("slot = 1").orderBy("batch").collect()]
+    assert got == ["3", "2", "0"]
+
+
+def test_wide_matrix_dotted_names_and_bounds(spark, scratch):
+    e = spark.createDataFrame([("g", "t.1"), ("g", "u"), ("h", "u")], "gene string, tf string")
+    assert {tuple(r) for r in network.to_matrix(e).collect()} == {("g", 1, 1), ("h", 0, 1)}
+    writers.write_wide(e.withColumn("value", F.lit(2.0)), scratch + "/wide")
+    with pytest.raises(ValueError):
+        writers.write_summary(e, scratch + "/summary")
+    spark.conf.set("spark.sql.pivotMaxValues", "1")
+    try:
+        with pytest.raises(ValueError):
+            network.to_matrix(e)
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")

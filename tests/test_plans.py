@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
+QUERIES = {k: v for k, v in E.queries().items() if not re.match(r"op\d+_|pipeline$", k)}  # the optional subpackage has its own tests
 
 
 def _plan(df) -> str:
