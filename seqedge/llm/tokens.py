@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqedge.llm.common import quoted, table
+from seqedge.llm.common import cut, quoted, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
@@ -109,7 +109,8 @@ def scan(blocks: DataFrame, width: int = 2, eod: int = EOD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(a) for a in arrays], pa.int64()),
                                               pa.array(ends, pa.list_(pa.int64())), batch.column(3)], names=["file", "block", "n", "ends", "ids"])
 
-    seen = blocks.mapInArrow(run, "file string, block long, n long, ends array<long>, ids array<long>").withColumn("run", F.floor(F.col("block") / RUN))
+    # The scan below reads these summaries three times; cut, so that the tokens are read once.
+    seen = cut(blocks.mapInArrow(run, "file string, block long, n long, ends array<long>, ids array<long>"), "token-blocks").withColumn("run", F.floor(F.col("block") / RUN))
     # Within a run: tokens and separators before each block, and where the last separator was.
     inside = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = seen.withColumns({"before": F.coalesce(F.sum("n").over(inside), F.lit(0)), "seps": F.coalesce(F.sum(F.size("ends")).over(inside), F.lit(0))})
