@@ -9,7 +9,8 @@ order here: shingles whose hash lies in the lowest ``REGION`` of all hashes come
 3. Sets with the same prefix and size form a group, checked against its leader; members that fail leave it.
 4. Groups meet over (prefix element, size band). Only groups in different components meet, in rounds: each list's pivot
    first, then every group outside the list's largest component, so the near copies of one text cost one check each
-   and no list is expanded into all its pairs. Group pairs are checked by their leaders, then expanded to members.
+   and no list is expanded into all its pairs. A pair is filtered first by a bound on the symmetric difference
+   (``WORDS``), then checked by its leaders, then expanded to members.
 
 Set ids are 64-bit hashes, the copy test compares 128 bits.
 """
@@ -29,7 +30,10 @@ SHINGLE, PERCENT = 5, 80
 REGION = 0.25
 LOW = int(REGION * 2**64) - 2**63
 #: Pivots of a list in one round after the first.
-PIVOTS = 512
+PIVOTS = 4096
+#: Longs of a set's parity bits: bit i says whether an odd number of its hashes falls on i. Two sets' parity bits differ in
+#: at most as many places as their symmetric difference has elements, so too many differing places rule a link out.
+WORDS = 8
 CHUNK = 2 << 20
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64) + np.uint64(1)
@@ -135,19 +139,32 @@ def sketch(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     return docs.select(quoted(key).alias("key"), quoted(text).alias("t")).mapInArrow(run, f"key {kind}, n long, s1 long, s2 long, e array<long>")
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    odd = np.bincount(elements & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(n: Column, wa: str, wb: str, percent: int) -> Column:
+    """False only where the sets of parity bits ``wa``, ``wb`` cannot link; ``n`` is the sum of both sizes. J >= t holds
+    only if the symmetric difference is at most (1 - t) / (1 + t) of that sum."""
+    apart = sum((F.bit_count(F.col(wa)[i].bitwiseXOR(F.col(wb)[i])) for i in range(WORDS)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * n
+
+
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(s, x): set id and all its hashes, of texts ``t``."""
+    """(s, x, w): set id, all its hashes and its parity bits, of texts ``t``."""
 
     def run(batches):
         for batch in batches:
-            ids, sets = [], []
+            ids, sets, bits = [], [], []
             for data, offsets in _texts(batch.column(0)):
                 for x in shingle_sets(data, offsets):
                     ids.append(set_ids(x)[0])
                     sets.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["s", "x"])
+                    bits.append(parity(x))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["s", "x", "w"])
 
-    return docs.select("t").mapInArrow(run, "s long, x array<long>")
+    return docs.select("t").mapInArrow(run, "s long, x array<long>, w array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +188,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def peeled(full: DataFrame, percent: int) -> DataFrame:
-    """The sets (s, x) that share so many elements with any others that a partner is possible: a partner holds
+    """The sets (s, x, w) that share so many elements with any others that a partner is possible: a partner holds
     ``percent`` of a set, so as many of its elements occur in at least two sets. This drops what only has a passage in
     common with others."""
     full = cut(full, "candidate-sets")
@@ -203,52 +220,59 @@ def links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     wanted = cut(grouped.join(some, "g", "left_semi").select("s", "g", "n", "p"), "candidates")
     reps = sets.join(wanted.select("s"), "s", "left_semi").select("rep").distinct()
     texts = docs.join(reps, F.col("key").eqNullSafe(F.col("rep")), "left_semi")
-    full = cut(peeled(full_sets(texts).join(wanted.select("s"), "s", "left_semi").groupBy("s").agg(F.first("x").alias("x")), percent), "sets")
-    wanted = wanted.join(full.select("s"), "s", "left_semi").withColumn("g", F.min("s").over(by_prefix))
+    full = cut(peeled(full_sets(texts).join(wanted.select("s"), "s", "left_semi").groupBy("s").agg(F.first("x").alias("x"), F.first("w").alias("w")), percent), "sets")
+    wanted = wanted.join(full.select("s", "w"), "s").withColumn("g", F.min("s").over(by_prefix)).withColumn("gw", F.min_by("w", "s").over(by_prefix))
 
     # 3. members against their leaders; who fails is a group of its own
-    star = cut(linked(wanted.filter("s <> g").select(F.col("g").alias("a"), F.col("s").alias("b")), full, percent), "links")
+    star = cut(linked(wanted.filter("s <> g").filter(may_link(2 * F.col("n"), "w", "gw", percent)).select(F.col("g").alias("a"), F.col("s").alias("b")), full, percent), "links")
     nodes = cut(wanted.join(star.select(F.col("b").alias("s"), F.lit(True).alias("in")), "s", "left")
-                .select("s", F.when((F.col("s") == F.col("g")) | F.col("in"), F.col("g")).otherwise(F.col("s")).alias("g"), "n", "p"), "nodes")
-    # 4. groups meet
-    entries = nodes.filter("s = g").select("g", "n", band(F.col("n"), percent).alias("band"), F.explode("p").alias("h")).withColumn(
-        "k", F.explode(F.array("band", F.col("band") + 1))).select("g", "n", "h", "k", (F.col("band") == F.col("k")).alias("own"))
+                .select("s", F.when((F.col("s") == F.col("g")) | F.col("in"), F.col("g")).otherwise(F.col("s")).alias("g"), "n", "p", "w"), "nodes")
+    # 4. groups meet. A member differs from its leader by at most a link's share of 2 n, so by the triangle inequality
+    # leaders whose members link differ by at most a link's share of the sum of their ``reach``.
+    many = nodes.groupBy("g").agg(F.count("*").alias("members")).filter("members > 1").select("g", F.lit(3).alias("times"))
+    reach = (F.col("n") * F.coalesce("times", F.lit(1))).alias("reach")
+    entries = nodes.filter("s = g").join(many, "g", "left").select("g", "n", "w", reach, band(F.col("n"), percent).alias("band"), F.explode("p").alias("h")).withColumn(
+        "k", F.explode(F.array("band", F.col("band") + 1))).select("g", "n", "w", "reach", "h", "k", (F.col("band") == F.col("k")).alias("own"))
     spread = cut(entries, "entries")
-    member = nodes.select("g", F.col("s").alias("m"))
-    many = nodes.groupBy("g").agg(F.count("*").alias("members")).filter("members > 1").select("g")
-    found, first = star.select("a", "b"), True
+    found, first, grown = star.select("a", "b"), True, True
     while True:
-        # Components so far. A list whose groups are all in one is done for good.
-        if first:
-            labelled = spread.withColumn("c", F.col("g"))
-        else:
-            labels = cut(components(found), "labels")
-            found = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labelled = spread.join(labels.withColumnRenamed("node", "g"), "g", "left").withColumn("c", F.coalesce("component", "g")).drop("component")
-        open_ = labelled.groupBy("h", "k").agg(F.mode("c").alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("any")).filter("lo < hi and any")
-        alive = cut(labelled.join(open_.select("h", "k", "most"), ["h", "k"]), "lists")
+        if grown:
+            # Components so far. A list whose groups are all in one is done for good.
+            if first:
+                labelled = spread.withColumn("c", F.col("g"))
+            else:
+                labels = cut(components(found), "labels")
+                found = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                labelled = spread.join(labels.withColumnRenamed("node", "g"), "g", "left").withColumn("c", F.coalesce("component", "g")).drop("component")
+            open_ = labelled.groupBy("h", "k").agg(F.mode("c").alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("any")).filter("lo < hi and any")
+            alive = cut(labelled.join(open_.select("h", "k", "most"), ["h", "k"]), "lists")
+            spread = alive.select("g", "n", "w", "reach", "h", "k", "own")
         # The first round takes each list's smallest group, mostly the same one in all lists of a cluster. Later rounds
         # take groups outside the list's largest component that were no pivots yet.
         if first:
-            pivots = alive.groupBy("h", "k").agg(F.min_by(F.struct("g", "n", "own", "c"), "g").alias("v")).select("h", "k", "v.*")
+            pivots = alive.groupBy("h", "k").agg(F.min_by(F.struct("g", "n", "w", "reach", "own", "c"), "g").alias("v")).select("h", "k", "v.*")
         else:
             rank = F.row_number().over(Window.partitionBy("h", "k").orderBy("g"))
-            pivots = alive.filter("c <> most").join(tried, ["h", "k", "g"], "left_anti").withColumn("r", rank).filter(F.col("r") <= PIVOTS).select("h", "k", "g", "n", "own", "c")
+            pivots = alive.filter("c <> most").join(tried, ["h", "k", "g"], "left_anti").withColumn("r", rank).filter(F.col("r") <= PIVOTS).select("h", "k", "g", "n", "w", "reach", "own", "c")
         pivots = cut(pivots, "pivots")
         if not pivots.take(1):
             return components(found) if first else labels
         tried = pivots.select("h", "k", "g") if first else tried.unionByName(pivots.select("h", "k", "g"))
-        v = pivots.select("h", "k", F.col("g").alias("pg"), F.col("n").alias("pn"), F.col("own").alias("po"), F.col("c").alias("pc"))
-        apart = (F.col("c") != F.col("pc")) & (F.col("own") | F.col("po")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+        v = pivots.select("h", "k", F.col("g").alias("pg"), F.col("n").alias("pn"), F.col("w").alias("pw"), F.col("reach").alias("pr"), F.col("own").alias("po"), F.col("c").alias("pc"))
+        apart = (F.col("c") != F.col("pc")) & (F.col("own") | F.col("po")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & may_link(F.col("reach") + F.col("pr"), "w", "pw", percent)
         pairs = cut(alive.join(v, ["h", "k"]).filter(apart).select(F.least("g", "pg").alias("a"), F.greatest("g", "pg").alias("b")).distinct(), "pairs")
+        grown = first or bool(pairs.take(1))
+        first = False
+        if not grown:
+            continue
         yes = cut(linked(pairs, full, percent), "links")
         # expand what the leaders did not link, where a group has more members
         rest = pairs.join(yes, ["a", "b"], "left_anti")
         rest = rest.join(many.select(F.col("g").alias("a")), "a", "left_semi").unionByName(rest.join(many.select(F.col("g").alias("b")), "b", "left_semi")).distinct()
-        expanded = (rest.join(member.select(F.col("g").alias("a"), F.col("m").alias("ma")), "a").join(member.select(F.col("g").alias("b"), F.col("m").alias("mb")), "b")
-                    .filter("ma <> a or mb <> b").select(F.col("ma").alias("a"), F.col("mb").alias("b")))
+        ma, mb = (nodes.select(F.col("g").alias(x), F.col("s").alias("m" + x), F.col("n").alias("n" + x), F.col("w").alias("w" + x)) for x in "ab")
+        expanded = (rest.join(ma, "a").join(mb, "b").filter("ma <> a or mb <> b").filter(may_link(F.col("na") + F.col("nb"), "wa", "wb", percent))
+                    .select(F.col("ma").alias("a"), F.col("mb").alias("b")))
         found = found.unionByName(yes.select("a", "b")).unionByName(cut(linked(expanded, full, percent).select("a", "b"), "links"))
-        spread, first = alive.select("g", "n", "h", "k", "own"), False
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
