@@ -234,6 +234,7 @@ def links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     entries = nodes.filter("s = g").join(many, "g", "left").select("g", "n", "w", reach, band(F.col("n"), percent).alias("band"), F.explode("p").alias("h")).withColumn(
         "k", F.explode(F.array("band", F.col("band") + 1))).select("g", "n", "w", "reach", "h", "k", (F.col("band") == F.col("k")).alias("own"))
     spread = cut(entries, "entries")
+    other = nodes.filter("s = g").join(many, "g", "left").select(F.col("g").alias("b"), reach.alias("rb"), F.col("w").alias("wg"))
     found, first, grown = star.select("a", "b"), True, True
     while True:
         if grown:
@@ -270,7 +271,8 @@ def links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         rest = pairs.join(yes, ["a", "b"], "left_anti")
         rest = rest.join(many.select(F.col("g").alias("a")), "a", "left_semi").unionByName(rest.join(many.select(F.col("g").alias("b")), "b", "left_semi")).distinct()
         ma, mb = (nodes.select(F.col("g").alias(x), F.col("s").alias("m" + x), F.col("n").alias("n" + x), F.col("w").alias("w" + x)) for x in "ab")
-        expanded = (rest.join(ma, "a").join(mb, "b").filter("ma <> a or mb <> b").filter(may_link(F.col("na") + F.col("nb"), "wa", "wb", percent))
+        near = rest.join(other, "b").join(ma, "a").filter(may_link(F.col("na") + F.col("rb"), "wa", "wg", percent)).drop("rb", "wg")
+        expanded = (near.join(mb, "b").filter("ma <> a or mb <> b").filter(may_link(F.col("na") + F.col("nb"), "wa", "wb", percent))
                     .select(F.col("ma").alias("a"), F.col("mb").alias("b")))
         found = found.unionByName(yes.select("a", "b")).unionByName(cut(linked(expanded, full, percent).select("a", "b"), "links"))
 

@@ -311,3 +311,15 @@ def test_line_quality_oracle(spark):
     want = con.sql(queries.ORACLE["op7_line_quality"])
     got = quality.op7_line_quality(spark, SF)
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_parity_bits_never_rule_out_a_link(spark):
+    rng, rows = np.random.default_rng(3), []
+    for n in (1, 5, 60, 700, 5000):
+        for change in (0, 1, n // 10, n // 5, n):
+            x = np.unique(rng.integers(-2**63, 2**63, n))
+            y = np.unique(np.concatenate((x[change:], rng.integers(-2**63, 2**63, change // 2))))
+            both = len(np.intersect1d(x, y))
+            rows.append((len(x) + len(y), jaccard.parity(x).tolist(), jaccard.parity(y).tolist(), bool(100 * both >= 80 * (len(x) + len(y) - both))))
+    got = spark.createDataFrame(rows, "n long, a array<long>, b array<long>, links boolean").select("n", "links", jaccard.may_link(F.col("n"), "a", "b", 80).alias("may")).collect()
+    assert all(r["may"] for r in got if r["links"]) and not all(r["may"] for r in got)
