@@ -85,25 +85,30 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[\s\d]+", " ")))
 
 
+def hashed_lines(text: Column) -> Column:
+    """The lines with a word as structs: i (place among all lines), h (hash of the normalised line), w (words)."""
+    lines = F.transform(F.split(or_empty(text), "\n"), lambda x, k: F.struct(x.alias("x"), k.alias("i")))
+    return F.transform(F.filter(lines, lambda e: e["x"].rlike(r"[^\x20\x09-\x0D]")), lambda e: F.struct(
+        e["i"].alias("i"), F.xxhash64(normal_line(e["x"])).alias("h"), F.regexp_count(e["x"], F.lit(WORD)).alias("w")))
+
+
 def line_structs(text: Column) -> Column:
     """The lines with a word as structs: h (hash of the normalised line), w (words), c (hash of the neighbours'
     hashes), first (no equal line before it in the text)."""
-    lines = F.filter(F.split(or_empty(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
 
     def beside(a: Column, k: Column) -> Column:
         return F.when(k < 1, None).otherwise(F.try_element_at(a, F.greatest(k, F.lit(1)))["h"])
 
     def context(a: Column) -> Column:
         return F.array_sort(F.transform(a, lambda e, k: F.struct(
-            e["h"].alias("h"), k.alias("i"), e["w"].alias("w"), F.xxhash64(beside(a, k), beside(a, k + 2)).alias("c"))))
+            e["h"].alias("h"), e["i"].alias("i"), e["w"].alias("w"), F.xxhash64(beside(a, k), beside(a, k + 2)).alias("c"))))
 
     def first(a: Column) -> Column:
         return F.transform(a, lambda e, k: F.struct(
             e["h"].alias("h"), e["i"].alias("i"), e["w"].alias("w"), e["c"].alias("c"),
             ((k < 1) | (F.coalesce(beside(a, k) != e["h"], F.lit(True)))).alias("first")))
 
-    return let(let(hashed, context), first)
+    return let(let(hashed_lines(text), context), first)
 
 
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = Limits()) -> DataFrame:
@@ -147,33 +152,30 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
 def clean(docs: DataFrame, text: str = "text", host: str = "source", size: str | None = "n_chars", limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, with boilerplate lines taken out of their text (and ``size`` set to its new length).
-    All columns of ``docs`` stay, whatever they are called; cases as in ``judge``."""
-    boiler = cut(frequent_lines(docs, text, host, limits), "boiler").select("host", "h", F.lit(True).alias("boiler"))
-    row, uid, hst, m, at, h, w, bad = fresh(docs, "row", "uid", "host", "m", "at", "h", "w", "boiler")
-    packed = docs.select(F.struct(*[quoted(c) for c in docs.columns if c != text]).alias(row), F.monotonically_increasing_id().alias(uid),
-                         or_empty(quoted(host).cast("string")).alias("host"), measures(quoted(text), limits).alias(m), quoted(text).alias("t"),
-                         F.transform(line_structs(quoted(text)), lambda x: F.struct(x["h"], x["i"], x["w"])).alias("ls"))
-    # Only the few rows with a boilerplate line need the line numbers; texts stay with their row until the last join.
-    lines = packed.select(row, uid, "host", m, "t", F.explode_outer("ls").alias("l")).select(row, uid, "host", m, "t", "l.h", "l.i", "l.w")
-    hit = lines.join(boiler, ["host", "h"], "left").groupBy(uid).agg(
-        F.first(row).alias(row), F.first(m).alias(m), F.first("t").alias("t"),
-        F.coalesce(F.sum(F.when(F.col("boiler"), F.col("w"))), F.lit(0)).cast("long").alias(w),
-        F.collect_set(F.when(F.col("boiler"), F.col("i"))).alias(at))
-    base_failed, depleted = verdict(F.col(m), F.col(w), limits)
-
-    def numbered(lines: Column, gone: Column) -> Column:
-        """Lines are numbered as in line_structs: only those with a word count."""
-        tagged = F.aggregate(lines, F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("out")), lambda a, x: F.when(
-            ~x.rlike(r"[^\x20\x09-\x0D]"), F.struct(a["k"].alias("k"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(F.struct(
-                (a["k"] + 1).alias("k"), F.when(F.array_contains(gone, a["k"]), a["out"]).otherwise(F.concat(a["out"], F.array(x))).alias("out"))))
-        return F.array_join(tagged["out"], "\n")
-
-    kept = hit.filter(~base_failed & ~depleted).withColumn("t", F.when(F.size(at) == 0, F.col("t")).otherwise(numbered(F.split("t", "\n"), F.col(at))))
+    All columns of ``docs`` stay, whatever they are called; cases as in ``judge``.
+
+    What a document loses depends on its host and text alone, so the lines that go are found per (host, text id) from
+    line hashes, and texts meet them in one join; no text is repeated for each of its lines.
+    """
+    hst, tid, m, at, gone, h, i, w, n = fresh(docs, "host", "tid", "m", "at", "gone", "h", "i", "w", "n")
+    group = or_empty(quoted(host).cast("string"))
+    boiler = cut(frequent_lines(docs, text, host, limits), "boiler").select(F.col("host").alias(hst), F.col("h").alias(h))
+    lines = docs.select(group.alias(hst), F.md5(or_empty(quoted(text))).alias(tid), F.explode(hashed_lines(quoted(text))).alias("l"))
+    lines = lines.select(hst, tid, F.col("l.h").alias(h), F.col("l.i").alias(i), F.col("l.w").alias(w)).join(boiler, [hst, h], "left_semi")
+    # copies of a text give each line once
+    found = cut(lines.groupBy(hst, tid, i).agg(F.first(w).alias(w)).groupBy(hst, tid).agg(F.collect_set(i).alias(at), F.sum(w).alias(n)), "gone")
+    # explode keeps the measures from being computed a second time in the filter
+    rows = docs.select("*", group.alias(hst), F.md5(or_empty(quoted(text))).alias(tid), F.explode_outer(F.array(measures(quoted(text), limits))).alias(m))
+    base_failed, _ = verdict(F.col(m), F.lit(0), limits)
+    rows = rows.filter(~base_failed).join(found, [hst, tid], "left")
+    _, depleted = verdict(F.col(m), F.coalesce(n, F.lit(0)), limits)
+    left = F.array_join(F.filter(F.split(quoted(text), "\n"), lambda x, k: ~F.array_contains(F.col(at), k)), "\n")
+    kept = rows.filter(~depleted).withColumn(gone, F.when(F.col(at).isNotNull(), left))
 
     def column(c: str) -> Column:
         if c == text:
-            return F.col("t").alias(c)
-        return F.when(F.size(at) == 0, F.col(row)[c]).otherwise(F.length("t")).cast(docs.schema[c].dataType).alias(c) if c == size else F.col(row)[c].alias(c)
+            return F.coalesce(F.col(gone), quoted(c)).alias(c)
+        return F.coalesce(F.length(gone), quoted(c)).cast(docs.schema[c].dataType).alias(c) if c == size else quoted(c)
 
     return kept.select(*[column(c) for c in docs.columns])
 
