@@ -50,12 +50,9 @@ def dna_from_key(key) -> Column:
 
 def kmers(seq, k: int) -> Column:
     """All overlapping k-mers of ``seq`` in order (empty array if shorter than k)."""
-    s = _c(seq)
-    n = F.length(s) - F.lit(k) + F.lit(1)
-    return F.when(
-        n >= 1,
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.call_function("substring", s, i, F.lit(k))),
-    ).otherwise(F.array().cast("array<string>"))
+    # a look-ahead match at every place, in one pass over the sequence
+    found = F.regexp_extract_all(_c(seq), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def kmer_set(seq, k: int) -> Column:

@@ -61,11 +61,16 @@ def chunk_contigs(genome: DataFrame, chunk: int = DEFAULT_CHUNK, contig: str = "
                   seq: str = "seq") -> DataFrame:
     """Cut ``(contig, seq)`` into ``(contig, chunk, offset, seq)`` rows of
     ``chunk`` characters; ``offset`` is the 0-based position of the first one."""
-    n = F.greatest(F.ceil(F.length(F.col(seq)) / F.lit(chunk)), F.lit(1)).cast("int")
-    e = genome.select(F.col(contig).alias("contig"), F.col(seq).alias("_s"),
-                      F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    return e.select("contig", "chunk", (F.col("chunk").cast("bigint") * chunk).alias("offset"),
-                    F.call_function("substring", F.col("_s"), F.col("chunk") * chunk + 1, F.lit(chunk)).alias("seq"))
+    e = genome.select(F.col(contig).alias("contig"), F.posexplode(pieces(seq, chunk)).alias("chunk", "seq"))
+    return e.select("contig", "chunk", (F.col("chunk").cast("bigint") * chunk).alias("offset"), "seq")
+
+
+def pieces(seq, size: int):
+    """A string as an array of ``size``-character pieces, cut in one pass (the work grows with the length, not with
+    its square). An empty string is one empty piece, NULL one NULL piece."""
+    s = F.col(seq) if isinstance(seq, str) else seq
+    return (F.when(s.isNull(), F.array(F.lit(None).cast("string"))).when(F.length(s) <= size, F.array(s))
+            .otherwise(F.regexp_extract_all(s, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))))
 
 
 def contig_lengths(chunks: DataFrame) -> DataFrame:
@@ -175,11 +180,18 @@ def length_split(df: DataFrame, bound: int, col: str = "sequence") -> DataFrame:
 def sequences_from_features(features: DataFrame, genome: DataFrame, chunk: int = DEFAULT_CHUNK,
                             category: str | None = "gene", key: str = "gene_id",
                             bound: int | None = None) -> DataFrame:
+    """E1 in one plan from whole contigs ``(contig, seq)``: see ``sequences_from_chunks``."""
+    return sequences_from_chunks(features, chunk_contigs(genome, chunk), chunk, category, key, bound)
+
+
+def sequences_from_chunks(features: DataFrame, chunks: DataFrame, chunk: int = DEFAULT_CHUNK,
+                          category: str | None = "gene", key: str = "gene_id",
+                          bound: int | None = None) -> DataFrame:
     """E1 in one plan: keep genes, drop unnamed ones, cut their sequences out
     of the chunked genome, drop misses (D7) and, optionally, long ones (P10)."""
     f = features
     if category is not None:
         f = genes_only(f, value=category)
     f = drop_unnamed(f, key)
-    seqs = extract_intervals(f, chunk_contigs(genome, chunk), chunk).filter(F.col("sequence").isNotNull())
+    seqs = extract_intervals(f, chunks, chunk).filter(F.col("sequence").isNotNull())
     return max_length(seqs, bound) if bound else seqs

@@ -87,10 +87,12 @@ def tokenize_pairs(pairs: DataFrame, k: int = 6, max_length: int | None = None,
     ``gene <cls> tf`` are ``[cls] + ids(gene) + [cls] + ids(tf)``. Genes and
     TF sequences are tokenized as distinct rows (partial aggregation
     dedupes them before the shuffle) and joined back by id, so a 12 kb gene
-    in thousands of pairs is tokenized once. Equal to ``tokenize`` on
+    in thousands of pairs is tokenized once; a digest of the gene's DNA tells
+    two sequences of one gene apart. Equal to ``tokenize`` on
     ``format_pair``; the ``gene_dna`` column is dropped from the output.
     """
-    g = (pairs.select(gene, gene_dna).distinct()
+    pairs = pairs.withColumn("_gmd5", F.coalesce(F.md5(gene_dna), F.lit("")))
+    g = (pairs.select(gene, "_gmd5", gene_dna).groupBy(gene, "_gmd5").agg(F.first(gene_dna).alias(gene_dna))
          .withColumn("_gids", sequence_ids(gene_dna, k)).drop(gene_dna))
     t = (pairs.select(tf, tf_dna).distinct()
          .withColumn("_tids", sequence_ids(tf_dna, k)))
@@ -99,7 +101,7 @@ def tokenize_pairs(pairs: DataFrame, k: int = 6, max_length: int | None = None,
     # never a 12 kb string per pair. No eager size check: both sides come out
     # of an aggregation, so AQE sees their real size and broadcasts a side
     # only when it is under its threshold.
-    j = pairs.drop(gene_dna).join(g, gene).join(t, [tf, tf_dna])
+    j = pairs.drop(gene_dna).join(g, [gene, "_gmd5"]).drop("_gmd5").join(t, [tf, tf_dna])
     head = F.array(F.lit(CLS_ID)) if add_cls else F.array().cast("array<int>")
     ids = F.concat(head, F.col("_gids"), F.array(F.lit(CLS_ID)), F.col("_tids"))
     out = j.withColumn("input_ids", ids).drop("_gids", "_tids")

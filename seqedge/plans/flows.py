@@ -25,8 +25,8 @@ def sequence_tables(features: DataFrame, fasta_path: str, chunk: int = genome.DE
                     bound: int | None = None) -> DataFrame:
     """Gene sequences cut from a FASTA file for the named genes of a
     feature table (genes only, missing contigs dropped, optional length bound)."""
-    contigs = readers.read_fasta_records(features.sparkSession, fasta_path)
-    return genome.sequences_from_features(features, contigs, chunk, bound=bound)
+    chunks = readers.read_fasta(features.sparkSession, fasta_path, chunk)
+    return genome.sequences_from_chunks(features, chunks, chunk, bound=bound)
 
 
 def training_set(prior: DataFrame, gene_seq: DataFrame, tf_seq: DataFrame, threshold: float = 0.5,
@@ -36,8 +36,8 @@ def training_set(prior: DataFrame, gene_seq: DataFrame, tf_seq: DataFrame, thres
     ``dev`` (exact ``floor(n * train_prop)``), train negatives down-sampled to
     ``int(n_neg * rate)`` when ``rate < 1``, and the dev set capped at
     ``max_eval`` rows. Each random choice has its own seed offset."""
-    ds = tokens.tokenize_pairs(pairs.build(prior, gene_seq, tf_seq, threshold), k=k, max_length=max_length)
-    ds = ds.select(*IDS, "interaction", "input_ids", "attention_mask")
+    # Only ids are split and sampled; the rows that stay are tokenized last.
+    ds = pairs.build(prior, gene_seq, tf_seq, threshold).select(*IDS, "interaction")
     s = sampling.split(ds, train_prop, seed=seed, ids=IDS)
     train = s.filter(F.col("split") == "train")
     dev = s.filter(F.col("split") == "dev")
@@ -48,7 +48,9 @@ def training_set(prior: DataFrame, gene_seq: DataFrame, tf_seq: DataFrame, thres
         dev = (ranking.select_first_n(keyed, "_ok", lambda t: F.least(t, F.lit(max_eval)), ties=IDS,
                                       flag_col="_keep")
                .filter("_keep").drop("_keep", "_ok"))
-    return train.unionByName(dev)
+    kept = train.unionByName(dev).join(pairs.unique_genes(gene_seq), "gene")
+    return tokens.tokenize_pairs(kept, k=k, max_length=max_length).select(
+        *IDS, "interaction", "split", "input_ids", "attention_mask")
 
 
 def inference(candidates: DataFrame, gene_seq: DataFrame, tf_seq: DataFrame, out_path: str, n_shards: int = 4,

@@ -65,9 +65,10 @@ def q_network_key_overlap(spark, d):
 
 
 @register("network_to_matrix", with_ctes(*NET_CTES) +
-          "PIVOT (SELECT DISTINCT gene, tf FROM restricted) ON tf USING CAST(count(*) AS INTEGER) GROUP BY gene")
+          "SELECT DISTINCT gene, tf, CAST(1 AS DOUBLE) AS value FROM restricted")
 def q_network_to_matrix(spark, d):
-    return network.to_matrix(_restricted(spark, d))
+    """The wide matrix, its ones unpivoted (a wide form's columns depend on the data)."""
+    return matrix.melt(network.to_matrix(_restricted(spark, d)), "gene").filter("value <> 0")
 
 
 @register("network_density", with_ctes(*NET_CTES) + """
@@ -198,7 +199,7 @@ SELECT gene, tf, round(clipped, 9) AS clipped, round(ln(clipped / (1 - clipped))
        round(1 / (1 + exp(-ln(clipped / (1 - clipped)))), 9) AS sigmoid FROM c""")
 def q_matrix_clip_logit_sigmoid(spark, d):
     c = matrix.clip(S.prior(spark, d), 0.01, 0.99).withColumnRenamed("value", "clipped")
-    lg = c.withColumn("logit", F.log(F.col("clipped") / (1 - F.col("clipped"))))
+    lg = matrix.logit(c.withColumn("logit", F.col("clipped")), "logit")
     sg = matrix.sigmoid(lg.withColumn("sigmoid", F.col("logit")), "sigmoid")
     return sg.select("gene", "tf", r9("clipped").alias("clipped"), r9("logit").alias("logit"),
                      r9("sigmoid").alias("sigmoid"))
@@ -629,11 +630,11 @@ def q_io_fasta_roundtrip(spark, d):
     return readers.read_fasta(spark, path, chunk=100)
 
 
-@register("io_matrix_roundtrip", with_ctes(S.PRIOR_SQL) + "SELECT gene, tf, value FROM prior WHERE value <> 0")
+@register("io_matrix_roundtrip", with_ctes(S.PRIOR_SQL) + "SELECT gene, tf, value FROM prior")
 def q_io_matrix_roundtrip(spark, d):
     path = writers.scratch_path(spark, "matrix")
-    writers.write_wide(S.prior(spark, d), path)
-    return readers.read_matrix(spark, path).filter(F.col("value") != 0)
+    writers.write_wide(S.prior(spark, d), path, fill=None)
+    return readers.read_matrix(spark, path).filter(F.col("value").isNotNull())
 
 
 @register("io_edges_roundtrip", with_ctes(S.EDGES_SQL) + "SELECT tf, gene FROM edges")

@@ -135,3 +135,25 @@ def test_wide_matrix_dotted_names_and_bounds(spark, scratch):
             network.to_matrix(e)
     finally:
         spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+def test_kmers_and_pieces_by_brute_force(spark):
+    from seqedge.functions.dna import kmers
+    from seqedge.operators.genome import pieces
+
+    texts = [None, "", "AC", "ACG", "ACGT\nACGTT", "ACGTN" * 200]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", kmers("s", 3).alias("k"), pieces("s", 4).alias("p"))
+    for r in got.collect():
+        t = texts[r["i"]] or ""
+        assert r["k"] == [t[j:j + 3] for j in range(len(t) - 2)]
+        assert r["p"] == ([None] if texts[r["i"]] is None else [t[j:j + 4] for j in range(0, max(1, len(t)), 4)])
+
+
+def test_tokenize_pairs_with_two_sequences_of_a_gene(spark):
+    from seqedge.operators import tokens
+
+    rows = [("g", "ACGTAC", "t", "AA"), ("g", "TTTTTTA", "t", "AA"), ("g", "ACGTAC", "t", "CC")]
+    df = spark.createDataFrame(rows, "gene string, gene_dna string, tf string, tf_dna string")
+    want = tokens.tokenize(df.withColumn("formatted_inputs", tokens.format_pair("gene_dna", "tf_dna")))
+    got = tokens.tokenize_pairs(df)
+    assert sorted((r["tf_dna"], r["input_ids"]) for r in got.collect()) == sorted((r["tf_dna"], r["input_ids"]) for r in want.collect())

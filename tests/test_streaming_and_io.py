@@ -58,6 +58,32 @@ def test_read_fasta_multiline(spark, scratch):
         ("chrI", 0, 0, "ACGT"), ("chrI", 1, 4, "ACGT"), ("chrI", 2, 8, "AA"), ("chrII", 0, 0, "TTTT")]
 
 
+def test_read_fasta_over_splits(spark, scratch):
+    """A contig over many splits, a '>' inside a header, an empty record, CRLF, and a long unwrapped line."""
+    import random
+
+    rng = random.Random(5)
+    want = {n: "".join(rng.choice("ACGT") for _ in range(k)) for n, k in [("chr1", 7013), ("chr2", 0), ("chr3", 501), ("chr4", 2600)]}
+    p = os.path.join(scratch, "g.fa")
+    with open(p, "w", newline="") as f:
+        f.write("stray line\n")
+        for n, s in want.items():
+            f.write(f">{n} a>b\r\n")
+            f.write(s + "\n" if n == "chr4" else "".join(s[i:i + 60] + "\r\n" for i in range(0, len(s), 60)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = spark.read.text(p)
+        assert lines.rdd.getNumPartitions() > 8
+        assert {r["contig"]: r["seq"] for r in readers.read_fasta_records(spark, p).collect()} == want
+        got = {(r["contig"], r["chunk"], r["offset"]): r["seq"] for r in readers.read_fasta(spark, p, chunk=256).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {(n, i, i * 256): s[i * 256:(i + 1) * 256] for n, s in want.items() for i in range(max(1, -(-len(s) // 256)))}
+
+
 @pytest.mark.parametrize("mode,expected", [("dict", {"a": [[9]], "b": [[2]]}), ("list", {"a": [[1], [9]], "b": [[2]]})])
 def test_merge_cache_modes(spark, mode, expected):
     from seqedge.operators import tokens
