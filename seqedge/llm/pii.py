@@ -1,13 +1,13 @@
 """Personal data (operator 9): candidate gradient boosting, in DataFrame functions and Spark's own boosted trees.
 
-High-recall patterns propose spans. Those that the base rules accept stay. The others are scored by boosted trees on
-their format and context, trained here on generated labelled spans; a threshold per kind, calibrated on a held-out part
+High-recall patterns propose spans, which may overlap. Those that the base rules accept stay. The others, among them the
+parts of what the base rules drop, are scored by boosted trees on their format and context, trained here on generated labelled spans; a threshold per kind, calibrated on a held-out part
 for precision, selects which of them are redacted too.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -31,13 +31,13 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-
 MORE = {
     "email": r"(?i)\b[a-z0-9._%+-]++(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[a-z0-9-]++(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)[a-z0-9-]++)++",
     "card": r"(?<![0-9.+-])[0-9]{4}(?:[.\x20_/-][0-9]{4}){3}(?![0-9])",
-    "phone": r"(?<![0-9+.)-])(?<!\+[0-9]\x20)(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9+.)-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
-MORE_NEEDS = {"email": r"(?i)\bat\b", "card": MORE["card"], "phone": MORE["phone"]}
+MORE_NEEDS = r"(?i)\bat\b"  # of email
 CONTEXT = {"phone": r"tel|phone|call|fax|mobil|dial|sms|ring", "email": r"mail|contact|write|reach|address|send", "card": r"card|visa|master|amex|pay|credit|debit"}
 AROUND = 24
 FEATURES = ["is_email", "is_card", "is_phone", "length", "digits", "letters", "separators", "kinds_of_separators", "brackets", "longest_digits", "groups",
-            "luhn", "written_at", "written_dot", "ends_like_domain", "context_phone", "context_email", "context_card", "near_digit", "near_letter"]
+            "luhn", "written_at", "written_dot", "ends_like_domain", "context_phone", "context_email", "context_card", "near_digit", "near_letter", "plus", "first_digits", "last_digits", "digits_after", "card_groups"]
 #: Generated training spans, and the precision that the held-out quarter must show.
 TRAIN_ROWS, PRECISION = 6000, 0.99
 
@@ -59,6 +59,42 @@ def spans(text: Column, pattern: str, needs: str) -> Column:
     return F.when(there, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
 
 
+def every_span(text: Column, pattern: str) -> Column:
+    """As ``spans``, but with the match at every place where one starts, also inside another match."""
+
+    def placed(matches: Column) -> Column:
+        gaps = F.transform(F.split(text, f"(?={pattern})", -1), lambda p: F.length(p))  # no empty piece before a match at the start
+        skip = F.size(gaps) - F.size(matches)
+        steps = F.zip_with(matches, F.slice(gaps, skip + 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), p.alias("gap")))
+        kind = "struct<at:int,out:array<struct<start:int,end:int,m:string>>>"
+        step = lambda a, x: F.struct(
+            (a["at"] + x["gap"]).alias("at"),
+            F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))).alias("out")).cast(kind)
+        return F.aggregate(steps, F.struct(F.when(skip > 0, F.get(gaps, F.lit(0))).otherwise(0).alias("at"), F.array().alias("out")).cast(kind), step)["out"]
+
+    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)), placed)).otherwise(none)
+
+
+def parts(kind: str, x: Column) -> Column:
+    """What a base match that fails may hold, as spans that may overlap: in a card match every run of 16 to 19 digits from
+    one separator to another, in a phone match the number cut after each group of digits that gives it 8 to 15."""
+    def found(m: Column, start: Column, pattern: str, sizes: range) -> Column:
+        runs = F.filter(F.array(*[F.regexp_extract(m, pattern % (n - 1), 0) for n in sizes]), lambda r: r != "")
+        return F.transform(runs, lambda r: F.struct(start.alias("start"), (start + F.length(r)).alias("end"), r.alias("m")))
+
+    if kind == "phone":
+        return found(x["m"], x["start"], r"^\+(?:[0-9][\x20().-]*+){%d}[0-9](?![0-9])", range(8, 16))
+
+    def of(chars: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: (i == 0) | F.get(chars, F.greatest(i - 1, F.lit(0))).isin(" ", "-"))
+        # 19 digits, a separator between any two, and one character to see where the last group ends
+        return F.flatten(F.transform(starts, lambda i: let(F.array_join(F.slice(chars, i + 1, 38), ""),
+                                                           lambda m: found(m, x["start"] + i, r"^(?:[0-9][\x20-]?){%d}[0-9](?![0-9])", range(16, 20)))))
+
+    return let(F.split(x["m"], ""), of)
+
+
 def digits_of(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -87,6 +123,8 @@ def features(kind: Column, m: Column, before: Column, after: Column) -> dict[str
         "groups": count("[0-9]+"), "luhn": luhn(digits_of(m)), "written_at": m.rlike(r"(?i)[\[(]at[\])]"), "written_dot": m.rlike(r"(?i)[\[(]dot[\])]|\x20dot\x20"),
         "ends_like_domain": m.rlike(r"(?i)[.\x20\])](com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$"),
         "near_digit": after.rlike("^[0-9]") | before.rlike(r"[0-9][\x20.,/-]?$"), "near_letter": after.rlike("^[A-Za-z]") | before.rlike("[A-Za-z]$"),
+        "plus": m.startswith("+"), "first_digits": F.length(F.regexp_extract(m, "[0-9]+", 0)), "last_digits": F.length(F.regexp_extract(m, "([0-9]+)[^0-9]*$", 1)),
+        "card_groups": m.rlike("^[0-9]{16,19}$|^[0-9]{4}(?:[^0-9][0-9]{4}){3}(?:[^0-9][0-9]{1,3})?$"), "digits_after": F.length(F.regexp_extract(after, r"^[\x20().-]{1,2}([0-9]+)", 1)),
     } | {f"context_{k}": low.rlike(p) for k, p in CONTEXT.items()}
     return {k: F.coalesce(out[k].cast("double"), F.lit(0.0)) for k in FEATURES}
 
@@ -107,7 +145,14 @@ def training_spans(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 3) -
     grouped = lambda d, sep: F.concat_ws(sep, *[F.substring(d, 4 * j + 1, 4) for j in range(4)])
     serial = cat(num("s1", 8), num("s2", 8))
     good_words, plain_words = "phone: |call us at |tel. |mail me: |write to |contact |card no |pay with visa |", "in the year |version |chapter |size |between |the total of |see page |"
-    forms = [  # kind, span, label, context words
+    beside = "12 |555-3296 |4845168114407329 |a list of 17 |"
+    spaced = cat(F.lit("+"), num(1, 2), F.lit(" "), num(2, 2), F.lit(" "), num(3, 4))
+    bracketed = cat(F.lit("+"), num(1, 1), F.lit(" ("), num(2, 3), F.lit(") "), num(3, 3), F.lit("-"), num(4, 4))
+    dashed = cat(F.lit("+"), num(1, 1), F.lit("-"), num(2, 3), F.lit("-"), num(3, 3), F.lit("-"), num(4, 4))
+    local = cat(F.lit("+"), num(1, 2), F.lit(" "), num(2, 3), F.lit(" "), num(3, 7))
+    numbers = [cat(F.lit(" "), num("a1", 3), F.lit("."), num("a2", 3)), cat(F.lit(" "), num("a3", 8)), cat(F.lit(" "), num("a4", 2)), F.lit(", "), F.lit(" and"), F.lit(".")]
+    four = [cat(F.lit(" "), num("a5", 4)), cat(F.lit(" "), num("a6", 4), F.lit(" 19"))]
+    forms = [  # kind, span, label, context words, what may follow (else as everywhere)
         ("phone", cat(F.lit("("), num(1, 3), F.lit(") "), num(2, 3), F.lit("-"), num(3, 4)), 1, good_words + plain_words),
         ("phone", cat(num(1, 3), F.lit("-"), num(2, 3), F.lit("-"), num(3, 4)), 1, good_words + plain_words),
         ("phone", cat(num(1, 3), F.lit("."), num(2, 3), F.lit("."), num(3, 4)), 1, good_words),
@@ -127,6 +172,15 @@ def training_spans(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 3) -
         ("card", grouped(serial, "."), 0, plain_words),
         ("card", grouped(serial, "-"), 0, plain_words),
         ("card", grouped(serial, " "), 0, plain_words),
+        *[("phone", m, 1, good_words + plain_words, numbers) for m in (bracketed, dashed, local, cat(spaced, F.lit(" "), num(4, 4)))],
+        *[("phone", cat(m, F.lit(sep), num(5, n)), 0, good_words + plain_words, numbers) for m in (bracketed, dashed) for sep, n in ((" ", 3), (" ", 2))],
+        ("phone", cat(local, F.lit(" "), num(5, 2)), 0, good_words + plain_words, numbers),
+        ("phone", spaced, 0, good_words + plain_words, four),
+        *[("card", m, 1, good_words + plain_words + beside, numbers) for m in (card, grouped(card, " "), grouped(card, "-"))],
+        *[("card", m, 0, good_words + plain_words + beside, numbers) for m in (serial, grouped(serial, " "))],
+        # other numbers side by side whose digits pass the check by chance
+        *[("card", F.concat_ws(" ", *[F.substring(card, a + 1, b - a) for a, b in zip(at, at[1:])]), 0, plain_words + beside, numbers)
+          for at in (range(17), range(0, 17, 2), (0, 3, 6, 9, 12, 15, 16), (0, 1, 3, 6, 8, 9, 12, 14, 16), (0, 3, 7, 10, 13, 16), (0, 4, 7, 10, 16), (0, 2, 16), (0, 13, 16))],
     ]
     form = pick("form", len(forms))
     chosen = lambda make: reduce(lambda rest, k: F.when(form == k, make(*forms[k])).otherwise(rest), range(1, len(forms)), make(*forms[0]))
@@ -135,11 +189,15 @@ def training_spans(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 3) -
         options = [w for w in words.split("|")]
         return F.element_at(F.array(*[F.lit(w) for w in options]), (pick("context", len(options)) + 1).cast("int"))
 
-    after = F.element_at(F.array(*[F.lit(w) for w in ("", ".", " and", ", ", "\n")]), (pick("after", 5) + 1).cast("int"))
-    # serial numbers pass the check by chance one time in ten; those are not negatives
-    out = spark.range(rows).select("id", chosen(lambda k, m, y, c: F.lit(k)).alias("kind"), chosen(lambda k, m, y, c: m).alias("m"),
-                                   chosen(lambda k, m, y, c: context(c)).alias("before"), after.alias("after"), chosen(lambda k, m, y, c: F.lit(float(y))).alias("label"))
-    return out.filter((F.col("kind") != "card") | (F.col("label") == 1) | ~luhn(digits_of(F.col("m"))))
+    def follows(options: list[Column]) -> Column:
+        return F.element_at(F.array(*options), (pick("after", len(options)) + 1).cast("int"))
+
+    plain = [F.lit(w) for w in ("", ".", " and", ", ", "\n")]
+    # serial numbers pass the check by chance one time in ten; those are not negatives, other layouts are
+    out = spark.range(rows).select("id", chosen(lambda k, m, y, c, a=plain: F.lit(k)).alias("kind"), chosen(lambda k, m, y, c, a=plain: m).alias("m"),
+                                   chosen(lambda k, m, y, c, a=plain: context(c)).alias("before"), 
+                                   chosen(lambda k, m, y, c, a=plain: follows(a)).alias("after"), chosen(lambda k, m, y, c, a=plain: F.lit(float(y))).alias("label"))
+    return out.filter((F.col("kind") != "card") | (F.col("label") == 1) | ~luhn(digits_of(F.col("m"))) | ~F.col("m").rlike("^[0-9]{4}(.?[0-9]{4}){3}$"))
 
 
 def train(spark: SparkSession):
@@ -165,19 +223,24 @@ def train(spark: SparkSession):
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """(key, base, more) per input row: arrays of (kind number, start, end, m) of the base spans, and of the proposals
-    that the trees select and that touch no base span; both in the order of kind, then start. ``with_text`` adds the
-    text as t (null as empty).
+    that the trees select and that touch no base span; both in the order of kind, then start. Of selected proposals that
+    overlap, the one with the highest score stays, of equals the longest. ``with_text`` adds the text as t (null as empty).
 
     Null and empty texts have no spans; repeated rows and equal or null keys are searched one by one; an empty table
     gives no rows; other columns play no part.
     """
     model, thresholds = train(docs.sparkSession)
     t = F.col("t")
-    kept = lambda kind: F.filter(spans(t, BASE[kind], NEEDS[kind]), lambda x: passes(kind, x["m"]))
+    matched = lambda kind: let(spans(t, BASE[kind], NEEDS[kind]), lambda a: F.struct(
+        F.filter(a, lambda x: passes(kind, x["m"])).alias("kept"), F.filter(a, lambda x: ~passes(kind, x["m"])).alias("failed")))
     numbered = lambda kind, a: F.transform(a, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m")))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), quoted(key).alias("key"), or_empty(quoted(text)).alias("t"))
-    rows = rows.withColumn("base", F.concat(*[numbered(k, kept(k)) for k in KINDS]))
-    proposed = F.concat(*[numbered(k, spans(t, MORE[k], MORE_NEEDS[k])) for k in MORE])
+    rows = rows.withColumn("found", let(F.struct(*[matched(k).alias(k) for k in KINDS]), lambda a: F.struct(
+        F.concat(*[numbered(k, a[k]["kept"]) for k in KINDS]).alias("base"),
+        F.concat(*[numbered(k, F.flatten(F.transform(a[k]["failed"], partial(parts, k)))) for k in ("card", "phone")]).alias("parts"))))
+    rows = rows.select("uid", "key", "t", F.col("found.base").alias("base"), F.col("found.parts").alias("parts"))
+    more = [numbered(k, every_span(t, MORE[k]) if k != "email" else spans(t, MORE[k], MORE_NEEDS)) for k in MORE]
+    proposed = F.array_distinct(F.concat(*more, F.col("parts")))
     around = lambda x: F.struct(
         x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"),
         F.substring(t, F.greatest(F.lit(1), x["start"] - AROUND + 1), F.least(F.lit(AROUND), x["start"])).alias("before"), F.substring(t, x["end"] + 1, F.lit(8)).alias("after"))
@@ -188,8 +251,12 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bo
     one = one.select(*carried, "x", kind.alias("kind"), *[c.alias(k) for k, c in features(kind, F.col("x.m"), F.col("x.before"), F.col("x.after")).items()])
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(one)).withColumn("p", vector_to_array("probability")[1])
     least = reduce(lambda rest, k: F.when(F.col("kind") == k, F.lit(thresholds[k])).otherwise(rest), thresholds, F.lit(2.0))
-    chosen = F.when(F.col("x").isNotNull() & (F.col("p") >= least), F.struct("x.k", "x.start", "x.end", "x.m"))
-    return scored.groupBy(*carried).agg(F.array_sort(F.collect_list(chosen)).alias("more")).select(F.col("key").alias(key), "base", "more", *carried[3:])
+    chosen = F.when(F.col("x").isNotNull() & (F.col("p") >= least), F.struct((-F.col("p")).alias("o"), (F.col("x.start") - F.col("x.end")).alias("l"), "x.k", "x.start", "x.end", "x.m"))
+    kind = "array<struct<k:int,start:int,end:int,m:string>>"
+    best = lambda a, x: F.when(F.exists(a, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), a).otherwise(
+        F.concat(a, F.array(F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"))))).cast(kind)
+    apart = F.aggregate(F.array_sort(F.collect_list(chosen)), F.array().cast(kind), best)
+    return scored.groupBy(*carried).agg(F.array_sort(apart).alias("more")).select(F.col("key").alias(key), "base", "more", *carried[3:])
 
 
 def joined(a: Column) -> Column:

@@ -200,6 +200,16 @@ def test_pii_base_spans_and_more(spark, rows):
     assert dict(pii.redact(new).collect()) == {1: "call us at [PHONE] now", 2: "write to [EMAIL]", 3: "in the year 2004 2005 and 12.5.1", 4: "a [EMAIL] b"}
 
 
+def test_pii_numbers_side_by_side(spark):
+    """What the base rules drop as one long match: two cards, a phone before an address or a card, grouped cards."""
+    texts = ["çan 7536784127813050 4845168114407329 tre", "Hean. 2353820953013749 4550997810720808 th", "Des +1 (826) 555-4081 190.137.223.204 du", "un. +1 (843) 555-7672 170.106.47.218 Et",
+             "and +1 (269) 555-3296 4524132264652876 and", "x 7536 7841 2781 3050 4845 1681 1440 7329 y", "counts 12 15 18 22 7 3 14 16 11 19 20 21 35 2 8 10 12 14 9 4 5 6 7 8",
+             "7536784127813050 4845168114407329", "call +1 (826) 555-4081 212 555 1234 now"]
+    got = dict(pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == {0: "çan [CARD] [CARD] tre", 1: "Hean. 2353820953013749 [CARD] th", 2: "Des [PHONE] [IP] du", 3: "un. [PHONE] [IP] Et", 4: "and [PHONE] [CARD] and",
+                   5: "x [CARD] [CARD] y", 6: texts[6], 7: "[CARD] [CARD]", 8: "call [PHONE] [PHONE] now"}
+
+
 def test_pii_model_on_fresh_spans(spark):
     model, thresholds = pii.train(spark)
     from pyspark.ml.feature import VectorAssembler
