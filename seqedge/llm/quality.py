@@ -1,16 +1,17 @@
 """Quality rules (operator 7): repetition measures and cross-document line frequency, in DataFrame functions only.
 
 A line is boilerplate of its host when more than ``max_docs`` distinct documents of the host hold it, in at least
-``min_contexts`` different surroundings (line before, line after). The second limit keeps copies apart from
-boilerplate: a thousand copies of one article repeat its lines a thousand times, but always between the same
-neighbours, and judging copies is the work of the near-duplicate join.
+``min_contexts`` different surroundings: the lines beside it, or beside the block of such frequent lines that it stands
+in. The second limit keeps copies apart from boilerplate: a thousand copies of one article repeat its lines a thousand
+times, but always between the same neighbours, and judging copies is the work of the near-duplicate join. Blocks count
+only in documents that have text of their own, so that a line that differs does not make the rest of a near copy a block.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqedge.llm.common import WORD, cut, fresh, let, or_empty, quoted, table
@@ -22,7 +23,8 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 @dataclass(frozen=True)
 class Limits:
     """min_words, max_repeat: the base rules (words; percent of words in repeated windows). max_docs, min_contexts:
-    a line is boilerplate beyond these. min_left: percent of a document's words that must remain without it."""
+    a line is boilerplate beyond these. min_left: percent of a document's words that must remain without it, and that
+    frequent lines must leave for a document's blocks to count."""
 
     min_words: int = 20
     max_repeat: int = 30
@@ -111,16 +113,45 @@ def line_structs(text: Column) -> Column:
     return let(let(hashed_lines(text), context), first)
 
 
+def block_lines(docs: DataFrame, frequent: DataFrame, text: str, host: str, limits: Limits) -> DataFrame:
+    """(host, h): those of the ``frequent`` lines that stand in blocks with ``min_contexts`` different surroundings.
+
+    A block is a run of frequent lines of a document, and its surroundings are the lines before and after the run, so
+    only the frequent lines' rows are shuffled, each with its neighbours' hashes.
+    """
+
+    def beside(lines: Column) -> Column:
+        total = F.aggregate(lines, F.lit(0).cast("long"), lambda a, e: a + e["w"])
+        return let(total, lambda n: F.transform(lines, lambda e, k: F.struct(
+            e["h"].alias("h"), e["w"].alias("w"), k.alias("j"), n.alias("total"),
+            F.when(k > 0, F.get(lines, F.greatest(k - 1, F.lit(0)))["h"]).alias("p"), F.get(lines, k + 1)["h"].alias("q"))))
+
+    line = docs.select(F.monotonically_increasing_id().alias("uid"), or_empty(quoted(host).cast("string")).alias("host"),
+                       let(hashed_lines(quoted(text)), beside).alias("lines"))
+    line = line.select("uid", "host", F.explode("lines").alias("l")).select("uid", "host", "l.*")
+    of_doc = Window.partitionBy("uid")
+    rows = line.join(frequent.select("host", "h"), ["host", "h"], "left_semi").withColumns(
+        {"run": F.col("j") - F.row_number().over(of_doc.orderBy("j")), "own": F.col("total") - F.sum("w").over(of_doc)})
+    of_run = Window.partitionBy("uid", "run")
+    rows = rows.filter(100 * F.col("own") >= limits.min_left * F.col("total")).withColumn(
+        "c", F.xxhash64(F.min_by("p", "j").over(of_run), F.max_by("q", "j").over(of_run)))
+    first = rows.groupBy("uid", "host", "h").agg(F.min_by("c", "j").alias("c"))
+    return (first.groupBy("host", "h", "c").agg(F.count("*").alias("n")).groupBy("host", "h").agg(F.count("*").alias("n_contexts"))
+            .filter(F.col("n_contexts") >= limits.min_contexts).select("host", "h"))
+
+
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = Limits()) -> DataFrame:
-    """(host, h, n_docs, n_contexts) of each host's boilerplate lines.
+    """(host, h) of each host's boilerplate lines.
 
-    Two partial aggregates: first per (host, line, surroundings), which spreads a line that a third of all documents
+    Two partial aggregates find the frequent ones: first per (host, line, surroundings), which spreads a line that a third of all documents
     hold over many keys and combines in every task, then per (host, line).
     """
     line = docs.select(or_empty(quoted(host).cast("string")).alias("host"), F.explode(line_structs(quoted(text))).alias("l"))
     per_context = line.filter("l.first").groupBy("host", "l.h", "l.c").agg(F.count("*").alias("n"))
-    return (per_context.groupBy("host", "h").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_contexts"))
-            .filter((F.col("n_docs") > limits.max_docs) & (F.col("n_contexts") >= limits.min_contexts)))
+    frequent = cut(per_context.groupBy("host", "h").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_contexts"))
+                   .filter(F.col("n_docs") > limits.max_docs), "frequent-lines")
+    varied = frequent.filter(F.col("n_contexts") >= limits.min_contexts).select("host", "h")
+    return varied.unionByName(block_lines(docs, frequent, text, host, limits)).distinct()
 
 
 def verdict(m: Column, removed: Column, limits: Limits) -> tuple[Column, Column]:

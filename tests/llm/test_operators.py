@@ -154,6 +154,22 @@ def test_quality_boilerplate_and_copies(spark):
     assert clean[3] == f"{body(3)}\n{body(103)}" and set(clean) == {k for k, r in got.items() if r["kept"]}
 
 
+def test_quality_blocks_of_lines(spark):
+    line = lambda i, j: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}{chr(97 + m)}" for m in range(9))
+    body = lambda i: [line(i, j) for j in range(6)]
+    block = lambda name: [f"{name} line {w} of the block" for w in "one two three four five".split()]
+    docs = [(i, "\n".join([*block("header"), *body(i), *block("footer")]), "s") for i in range(40)]
+    docs += [(100 + i, "\n".join([*block("copy"), *body(300)]), "s") for i in range(60)]  # copies are no boilerplate
+    docs += [(200 + i, "\n".join([*body(400), line(450 + i, 0), *body(401)]), "t") for i in range(60)]  # nor near copies, but for the lines beside the one that differs
+    docs += [(300, "\n".join([*block("header"), *block("footer")]), "s")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(frame).collect()}
+    assert all(got[i]["n_boiler_words"] == 60 and got[i]["kept"] for i in range(40)) and all(got[100 + i]["n_boiler_words"] == 0 for i in range(60))
+    assert all(got[200 + i]["n_boiler_words"] == 18 and got[200 + i]["kept"] for i in range(60)) and got[300]["n_boiler_words"] == 60 and not got[300]["kept"]
+    clean = {r["doc_id"]: r["text"] for r in quality.clean(frame, size=None).collect()}
+    assert clean[3] == "\n".join(body(3)) and 300 not in clean
+
+
 def test_quality_repeats(spark):
     texts = ["a b c d e f g h " * 3, "a b c d e f g h", LONG + " " + LONG[:200], "x " * 10, None]
 
