@@ -55,3 +55,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def quoted(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def pieces(batch, column: int, size: int = 2 << 20):
+    """Slices of an Arrow batch, each of about ``size`` bytes of the string column (one row at least), so that what a
+    task makes of long texts goes out a few texts at a time."""
+    import pyarrow.compute as pc
+
+    lengths, b, held = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), 0, 0
+    for e, n in enumerate(lengths):
+        if held and held + n > size:
+            yield batch.slice(b, e - b)
+            b, held = e, 0
+        held += n + 64
+    if b < len(lengths):
+        yield batch.slice(b)
