@@ -1,22 +1,22 @@
 """Deterministic ranks, exact-size selection and running totals.
 
-None of these uses a window without ``partitionBy`` over raw rows. Rows are
-placed in buckets that are a function of the ordering value (a hex-prefix of
-an md5 order key, or a linear slice of a score range), so a bucket never
-splits a tie. Per-bucket counts form a table whose size is bounded by the
-number of buckets (``16 ** digits`` or ``n_buckets``), which is the only
-table ordered globally and the only one broadcast. Rows are then numbered
-inside their bucket, in parallel across buckets.
+None of these uses a window without ``partitionBy`` over raw rows. Rows with
+an md5 order key or a score are placed in buckets that are a function of it
+(a hex-prefix, or a linear slice of the range); rows with raw keys in ranges
+by sampled quantiles. The counts per bucket or range are a table bounded by
+their number, the only one ordered globally. Rows are then numbered inside
+their bucket, in parallel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqedge.session import cut
+
 _B = "_se_bucket"
 _S = "_se_slice"
 
@@ -31,20 +31,11 @@ def order_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def _prefix_counts(df: DataFrame, key: str, by: Sequence[str], digits: int) -> tuple[DataFrame, DataFrame]:
-    d = df.withColumn(_B, F.substring(F.col(key), 1, digits))
-    counts = d.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_se_n"))
-    w_before = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    counts = (counts
-              .withColumn("_se_before", F.coalesce(F.sum("_se_n").over(w_before), F.lit(0)).cast("bigint"))
-              .withColumn("_se_total", F.sum("_se_n").over(Window.partitionBy(*by)).cast("bigint")))
-    return d, counts
-
-
 def _attach(d: DataFrame, counts: DataFrame, by: Sequence[str], small_groups: bool) -> DataFrame:
-    # counts has at most 16**digits rows per group; with few groups it is
-    # bounded and broadcast, otherwise it is joined like any other table.
-    side = F.broadcast(counts) if small_groups else counts
+    # counts has at most 16**digits rows per group. Without groups, or with as
+    # few as the caller vouches for, that is a bound and the table is
+    # broadcast; otherwise it is joined like any other table.
+    side = F.broadcast(counts) if small_groups or not by else counts
     return d.join(side, [*by, _B])
 
 
@@ -81,11 +72,13 @@ def _regenerate(df: DataFrame) -> DataFrame:
 
 
 def prefix_rank(df: DataFrame, key: str, by: Sequence[str] = (), ties: Sequence[str] = (),
-                rank_col: str = "rank", digits: int = 4, small_groups: bool = True,
+                rank_col: str = "rank", digits: int = 4, small_groups: bool = False,
                 collapse_copies: bool = True) -> DataFrame:
-    """1-based row number of each row ordered by the string ``key``
-    (then ``ties``, then the remaining columns), restarting for each ``by``
-    group.
+    """W6 for order keys: 1-based row number of each row ordered by the string
+    ``key`` (then ``ties``, then the remaining columns), restarting for each
+    ``by`` group. The key's first ``digits`` characters must spread evenly, as
+    those of ``order_key`` do; raw ids go to ``range_rank``. ``small_groups``
+    vouches for few ``by`` groups (classes).
 
     Equal to ``row_number() over (partition by by order by key, ties, ...)``
     but computed as bucket offset + running count inside the bucket. Identical
@@ -113,44 +106,133 @@ def prefix_rank(df: DataFrame, key: str, by: Sequence[str] = (), ties: Sequence[
     return ranked.select(*cols, (F.col("_se_start") + F.col(_POS) + 1).cast("bigint").alias(rank_col))
 
 
+_AT = "_se_at"
+
+
+def range_rank(df: DataFrame, key: str, by: Sequence[str] = (), ties: Sequence[str] = (),
+               rank_col: str = "rank", ranges: int | None = None, collapse_copies: bool = True) -> DataFrame:
+    """W6 / L1 over raw keys of any orderable type: ``row_number() over
+    (partition by by order by key, ties, the other columns)``.
+
+    Rows are cut into ``ranges`` (default: the shuffle partitions) by sampled
+    quantiles of the whole order, so neither a common prefix, nor a hot key or
+    group, nor clustered values make one range larger than the others;
+    identical rows are one row with a copy count until the end. Each range is
+    sorted in its task and written with its places, the counts of all ranges
+    (one row for each range and group) give the offsets.
+    """
+    cols = df.columns
+    base = _with_copies(df) if collapse_copies else df
+    order = [*by, key, *ties, *_orderable(df, [key, *by, *ties])]
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ranges = base.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the id holds the range in its upper bits and the place in its lower 33
+    place = F.monotonically_increasing_id()
+    placed = cut(sorted_ranges.withColumn(_AT, place).withColumn(_B, F.shiftright(_AT, 33)), "ranges")
+    copies = F.col(_COPIES) if collapse_copies else F.lit(1)
+    counts = placed.groupBy(*by, _B).agg(F.sum(copies).alias("_se_n"), F.min(_AT).alias("_se_first"))
+    earlier = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_se_by{i}" for i in range(len(by))]
+    counts = counts.select(*[F.col(c).alias(x) for c, x in zip(by, names)], F.col(_B).alias("_se_range"), "_se_first",
+                           F.coalesce(F.sum("_se_n").over(earlier), F.lit(0)).cast("bigint").alias("_se_before"))
+    on = F.col(_B) == F.col("_se_range")
+    for c, x in zip(by, names):
+        on = on & F.col(c).eqNullSafe(F.col(x))
+    joined = placed.join(F.broadcast(counts) if not by else counts, on)  # without groups: a row a range
+    if not collapse_copies:
+        return joined.select(*cols, (F.col("_se_before") + F.col(_AT) - F.col("_se_first") + 1).cast("bigint").alias(rank_col))
+    inside = Window.partitionBy(*by, _B).orderBy(_AT).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_se_before") + F.coalesce(F.sum(_COPIES).over(inside), F.lit(0))
+    ranked = _regenerate(joined.withColumn("_se_start", start))
+    return ranked.select(*cols, (F.col("_se_start") + F.col(_POS) + 1).cast("bigint").alias(rank_col))
+
+
+def cut_points(df: DataFrame, key: str, target: Callable[[Column], Column], by: Sequence[str] = (),
+               ties: Sequence[str] = (), digits: int = 4) -> DataFrame:
+    """Where each ``by`` group is cut when its first ``target(group_total)``
+    rows in the order of the order key ``key`` and ``ties`` are taken: a row
+    ``(by, last, take, copies)`` for each group that takes any. ``last`` is the
+    struct (key, ties) of the last row taken; of the ``copies`` rows that are
+    equal to it, ``take`` are taken.
+
+    Reads only these columns of ``df``, which are written first: counts per
+    key prefix find the one bucket per group that the cut falls into, and only
+    that bucket is ordered.
+    """
+    keys = cut(df.select(*by, key, *ties), "order-keys")
+    keyed = keys.withColumn(_B, F.substring(F.col(key), 1, digits))
+    counts = keyed.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_se_n"))
+    group = Window.partitionBy(*by)
+    upto = group.orderBy(_B).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = (counts.withColumn("_se_upto", F.sum("_se_n").over(upto)).withColumn("_se_total", F.sum("_se_n").over(group))
+              .withColumn("_se_cut", F.least(target(F.col("_se_total")).cast("bigint"), F.col("_se_total"))))
+    edge = counts.filter((F.col("_se_upto") >= F.col("_se_cut")) & (F.col("_se_upto") - F.col("_se_n") < F.col("_se_cut")))
+    edge = edge.select(*[F.col(c).alias(f"_se_by{i}") for i, c in enumerate(by)], F.col(_B).alias("_se_bucket2"),
+                       (F.col("_se_cut") - F.col("_se_upto") + F.col("_se_n")).alias("_se_take"))
+    on = F.col(_B) == F.col("_se_bucket2")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_se_by{i}"))
+    near = keyed.join(F.broadcast(edge) if not by else edge, on)  # without groups: one row
+    tied = near.groupBy(*by, "_se_take", F.struct(key, *ties).alias("last")).agg(F.count(F.lit(1)).alias("copies"))
+    before = Window.partitionBy(*by).orderBy("last").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tied = tied.withColumn("_se_upto", F.sum("copies").over(before))
+    found = tied.filter((F.col("_se_upto") >= F.col("_se_take")) & (F.col("_se_upto") - F.col("copies") < F.col("_se_take")))
+    return cut(found.select(*by, "last", (F.col("_se_take") - F.col("_se_upto") + F.col("copies")).alias("take"), "copies"), "cut-points")
+
+
+def _literal(row) -> Column:
+    return F.struct(*[F.lit(v).alias(k) for k, v in row.asDict().items()])
+
+
+def first_n(key: str, ties: Sequence[str], last) -> Column:
+    """Whether a row comes no later than ``last`` (a row of ``cut_points``; None takes nothing), without a join."""
+    return F.lit(False) if last is None else F.struct(key, *ties) <= _literal(last["last"])
+
+
 def select_first_n(df: DataFrame, key: str, target: Callable[[Column], Column],
                    by: Sequence[str] = (), ties: Sequence[str] = (), flag_col: str = "selected",
-                   digits: int = 4, small_groups: bool = True, cache_input: bool = True) -> DataFrame:
+                   digits: int = 4) -> DataFrame:
     """Flag the first ``target(group_total)`` rows of each ``by`` group in
     ``key`` order (exact size, reproducible).
 
-    Only the rows of the one bucket per group that straddles the cut are
-    ordered; every other row is decided by its bucket's offset, so the bulk
-    of the data never goes through a sort or a shuffle. In the straddling
-    bucket identical rows are collapsed to a copy count before the window and
-    regenerated after it, so a hot group of copies is never sorted in one
-    task. The input is read twice (bucket counts, then flags);
-    ``cache_input`` persists it (memory and disk, rebuilt from lineage if an
-    executor is lost) so an expensive upstream plan runs once.
+    ``cut_points`` finds the last row of each group from the order columns
+    alone, in files; then every row of ``df`` is compared with it where it
+    lies, so rows are neither sorted nor shuffled (with ``by``, the table of
+    groups is joined, by broadcast where its files are small), and nothing
+    stays cached. Only where rows share key and ties with the last one, and
+    not all of them are taken, these rows are ordered by their other columns.
+    Null keys are not supported (an order key is never null).
     """
     cols = df.columns
-    if cache_input:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    d, counts = _prefix_counts(df, key, by, digits)
-    counts = (counts.withColumn("_se_cut", target(F.col("_se_total")).cast("bigint"))
-              .withColumn("_se_state",
-                          F.when(F.col("_se_before") + F.col("_se_n") <= F.col("_se_cut"), F.lit(1))
-                          .when(F.col("_se_before") >= F.col("_se_cut"), F.lit(0))
-                          .otherwise(F.lit(2)))
-              .select(*by, _B, "_se_before", "_se_cut", "_se_state"))
-    joined = _attach(d, counts, by, small_groups)
-    decided = (joined.filter(F.col("_se_state") < 2)
-               .select(*cols, (F.col("_se_state") == 1).alias(flag_col)))
-    edge_rows = joined.filter(F.col("_se_state") == 2).drop("_se_state")
-    m = _with_copies(edge_rows)
-    order = [F.col(key), *[F.col(t) for t in ties],
-             *[F.col(c) for c in _orderable(df, [key, *by, *ties])]]
-    w = Window.partitionBy(*by, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_se_before") + F.coalesce(F.sum(_COPIES).over(w), F.lit(0))
-    take = F.least(F.greatest(F.col("_se_cut") - before, F.lit(0)), F.col(_COPIES))
-    edge = _regenerate(m.withColumn("_se_take", take))
-    edge = edge.select(*cols, (F.col(_POS) < F.col("_se_take")).alias(flag_col))
-    return decided.unionByName(edge)
+    limits = cut_points(df, key, target, by, ties, digits)
+    here = F.struct(key, *ties)
+    if by:
+        names = [f"_se_by{i}" for i in range(len(by))]
+        side = limits.select(*[F.col(c).alias(x) for c, x in zip(by, names)], "last", "take", "copies").withColumnsRenamed(
+            {"last": "_se_last", "take": "_se_take", "copies": "_se_eq"})
+        on = F.lit(True)
+        for c, x in zip(by, names):
+            on = on & F.col(c).eqNullSafe(F.col(x))
+        d, last, take, equal = df.join(side, on, "left"), F.col("_se_last"), F.col("_se_take"), F.col("_se_eq")
+        split = F.coalesce(take < equal, F.lit(False))
+        any_split = bool(limits.filter("take < copies").take(1))
+    else:
+        found = limits.first()
+        if found is None:
+            return df.withColumn(flag_col, F.lit(False))
+        d, last, take = df, _literal(found["last"]), F.lit(found["take"])
+        any_split = found["take"] < found["copies"]
+        split = F.lit(any_split)
+    if not any_split:
+        return d.select(*cols, F.coalesce(here <= last, F.lit(False)).alias(flag_col))
+    torn = split & (here == last)
+    decided = d.filter(~F.coalesce(torn, F.lit(False))).select(*cols, F.coalesce(here <= last, F.lit(False)).alias(flag_col))
+    m = _with_copies(d.filter(torn).select(*cols, take.alias("_se_cut")))
+    rest = [F.col(c) for c in _orderable(df, [key, *by, *ties])] or [F.lit(0)]
+    w = Window.partitionBy(*by, key, *ties).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_se_cut") - F.coalesce(F.sum(_COPIES).over(w), F.lit(0))
+    edge = _regenerate(m.withColumn("_se_left", F.least(F.greatest(left, F.lit(0)), F.col(_COPIES))))
+    return decided.unionByName(edge.select(*cols, (F.col(_POS) < F.col("_se_left")).alias(flag_col)))
 
 
 def batch_no(rank, batch_size: int) -> Column:
@@ -222,7 +304,6 @@ def running_totals(groups: DataFrame, score: str, sums: Sequence[str], descendin
 
 
 def global_rank(df: DataFrame, key: str, by: Sequence[str] = (), ties: Sequence[str] = (),
-                rank_col: str = "rank", digits: int = 4) -> DataFrame:
-    """W6 under its planned name: see ``prefix_rank``."""
-    return prefix_rank(df, key, by=by, ties=ties, rank_col=rank_col, digits=digits)
-
+                rank_col: str = "rank") -> DataFrame:
+    """W6 under its planned name: see ``range_rank``."""
+    return range_rank(df, key, by=by, ties=ties, rank_col=rank_col)

@@ -3,8 +3,8 @@
 
 Every random choice is an md5 order key (D4), so a sample is the same on any
 partitioning and has an SQL oracle. Exact sizes come from
-``ranking.select_first_n``: only the bucket that straddles the cut is
-sorted.
+``ranking.select_first_n``: rows are compared with the last one taken, where
+they lie.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqedge.functions.numeric import binarize
-from seqedge.operators.ranking import order_key, prefix_rank, select_first_n
+from seqedge.operators.ranking import order_key, prefix_rank, range_rank, select_first_n
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -88,26 +88,11 @@ def cap(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def _sortable(df: DataFrame, order: str) -> Column:
-    """A string that sorts as ``order`` does, and spreads over its prefixes: a
-    string as it is, an integer as its distance from the least value, padded
-    to the widest one."""
-    kind = dict(df.dtypes)[order]
-    if kind == "string":
-        return F.col(order)
-    if kind not in ("tinyint", "smallint", "int", "bigint"):
-        raise TypeError(f"order must be a string or integer column, got {kind}")
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    width = len(str((high or 0) - (low or 0)))
-    return F.lpad((F.col(order).cast("decimal(20,0)") - F.lit(low or 0)).cast("string"), width, "0")
-
-
 def even_class_batches(df: DataFrame, batch_size: int, drop_last: bool, label: str = "label",
                        id_col: str = "id", seed: int = 0, order: str | None = None,
                        threshold: float = 0.5) -> DataFrame:
     """Balanced batches. A label from ``threshold`` on is positive. Each
-    class is shuffled (md5 order, or the order of the string or integer
-    column ``order``); the smaller class is cycled; the i-th item of the larger
+    class is shuffled (md5 order, or the order of the column ``order``); the smaller class is cycled; the i-th item of the larger
     class is paired with item ``i mod m`` of the smaller; pairs are cut into
     batches of ``batch_size / 2``; in a batch the smaller class comes first in
     each pair (positives when equal). ``drop_last`` drops a short last batch.
@@ -119,7 +104,7 @@ def even_class_batches(df: DataFrame, batch_size: int, drop_last: bool, label: s
     if batch_size % 2 != 0:
         raise ValueError(f"even_class_batches needs an even batch size, got {batch_size}")
     half = batch_size // 2
-    key = _sortable(df, order) if order else order_key(seed, F.col(id_col))
+    key = F.col(order) if order else order_key(seed, F.col(id_col))
     base = df.select(F.col(id_col).alias("_id"), binarize(label, threshold).alias("_y"), key.alias("_ok"))
     counts = {r["_y"]: r["n"] for r in base.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, n = counts.get(1, 0), counts.get(0, 0)
@@ -127,7 +112,10 @@ def even_class_batches(df: DataFrame, batch_size: int, drop_last: bool, label: s
     m, big = (n, p) if small_y == 0 else (p, n)
     if m == 0:
         return df.sparkSession.createDataFrame([], f"batch bigint, slot int, {id_col} string, {label} int")
-    ranked = prefix_rank(base, "_ok", by=["_y"], ties=["_id"], rank_col="_r")
+    if order:
+        ranked = range_rank(base, "_ok", by=["_y"], ties=["_id"], rank_col="_r")
+    else:
+        ranked = prefix_rank(base, "_ok", by=["_y"], ties=["_id"], rank_col="_r", small_groups=True)  # two classes
     small = ranked.filter(F.col("_y") == small_y).select(
         (F.col("_r") - 1).alias("_j"), F.col("_id").alias("_sid"))
     large = ranked.filter(F.col("_y") != small_y).select(

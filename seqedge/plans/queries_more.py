@@ -90,7 +90,7 @@ def q_network_summary(spark, d):
           "SELECT tf, row_number() OVER (ORDER BY tf) AS rank FROM (SELECT DISTINCT tf FROM edges) x")
 def q_matrix_labels(spark, d):
     tfs = S.edges(spark, d).select("tf").distinct()
-    return ranking.prefix_rank(tfs, "tf", rank_col="rank", collapse_copies=False)
+    return ranking.range_rank(tfs, "tf", rank_col="rank", collapse_copies=False)
 
 
 # ===================================================================== matrix
