@@ -31,10 +31,10 @@ def remove_padding(ids, mask) -> tuple[Column, Column]:
 
 def softmax(logits) -> Column:
     """Numerically stable softmax of a numeric array."""
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  (else computed again for every item)
     x = _c(logits).cast("array<double>")
-    shifted = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(shifted, lambda v: v / total)
+    shifted = once(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return once(shifted, lambda e: once(F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v), lambda total: F.transform(e, lambda v: v / total)))
 
 
 def positive_probability(logits, index: int = 1) -> Column:

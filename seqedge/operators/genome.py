@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqedge.functions.dna import reverse_complement, slice_closed
+from seqedge.session import cut
 
 DEFAULT_CHUNK = 65536
 
@@ -80,7 +81,7 @@ def contig_lengths(chunks: DataFrame) -> DataFrame:
 
 def extract_intervals(features: DataFrame, chunks: DataFrame, chunk: int = DEFAULT_CHUNK,
                       start: str = "start", stop: str = "stop", contig: str = "contig",
-                      out: str = "sequence") -> DataFrame:
+                      out: str = "sequence", lengths: DataFrame | None = None) -> DataFrame:
     """``seq[start..stop]`` (1-based, closed, clamped at the contig end)
     for every feature row; NULL when the contig is missing (D7).
 
@@ -102,8 +103,9 @@ def extract_intervals(features: DataFrame, chunks: DataFrame, chunk: int = DEFAU
     assembled = parts.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda x: x["p"]), "").alias(out))
     # A known contig with an empty window gives '' (as a slice does); a
-    # missing contig gives NULL. The contig list has one row per contig.
-    known = chunks.select(F.col("contig").alias(contig)).distinct().withColumn("_known", F.lit(True))
+    # missing contig gives NULL. The contig list has one row per contig; a
+    # caller that has it passes it.
+    known = (lengths if lengths is not None else chunks).select(F.col("contig").alias(contig)).distinct().withColumn("_known", F.lit(True))
     return (features.join(assembled, keys, "left").join(known, contig, "left")
             .withColumn(out, F.when(F.col("_known"), F.coalesce(F.col(out), F.lit(""))))
             .drop("_known"))
@@ -137,8 +139,9 @@ def promoters(genes: DataFrame, chunks: DataFrame, width: int = 1000, include_ts
               chunk: int = DEFAULT_CHUNK, strand: str = "strand", out: str = "promoter_sequence") -> DataFrame:
     """Strand-aware promoter sequences, reverse-complemented on ``-``.
     Genes on missing contigs are dropped (inner join, as the reference)."""
-    b = promoter_bounds(genes, contig_lengths(chunks), width, include_tss, strand=strand)
-    seqs = extract_intervals(b, chunks, chunk, start="p_start", stop="p_stop", out="_p")
+    lengths = cut(contig_lengths(chunks), "contig-lengths")  # one row a contig: windows and known contigs
+    b = promoter_bounds(genes, lengths, width, include_tss, strand=strand)
+    seqs = extract_intervals(b, chunks, chunk, start="p_start", stop="p_stop", out="_p", lengths=lengths)
     return (seqs.withColumn(out, F.when(F.col(strand) == "-", reverse_complement("_p")).otherwise(F.col("_p")))
             .drop("_p", "p_start", "p_stop"))
 

@@ -2,9 +2,8 @@
 
 Tables are long: ``prior(gene, tf, value)``, ``gene_seq(gene, sequence)``,
 ``tf_seq(tf, sequence)`` with several rows per TF. The pair table is the
-prior joined to both sides; the prior side keeps its partitioning, the TF
-sequence table is broadcast after a size check, and hot genes are split by
-AQE's skew join.
+prior joined to the TF sequences first and to the genes' DNA last; AQE
+broadcasts a side that it measures as small and splits hot genes and TFs.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from seqedge.functions.numeric import binarize, nan_to_null
 from seqedge.operators.ranking import batch_no, order_key, prefix_rank
 from seqedge.operators.sampling import keep_last
+from seqedge.session import cut
 
 PAIR_COLUMNS = ["gene", "gene_dna", "tf", "tf_dna", "interaction"]
 
@@ -49,15 +49,28 @@ def build(prior: DataFrame, gene_seq: DataFrame, tf_seq: DataFrame, threshold: f
     ``prior``: ``gene, tf, value``; ``gene_seq``: ``gene, sequence``;
     ``tf_seq``: ``tf, sequence``. Cells whose gene or TF has no sequence are
     dropped (see ``missing_report``); NaN/NULL cells are dropped (D1).
+
+    Only ids and short TF sequences cross the shuffles that move pairs: the
+    TF sequences come first (a TF with many of them is a skewed partition
+    that AQE splits), and the genes' DNA, long and one row a gene, is joined
+    last, so it is shuffled once as the gene table and never with a pair.
     """
     cells = clean_prior(prior.select("gene", "tf", value), value)
     genes = unique_genes(gene_seq, order=gene_order)
     tfs = distinct_tf_sequences(tf_seq)
-    return (cells.join(genes, "gene")
-            .join(tfs, "tf")
+    return (cells.join(tfs, "tf")
+            .join(genes, "gene")
             .select("gene", "gene_dna", "tf", "tf_dna", binarize(value, threshold).alias("interaction")))
 
 
+def build_keys(prior: DataFrame, tf_seq: DataFrame, threshold: float = 0.5, value: str = "value") -> DataFrame:
+    """J7 without the genes' DNA: ``gene, tf, tf_dna, interaction`` for every prior
+    cell with a known TF. Whoever joins the gene table later drops the
+    pairs of unknown genes there."""
+    cells = clean_prior(prior.select("gene", "tf", value), value)
+    return cells.join(distinct_tf_sequences(tf_seq), "tf").select("gene", "tf", "tf_dna", binarize(value, threshold).alias("interaction"))
+
+
 def missing_report(prior: DataFrame, gene_seq: DataFrame, tf_seq: DataFrame) -> DataFrame:
     """Ids named by the prior that have no sequence: ``kind`` ('gene' or
     'tf') and ``id``."""
@@ -91,8 +104,6 @@ def shard(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     joined back, so rows of one key always land in one shard.
     """
     keys = df.select(key).distinct().withColumn("_ok", order_key(seed, key))
-    ranked = prefix_rank(keys, "_ok", ties=[key], rank_col="_r", collapse_copies=False)
-    n = keys.count()
-    size = max(1, -(-n // k))
-    shards = ranked.select(key, batch_no("_r", size).alias("shard"))
-    return df.join(shards, key)
+    ranked = cut(prefix_rank(keys, "_ok", ties=[key], rank_col="_r", collapse_copies=False).select(key, "_r"), "ranked-keys")
+    size = max(1, -(-ranked.count() // k))
+    return df.join(ranked.select(key, batch_no("_r", size).alias("shard")), key)

@@ -147,6 +147,22 @@ def range_rank(df: DataFrame, key: str, by: Sequence[str] = (), ties: Sequence[s
     return ranked.select(*cols, (F.col("_se_start") + F.col(_POS) + 1).cast("bigint").alias(rank_col))
 
 
+def range_running_sum(df: DataFrame, key: str, weight: str, ties: Sequence[str] = (), out: str = "before",
+                      ranges: int | None = None) -> DataFrame:
+    """W5 over raw keys: ``out`` is the sum of the integer ``weight`` over all
+    rows before each one in the order of ``key``, ``ties``, the other columns.
+    Ranges by sampled quantiles, as in ``range_rank``."""
+    order = [key, *ties, *_orderable(df, [key, *ties])]
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(_AT, F.monotonically_increasing_id())
+    placed = cut(placed.withColumn(_B, F.shiftright(_AT, 33)), "ranges")
+    earlier = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(_B).agg(F.sum(weight).alias("_se_n")).select(_B, F.coalesce(F.sum("_se_n").over(earlier), F.lit(0)).alias("_se_before"))
+    inside = Window.partitionBy(_B).orderBy(_AT).rowsBetween(Window.unboundedPreceding, -1)
+    sums = (F.col("_se_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).cast("bigint")
+    return placed.join(F.broadcast(totals), _B).select(*df.columns, sums.alias(out))  # a row a range
+
+
 def cut_points(df: DataFrame, key: str, target: Callable[[Column], Column], by: Sequence[str] = (),
                ties: Sequence[str] = (), digits: int = 4) -> DataFrame:
     """Where each ``by`` group is cut when its first ``target(group_total)``

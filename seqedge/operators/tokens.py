@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from seqedge.functions.arrays import array_sum, pad_to  # noqa: F401  (F6, re-exported)
 from seqedge.functions.arrays import remove_padding as _remove_padding
+from seqedge.operators import lists
+from seqedge.operators.ranking import range_running_sum
 from seqedge.operators.sampling import keep_last
+from seqedge.session import cut
 
 # Special tokens of the k-mer vocabulary and their ids.
 CLS_TOKEN = "<cls>"
@@ -27,6 +30,8 @@ UNK_ID = 0
 # (A=0, C=1, G=2, T=3); single-base tokens follow all 4**k k-mers.
 KMER_BASE = 6
 SINGLE_BASES = "ACGTN"
+#: Folder column of caches split by size.
+FILE = "cache_file"
 
 
 def _c(col) -> Column:
@@ -80,28 +85,33 @@ def sequence_ids(seq, k: int = 6) -> Column:
 
 def tokenize_pairs(pairs: DataFrame, k: int = 6, max_length: int | None = None, padding: bool = False,
                    gene: str = "gene", gene_dna: str = "gene_dna", tf: str = "tf", tf_dna: str = "tf_dna",
-                   add_cls: bool = True) -> DataFrame:
+                   add_cls: bool = True, genes: DataFrame | None = None, tfs: DataFrame | None = None) -> DataFrame:
     """F3 + F4 for pair rows, tokenizing each distinct sequence once.
 
     A token never spans ``<cls>`` (it is not a base), so the ids of
-    ``gene <cls> tf`` are ``[cls] + ids(gene) + [cls] + ids(tf)``. Genes and
-    TF sequences are tokenized as distinct rows (partial aggregation
-    dedupes them before the shuffle) and joined back by id, so a 12 kb gene
-    in thousands of pairs is tokenized once; a digest of the gene's DNA tells
-    two sequences of one gene apart. Equal to ``tokenize`` on
-    ``format_pair``; the ``gene_dna`` column is dropped from the output.
+    ``gene <cls> tf`` are ``[cls] + ids(gene) + [cls] + ids(tf)``. With the
+    sequence tables ``genes`` (gene, gene_dna: one row a gene) and ``tfs``
+    (tf, tf_dna: distinct), these are tokenized and joined to the pairs by
+    id, which need not hold any DNA of genes; pairs without a gene drop out.
+    Without them the distinct sequences are taken from the pairs, which are
+    built once more for each, and a digest of the gene's DNA tells two
+    sequences of one gene apart. Equal to ``tokenize`` on ``format_pair``;
+    the ``gene_dna`` column is dropped from the output.
     """
-    pairs = pairs.withColumn("_gmd5", F.coalesce(F.md5(gene_dna), F.lit("")))
-    g = (pairs.select(gene, "_gmd5", gene_dna).groupBy(gene, "_gmd5").agg(F.first(gene_dna).alias(gene_dna))
-         .withColumn("_gids", sequence_ids(gene_dna, k)).drop(gene_dna))
-    t = (pairs.select(tf, tf_dna).distinct()
-         .withColumn("_tids", sequence_ids(tf_dna, k)))
-    # The pair rows drop the gene sequence before the joins (the reference
-    # drops the raw columns after tokenizing too): only ids cross the shuffle,
-    # never a 12 kb string per pair. No eager size check: both sides come out
-    # of an aggregation, so AQE sees their real size and broadcasts a side
-    # only when it is under its threshold.
-    j = pairs.drop(gene_dna).join(g, [gene, "_gmd5"]).drop("_gmd5").join(t, [tf, tf_dna])
+    if tfs is None:
+        tfs = pairs.select(tf, tf_dna).distinct()
+    t = tfs.withColumn("_tids", sequence_ids(tf_dna, k))
+    # Only ids cross the shuffle, never a 12 kb string per pair; AQE sees the
+    # real size of both sides and broadcasts one only under its threshold.
+    if genes is not None:
+        ids, on = pairs.drop(gene_dna), [gene]
+        g = genes.select(gene, sequence_ids(gene_dna, k).alias("_gids"))
+    else:
+        marked, on = pairs.withColumn("_gmd5", F.coalesce(F.md5(gene_dna), F.lit(""))), [gene, "_gmd5"]
+        ids = marked.drop(gene_dna)
+        g = (marked.select(*on, gene_dna).groupBy(*on).agg(F.first(gene_dna).alias(gene_dna))
+             .withColumn("_gids", sequence_ids(gene_dna, k)).drop(gene_dna))
+    j = ids.join(g, on).drop("_gmd5").join(t, [tf, tf_dna])
     head = F.array(F.lit(CLS_ID)) if add_cls else F.array().cast("array<int>")
     ids = F.concat(head, F.col("_gids"), F.array(F.lit(CLS_ID)), F.col("_tids"))
     out = j.withColumn("input_ids", ids).drop("_gids", "_tids")
@@ -139,12 +149,22 @@ def build_cache(tokens: DataFrame, keys: Sequence[str] = ("gene", "tf"), ids: st
                 mask: str = "attention_mask") -> DataFrame:
     """A4: one row per key with all its (padding-free) token sequences,
     sorted, as ``seqs ARRAY<STRUCT<input_ids, attention_mask>>``. A key holds
-    one entry per TF sequence, a small list."""
+    one entry per sequence of its TF; where these are many, ``cache_parts``
+    has them in bounded rows."""
     t = remove_padding(tokens, ids, mask)
     return t.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.struct(F.col(ids).alias("input_ids"), F.col(mask).alias("attention_mask")))).alias("seqs"))
 
 
+def cache_parts(tokens: DataFrame, keys: Sequence[str] = ("gene", "tf"), ids: str = "input_ids",
+                mask: str = "attention_mask", size: int = 1_000) -> DataFrame:
+    """A4 in bounded rows: ``(keys, part, seqs)``, ``size`` sequences to a
+    part, sorted within and across parts. ``lookup``, ``write_cache`` and
+    ``merge_cache`` (list mode: by part) take them as they take one row."""
+    t = remove_padding(tokens, ids, mask).select(*keys, F.struct(F.col(ids).alias("input_ids"), F.col(mask).alias("attention_mask")).alias("_s"))
+    return lists.parts(t, list(keys), "_s", size=size, out="seqs")
+
+
 def lookup(pairs: DataFrame, cache: DataFrame, keys: Sequence[str] = ("gene", "tf"),
            keep_misses: bool = False) -> DataFrame:
     """One row per cached sequence of each pair; a miss gives no row
@@ -158,10 +178,29 @@ def lookup(pairs: DataFrame, cache: DataFrame, keys: Sequence[str] = ("gene", "t
 
 
 def write_cache(cache: DataFrame, path: str, max_records_per_file: int | None = None,
-                mode: str = "errorifexists") -> None:
-    """Persist the cache as Parquet; ``max_records_per_file`` splits
-    large outputs into bounded files (the reference split by size)."""
-    w = cache.write.mode(mode)
+                mode: str = "errorifexists", max_bytes: int | None = None, keys: Sequence[str] = ("gene", "tf")) -> None:
+    """Persist the cache as Parquet. ``max_records_per_file`` splits
+    large outputs by rows; ``max_bytes`` by size, as the reference does: no
+    file holds more than this of token data (before encoding and
+    compression), and all rows of a key lie in one file.
+
+    File numbers come from running byte totals over the keys (their ids and
+    totals alone are ordered); a key that is larger than a file is an error.
+    ``load_tokens`` reads the files as one table again."""
+    w = cache
+    if max_bytes:
+        size = F.aggregate("seqs", F.lit(0).cast("bigint"), lambda a, x: a + 4 * (F.size(x["input_ids"]) + F.size(x["attention_mask"])) + 16)
+        row_bytes = size + sum((F.octet_length(F.col(k).cast("string")) + 8 for k in keys), F.lit(16))
+        totals = cut(cache.groupBy(*keys).agg(F.sum(row_bytes).alias("_bytes")), "cache-bytes")
+        largest = totals.agg(F.max("_bytes")).first()[0] or 0
+        if largest > max_bytes:
+            raise ValueError(f"a key of {largest} bytes does not fit a file of {max_bytes}")
+        # keys that start in one window of this width end before the file is full
+        window = max(1, max_bytes - largest)
+        placed = range_running_sum(totals, keys[0], "_bytes", ties=keys[1:], out="_before")
+        files = placed.select(*keys, F.floor(F.col("_before") / window).cast("bigint").alias(FILE))
+        w = cache.join(files, list(keys)).repartition(FILE)
+    w = w.write.mode(mode).partitionBy(FILE) if max_bytes else w.write.mode(mode)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
     w.parquet(path)
@@ -188,4 +227,4 @@ def save_tokens(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def load_tokens(spark, path: str) -> DataFrame:
     """Load one or many Parquet parts (a directory or glob)."""
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop(FILE)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqedge.functions.arrays import positive_probability
+from seqedge.functions.arrays import softmax
 from seqedge.operators import metrics, pairs, ranking, sampling, scoring
 from seqedge.plans import standins as S
 from seqedge.plans.standins import with_ctes
@@ -272,17 +272,16 @@ def q_metrics_null_audit(spark, d):
 
 
 EMB_SQL = """emb AS (
-  SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS l0, CAST(embedding[2] AS DOUBLE) AS l1,
-         CAST(label >= 5 AS INTEGER) AS y FROM embeddings),
-prob AS (SELECT vec_id, y, exp(l1 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS p1
-         FROM emb)"""
+  SELECT vec_id, CAST(label >= 5 AS INTEGER) AS y,
+         list_transform(embedding, lambda v: exp(CAST(v AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE))) AS e FROM embeddings),
+prob AS (SELECT vec_id, y, list_sum(e[33:64]) / list_sum(e) AS p1 FROM emb)"""
 
 
 def _emb_prob(spark, d):
-    e = S.table(spark, d, "embeddings")
-    logits = F.array(F.element_at("embedding", 1).cast("double"), F.element_at("embedding", 2).cast("double"))
-    return e.select("vec_id", (F.col("label") >= 5).cast("int").alias("y"),
-                    positive_probability(logits).alias("p1"))
+    """The softmax of all 64 values, its upper half as the positive class."""
+    e = S.table(spark, d, "embeddings").withColumn("p", softmax("embedding"))
+    upper = F.aggregate(F.slice("p", 33, 32), F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", (F.col("label") >= 5).cast("int").alias("y"), upper.alias("p1"))
 
 
 @register("metrics_softmax", with_ctes(EMB_SQL) + "SELECT vec_id, y, round(p1, 9) AS p1 FROM prob")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqedge.operators import genome, pairs, ranking, sampling, scoring, tokens
+from seqedge.session import cut
 from seqedge.sources import readers, writers
 
 IDS = ["gene", "tf", "tf_dna"]
@@ -37,7 +38,9 @@ def training_set(prior: DataFrame, gene_seq: DataFrame, tf_seq: DataFrame, thres
     ``int(n_neg * rate)`` when ``rate < 1``, and the dev set capped at
     ``max_eval`` rows. Each random choice has its own seed offset."""
     # Only ids are split and sampled; the rows that stay are tokenized last.
-    ds = pairs.build(prior, gene_seq, tf_seq, threshold).select(*IDS, "interaction")
+    # Split and samples read the labelled keys several times: written once.
+    known = pairs.unique_genes(gene_seq).select("gene")
+    ds = cut(pairs.build_keys(prior, tf_seq, threshold).join(known, "gene", "left_semi").select(*IDS, "interaction"), "pairs")
     s = sampling.split(ds, train_prop, seed=seed, ids=IDS)
     train = s.filter(F.col("split") == "train")
     dev = s.filter(F.col("split") == "dev")
@@ -48,8 +51,8 @@ def training_set(prior: DataFrame, gene_seq: DataFrame, tf_seq: DataFrame, thres
         dev = (ranking.select_first_n(keyed, "_ok", lambda t: F.least(t, F.lit(max_eval)), ties=IDS,
                                       flag_col="_keep")
                .filter("_keep").drop("_keep", "_ok"))
-    kept = train.unionByName(dev).join(pairs.unique_genes(gene_seq), "gene")
-    return tokens.tokenize_pairs(kept, k=k, max_length=max_length).select(
+    return tokens.tokenize_pairs(train.unionByName(dev), k=k, max_length=max_length, genes=pairs.unique_genes(gene_seq),
+                                 tfs=pairs.distinct_tf_sequences(tf_seq)).select(
         *IDS, "interaction", "split", "input_ids", "attention_mask")
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqedge.operators import genome, matrix, metrics, network, ranking
+from seqedge.operators import genome, lists, matrix, metrics, network, pairs, ranking
 from seqedge.plans import standins as S
 from seqedge.plans.catalog import BASE_CTES, PREDICTIONS_SQL, SCORED_PAIRS_SQL, _predictions, _ranking_cte, r9, register
 from seqedge.plans.standins import with_ctes
+from seqedge.session import cut
 
 # ===================================================================== network
 
@@ -67,8 +68,9 @@ def q_network_key_overlap(spark, d):
 @register("network_to_matrix", with_ctes(*NET_CTES) +
           "SELECT DISTINCT gene, tf, CAST(1 AS DOUBLE) AS value FROM restricted")
 def q_network_to_matrix(spark, d):
-    """The wide matrix, its ones unpivoted (a wide form's columns depend on the data)."""
-    return matrix.melt(network.to_matrix(_restricted(spark, d)), "gene").filter("value <> 0")
+    """The matrix's rows (their ones by column number), read back as cells."""
+    rows, numbers = network.sparse_matrix(_restricted(spark, d))
+    return matrix.long_cells(rows, numbers)
 
 
 @register("network_density", with_ctes(*NET_CTES) + """
@@ -86,6 +88,29 @@ def q_network_summary(spark, d):
     return network.summary(S.edges(spark, d))
 
 
+@register("network_sketches", with_ctes(S.EDGES_SQL) + """
+SELECT count(DISTINCT tf) AS n_tfs, count(DISTINCT gene) AS n_genes, count(DISTINCT (tf, gene)) AS n_edges,
+       count(*) AS n_rows, true AS tfs_in_bound, true AS genes_in_bound, true AS edges_in_bound FROM edges""")
+def q_network_sketches(spark, d):
+    """A10 from stored sketches of each line number's edges, united, against the exact counts."""
+    runs_ = S.table(spark, d, "lineitem").select("l_linenumber", F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("tf"),
+                                                 F.concat(F.lit("G"), F.col("l_partkey").cast("string")).alias("gene"))
+    stored = cut(network.sketches(runs_, ["l_linenumber"]), "sketches")
+    got = network.unite_sketches(stored).first()
+    near = {x: F.abs(F.lit(got["n_" + x]) - F.col("n_" + x)) <= network.SKETCH_ERROR * F.col("n_" + x) for x in ("tfs", "genes", "edges")}
+    exact = network.summary(S.edges(spark, d)).drop("n_rows")
+    return exact.select("*", F.lit(got["n_rows"]).cast("bigint").alias("n_rows"), *[near[x].alias(x + "_in_bound") for x in near])
+
+
+@register("rank_common_prefix", """
+SELECT id, l_linenumber, row_number() OVER (ORDER BY id, l_linenumber) AS rank
+FROM (SELECT 'SPECIES_ASSEMBLY_GENE_' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS id, l_linenumber FROM lineitem) x""")
+def q_rank_common_prefix(spark, d):
+    """W6 over raw ids that share a long prefix."""
+    ids = F.concat(F.lit("SPECIES_ASSEMBLY_GENE_"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"))
+    return ranking.range_rank(S.table(spark, d, "lineitem").select(ids.alias("id"), "l_linenumber"), "id", ties=["l_linenumber"])
+
+
 @register("matrix_labels", with_ctes(S.EDGES_SQL) +
           "SELECT tf, row_number() OVER (ORDER BY tf) AS rank FROM (SELECT DISTINCT tf FROM edges) x")
 def q_matrix_labels(spark, d):
@@ -381,7 +406,9 @@ TOKENS_SQL = f"""toks AS (
 
 
 def _tokens(spark, d, padding):
-    return tokens.tokenize_pairs(_pairs(spark, d), k=6, max_length=32, padding=padding).select(
+    genes, tfs = S.genes(spark, d), S.tf_seqs(spark, d)
+    return tokens.tokenize_pairs(pairs.build_keys(S.prior(spark, d), tfs), k=6, max_length=32, padding=padding,
+                                 genes=pairs.unique_genes(genes), tfs=pairs.distinct_tf_sequences(tfs)).select(
         "gene", "tf", "tf_dna", "input_ids", "attention_mask")
 
 
@@ -440,7 +467,7 @@ def q_tokens_lookup(spark, d):
 
 @register("tokens_merge_cache", with_ctes(*BASE_CTES, TOKENS_SQL) + """,
 c0 AS (SELECT gene, tf, list_sort(list(ids)) AS seqs FROM toks GROUP BY gene, tf),
-c1 AS (SELECT gene, tf, list_sort(list(ids[1:8])) AS seqs FROM toks t JOIN pairs p USING (gene, tf, tf_dna)
+c1 AS (SELECT gene, tf, list_sort(list(list_reverse(ids))) AS seqs FROM toks t JOIN pairs p USING (gene, tf, tf_dna)
        WHERE p.interaction = 1 GROUP BY gene, tf)
 SELECT c0.gene, c0.tf, array_to_string(list_transform(coalesce(c1.seqs, c0.seqs), lambda s: array_to_string(s, ' ')), ';') AS seqs
 FROM c0 LEFT JOIN c1 ON c0.gene = c1.gene AND c0.tf = c1.tf""")
@@ -449,8 +476,7 @@ def q_tokens_merge_cache(spark, d):
     part0 = tokens.build_cache(t)
     pos = t.join(_pairs(spark, d).filter(F.col("interaction") == 1).select("gene", "tf", "tf_dna"),
                  ["gene", "tf", "tf_dna"], "left_semi")
-    part1 = tokens.build_cache(pos.withColumn("input_ids", F.slice("input_ids", 1, 8))
-                               .withColumn("attention_mask", F.slice("attention_mask", 1, 8)))
+    part1 = tokens.build_cache(pos.withColumn("input_ids", F.reverse("input_ids")))
     m = tokens.merge_cache([part0, part1], mode="dict")
     return m.select("gene", "tf", _seqs_str().alias("seqs"))
 
@@ -511,6 +537,16 @@ def q_motifs_group_sequences_all(spark, d):
     return g.select("tf", F.array_join("sequences", ",").alias("sequences"))
 
 
+@register("motifs_sequence_parts", with_ctes(S.TF_SEQS_SQL) + """
+SELECT tf, part, array_to_string(list(sequence ORDER BY sequence), ',') AS sequences FROM (
+  SELECT tf, sequence, CAST((row_number() OVER (PARTITION BY tf ORDER BY sequence) - 1) // 2 AS BIGINT) AS part FROM tf_seqs) x
+GROUP BY tf, part""")
+def q_motifs_sequence_parts(spark, d):
+    """A1 in parts of two."""
+    g = motifs.sequence_parts(S.tf_seqs(spark, d), distinct=False, size=2)
+    return g.select("tf", "part", F.array_join("sequences", ",").alias("sequences"))
+
+
 TARGETS_SQL = """targets AS (
   SELECT 'T' || CAST(l_suppkey AS VARCHAR) AS TF, string_agg(DISTINCT 'G' || CAST(l_partkey AS VARCHAR), ', ') AS gene_ids
   FROM lineitem GROUP BY l_suppkey)"""
@@ -545,6 +581,14 @@ def q_motifs_concat_sequences(spark, d):
     return motifs.concat_sequences(_proxy(spark, d), "TF", "Promoter_Sequence", "Gene_ID")
 
 
+@register("motifs_text_parts", with_ctes(S.GENES_SQL, TARGETS_SQL, PROXY_SQL) + """
+SELECT TF, part, string_agg(Promoter_Sequence, ', ' ORDER BY Gene_ID) AS Promoter_Sequence FROM (
+  SELECT *, CAST((row_number() OVER (PARTITION BY TF ORDER BY Gene_ID) - 1) // 50 AS BIGINT) AS part FROM proxy) x GROUP BY TF, part""")
+def q_motifs_text_parts(spark, d):
+    """A24 in parts of 50 promoters."""
+    return lists.text_parts(_proxy(spark, d), "TF", "Promoter_Sequence", "Gene_ID", size=50)
+
+
 INFO_SQL = """info AS (
   SELECT p_brand AS TF_Name, 'T' || CAST(p_partkey AS VARCHAR) AS DBID,
          'M' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS Motif_ID FROM part)"""
@@ -637,6 +681,26 @@ def q_io_matrix_roundtrip(spark, d):
     return readers.read_matrix(spark, path).filter(F.col("value").isNotNull())
 
 
+@register("io_matrix_wide", with_ctes(S.PRIOR_SQL) + "SELECT gene, tf, value FROM prior")
+def q_io_matrix_wide(spark, d):
+    """The transposed matrix: a column for every gene, written and read without a table of that width."""
+    path = writers.scratch_path(spark, "wide-matrix")
+    writers.write_wide(S.prior(spark, d), path, row="tf", col="gene", fill=None)
+    return readers.read_matrix(spark, path, row="tf", col="gene").filter(F.col("value").isNotNull()).select("gene", "tf", "value")
+
+
+@register("io_threshold_log", """
+SELECT round(value / 500, 9) AS best_f1_score, round(value / 1000, 9) AS best_threshold, event_id AS seq FROM events""")
+def q_io_threshold_log(spark, d):
+    """S9 + S8: the threshold log, appended to twice and read back."""
+    log = S.table(spark, d, "events").select(F.round(F.col("value") / 500, 9).alias("best_f1_score"),
+                                             F.round(F.col("value") / 1000, 9).alias("best_threshold"), F.col("event_id").cast("bigint").alias("seq"))
+    path = writers.scratch_path(spark, "threshold-log")
+    for half in (F.col("seq") % 2 == 0, F.col("seq") % 2 != 0):
+        writers.write_jsonl(log.filter(half), path)
+    return readers.read_threshold_log(spark, path)
+
+
 @register("io_edges_roundtrip", with_ctes(S.EDGES_SQL) + "SELECT tf, gene FROM edges")
 def q_io_edges_roundtrip(spark, d):
     path = writers.scratch_path(spark, "edges")
@@ -692,6 +756,35 @@ def q_io_token_cache_roundtrip(spark, d):
     return c.select("gene", "tf", F.size("seqs").alias("n_seqs"), _seqs_str().alias("seqs"))
 
 
+@register("io_tokens_saved", with_ctes(*BASE_CTES, TOKENS_SQL) +
+          "SELECT gene, tf, tf_dna, array_to_string(ids, ' ') AS input_ids FROM toks")
+def q_io_tokens_saved(spark, d):
+    """The tokenized pairs saved and loaded."""
+    path = writers.scratch_path(spark, "tokens")
+    tokens.save_tokens(_tokens(spark, d, padding=False), path)
+    return tokens.load_tokens(spark, path).select("gene", "tf", "tf_dna", _ids_str("input_ids").alias("input_ids"))
+
+
+@register("tokens_cache_parts", with_ctes(*BASE_CTES, TOKENS_SQL) + """
+SELECT tf, part, array_to_string(list(s ORDER BY ids), ';') AS seqs FROM (
+  SELECT tf, ids, array_to_string(ids, ' ') AS s, CAST((row_number() OVER (PARTITION BY tf ORDER BY ids) - 1) // 100 AS BIGINT) AS part FROM toks) x
+GROUP BY tf, part""")
+def q_tokens_cache_parts(spark, d):
+    """A4 over TFs, whose lists grow with the genes, in parts of 100."""
+    parts = tokens.cache_parts(_tokens(spark, d, padding=True), keys=("tf",), size=100)
+    return parts.select("tf", "part", _seqs_str().alias("seqs"))
+
+
+@register("io_cache_by_size", with_ctes(*BASE_CTES, TOKENS_SQL) + """
+SELECT tf, CAST(count(*) AS BIGINT) AS n_seqs, CAST(1 AS BIGINT) AS n_files FROM toks GROUP BY tf""")
+def q_io_cache_by_size(spark, d):
+    """A skewed cache (lists per TF, in parts) in files of 1 MB, each TF in one file."""
+    path = writers.scratch_path(spark, "sized-cache")
+    parts = cut(tokens.cache_parts(_tokens(spark, d, padding=False), keys=("tf",), size=100), "cache-parts")
+    tokens.write_cache(parts, path, max_bytes=1 << 20, keys=("tf",))
+    return spark.read.parquet(path).groupBy("tf").agg(F.sum(F.size("seqs")).alias("n_seqs"), F.count_distinct(tokens.FILE).alias("n_files"))
+
+
 # ===================================================================== runs
 
 from seqedge.operators import runs, scoring  # noqa: E402
@@ -745,10 +838,44 @@ def _scorer(p):
     return scoring.kmer_overlap(p, k=4)
 
 
-@register("runs_iterate")
+def _round_sql(n: int, threshold: str) -> str:
+    """The evaluation of round ``n``, whose labels are the prior at ``threshold``."""
+    return f"""ev{n} AS (SELECT p.prediction, CAST(t.value >= {threshold} AS INTEGER) AS interaction
+        FROM predictions p LEFT JOIN prior t ON p.gene = t.gene AND p.tf = t.tf),
+r{n} AS (WITH {_ranking_cte(f"ev{n}", "prediction", "interaction")} SELECT * FROM rs)"""
+
+
+@register("runs_iterate", with_ctes(*BASE_CTES, SCORED_PAIRS_SQL, PREDICTIONS_SQL, S.GOLD_SQL) + f""",
+rows_ AS (SELECT DISTINCT gene FROM predictions INTERSECT SELECT DISTINCT gene FROM gold),
+cols_ AS (SELECT DISTINCT tf FROM predictions INTERSECT SELECT DISTINCT tf FROM gold),
+-- oracle only: the dense block by brute force
+cells AS (SELECT coalesce(p.prediction, 0.0) AS score, coalesce(CAST(g.value >= 0.5 AS INTEGER), 0) AS label
+          FROM rows_ r CROSS JOIN cols_ c
+          LEFT JOIN predictions p ON p.gene = r.gene AND p.tf = c.tf
+          LEFT JOIN gold g ON g.gene = r.gene AND g.tf = c.tf),
+au AS (WITH {_ranking_cte("cells", "score", "label")} SELECT auprc FROM rs),
+{_round_sql(0, "0.5")},
+t1 AS (SELECT CASE WHEN thr_raw <> 0 THEN thr_raw ELSE 0.5 END AS t FROM r0),
+{_round_sql(1, "(SELECT t FROM t1)")}
+SELECT CAST(0 AS INTEGER) AS round, CAST(0.5 AS DOUBLE) AS threshold, best_f1, best_threshold, roc_auc, (SELECT auprc FROM au) AS auprc_vs_gold FROM r0
+UNION ALL
+SELECT CAST(1 AS INTEGER), round((SELECT t FROM t1), 9), best_f1, best_threshold, roc_auc, (SELECT auprc FROM au) FROM r1""")
 def q_runs_iterate(spark, d):
-    return runs.iterate(spark, S.prior(spark, d), S.genes(spark, d), S.tf_seqs(spark, d), _scorer,
-                        n_rounds=2, threshold=0.5, gold=S.gold(spark, d))
+    out = runs.iterate(spark, S.prior(spark, d), S.genes(spark, d), S.tf_seqs(spark, d), _scorer,
+                       n_rounds=2, threshold=0.5, gold=S.gold(spark, d), digits=9)
+    return out.select(*[r9(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@register("runs_run_name", """
+SELECT p_partkey, 'batching-cw_0.' || CAST(p_size % 10 AS VARCHAR) || '_1.0-dsr_0.' || CAST(p_size % 7 AS VARCHAR)
+       || '-gas_' || CAST(p_size AS VARCHAR) AS run_name FROM part""")
+def q_runs_run_name(spark, d):
+    """F9 over settings held in a table."""
+    from seqedge.functions.text import run_name
+    p = S.table(spark, d, "part")
+    weights = F.concat(F.lit("[0."), (F.col("p_size") % 10).cast("string"), F.lit(",1.0]"))
+    rate = F.concat(F.lit("0."), (F.col("p_size") % 7).cast("string"))
+    return p.select("p_partkey", run_name(weights, rate, "p_size").alias("run_name"))
 
 
 # ===================================================================== user models
@@ -760,12 +887,55 @@ def q_score_pairs_model(spark, d):
     return s.select("gene", "tf", "tf_dna", r9("score").alias("score"))
 
 
-@register("score_edge_classifier")
+CLASSIFIER = {"k": 3, "class_weights": (0.3, 1.0), "max_iter": 8}
+
+
+def _classifier_sql(k: int, class_weights: tuple, max_iter: int) -> str:
+    """The same gradient steps, each a few CTEs; ``w{n}`` are the weights, the intercept under ''."""
+    w0, w1 = class_weights
+    rate = 1.0 / (0.25 * 5 * max(w0, w1))
+    mers = f"list_transform(range(1, length(s) - {k} + 2), lambda i: substring(s, i, {k}))"
+    steps = [f"""seqs AS MATERIALIZED (SELECT sequence AS s FROM genes UNION SELECT sequence FROM tf_seqs),
+vec AS MATERIALIZED (SELECT s, kmer, count(*) / CAST(any_value(length(s) - {k} + 1) AS DOUBLE) AS share
+                     FROM (SELECT s, unnest({mers}) AS kmer FROM seqs) x GROUP BY s, kmer),
+base AS MATERIALIZED (SELECT gene_dna AS g, tf_dna AS t, CAST(interaction AS DOUBLE) AS y, count(*) AS n FROM pairs GROUP BY ALL),
+total AS (SELECT sum(n) AS n FROM base),
+w0 AS MATERIALIZED (SELECT '' AS kmer, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS v)"""]
+    for i in range(max_iter):
+        steps.append(f"""m{i} AS MATERIALIZED (SELECT s, sum(share * w.v) AS m FROM vec JOIN w{i} w USING (kmer) GROUP BY s),
+z{i} AS MATERIALIZED (SELECT g, t, y, n, (SELECT v FROM w{i} WHERE kmer = '') + coalesce(a.m, 0) + coalesce(b.m, 0) AS z
+    FROM base LEFT JOIN m{i} a ON a.s = g LEFT JOIN m{i} b ON b.s = t),
+r{i} AS MATERIALIZED (SELECT g, t, n / (SELECT n FROM total) * ({w1} * y * (1 / (1 + exp(-z)) - 1) + {w0} * (1 - y) / (1 + exp(-z))) AS r FROM z{i}),
+d{i} AS MATERIALIZED (SELECT kmer, sum(share * r) AS d FROM (SELECT g AS s, r FROM r{i} UNION ALL SELECT t, r FROM r{i}) x JOIN vec USING (s) GROUP BY kmer
+    UNION ALL SELECT '', sum(r) FROM r{i}),
+w{i + 1} AS MATERIALIZED (SELECT kmer, w, w + {i / (i + 3)!r} * (w - old) AS v
+    FROM (SELECT d.kmer, coalesce(p.v, 0) - {rate!r} * d.d AS w, coalesce(p.w, 0) AS old FROM d{i} d LEFT JOIN w{i} p USING (kmer)) x)""")
+    n = max_iter
+    steps.append(f"""mf AS MATERIALIZED (SELECT s, sum(share * w.w) AS m FROM vec JOIN w{n} w USING (kmer) WHERE kmer <> '' GROUP BY s)""")
+    return ",\n".join(steps)
+
+
+def _edge_model(spark, d):
+    sequences = S.genes(spark, d).select("sequence").unionByName(S.tf_seqs(spark, d).select("sequence"))
+    return scoring.fit_edge_classifier(_pairs(spark, d), label="interaction", sequences=sequences, **CLASSIFIER), sequences
+
+
+@register("score_edge_classifier", with_ctes(*BASE_CTES, _classifier_sql(**CLASSIFIER)) + f"""
+SELECT gene, tf, tf_dna, interaction,
+       round(1 / (1 + exp(-((SELECT w FROM w{CLASSIFIER["max_iter"]} WHERE kmer = '') + coalesce(a.m, 0) + coalesce(b.m, 0)))), 6) AS score
+FROM pairs LEFT JOIN mf a ON a.s = gene_dna LEFT JOIN mf b ON b.s = tf_dna""")
 def q_score_edge_classifier(spark, d):
-    p = _pairs(spark, d)
-    model = scoring.fit_edge_classifier(p, k=3, num_features=1 << 10, class_weights=(0.3, 1.0),
-                                        label="interaction", max_iter=10)
-    return scoring.predict_edges(model, p, k=3).select("gene", "tf", "tf_dna", "interaction", "score")
+    model, sequences = _edge_model(spark, d)
+    scored = scoring.predict_edges(model, _pairs(spark, d), sequences=sequences)
+    return scored.select("gene", "tf", "tf_dna", "interaction", F.round("score", 6).alias("score"))
+
+
+@register("score_edge_weights", with_ctes(*BASE_CTES, _classifier_sql(**CLASSIFIER)) +
+          f"SELECT kmer, round(w, 6) AS weight FROM w{CLASSIFIER['max_iter']}")
+def q_score_edge_weights(spark, d):
+    model, _ = _edge_model(spark, d)
+    rows = [*model.weights.items(), ("", model.intercept)]
+    return spark.createDataFrame(rows, "kmer string, weight double").select("kmer", F.round("weight", 6).alias("weight"))
 
 
 @register("metrics_class_distribution", """
@@ -791,6 +961,34 @@ from seqedge.plans.catalog import ORACLE as _ORACLE  # noqa: E402
 _ORACLE["io_pwm_roundtrip"] = _ORACLE["motifs_summarize"]
 
 
+@register("io_pwm_corpus", _ORACLE["motifs_summarize"] + """
+UNION ALL SELECT 'H' || CAST(label AS VARCHAR), NULL, NULL, CAST(0 AS INTEGER), NULL FROM (SELECT DISTINCT label FROM embeddings) e""")
+def q_io_pwm_corpus(spark, d):
+    """S7 + A23 in the corpus layout: a file for every motif, some with a header only, all read in one pass."""
+    path = writers.scratch_path(spark, "pwm-corpus")
+    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("pos", "A", "C", "G", "T")])
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n")
+    header = F.lit("Pos\tA\tC\tG\tT")
+    full = _pwm(spark, d).groupBy("motif_id").agg(body.alias("b")).select("motif_id", F.concat(header, F.lit("\n"), F.col("b")).alias("value"))
+    bare = S.table(spark, d, "embeddings").select(F.concat(F.lit("H"), F.col("label").cast("string")).alias("motif_id"), header.alias("value")).distinct()
+    files = full.unionByName(bare).select("value", F.concat("motif_id", F.lit(".txt")).alias("file"))
+    files.write.partitionBy("file").text(path)
+    s = motifs.summarize(readers.read_pwms(spark, path, id_pattern=r"file=([^/]+)\.txt/"))
+    return s.select("motif_id", r9("Information_Content").alias("Information_Content"),
+                    r9("Shannon_Entropy").alias("Shannon_Entropy"), "Length", "Consensus")
+
+
+@register("metrics_fill_nulls", """
+SELECT event_id, CASE WHEN event_type = 'error' OR user_id % 7 = 0 THEN 0.0 ELSE value END AS v, CASE WHEN event_type = 'view' THEN 0 ELSE user_id END AS k,
+       CAST(event_type = 'error' OR user_id % 7 = 0 AS INTEGER) + CAST(event_type = 'view' AS INTEGER) AS n_filled FROM events""")
+def q_metrics_fill_nulls(spark, d):
+    """P20: NULL and NaN filled, with the number of values filled in each row."""
+    ev = S.table(spark, d, "events")
+    holes = ev.select("event_id", F.when(F.col("event_type") == "error", F.lit(float("nan"))).when(F.col("user_id") % 7 != 0, F.col("value")).alias("v"),
+                      F.when(F.col("event_type") != "view", F.col("user_id")).alias("k"))
+    return metrics.fill_nulls(holes, ["v", "k"], count_col="n_filled")
+
+
 # ===================================================================== end-to-end flows
 
 from seqedge.plans import flows  # noqa: E402
@@ -801,7 +999,8 @@ def _md5_ids(seed: int, alias: str = "") -> str:
     return f"md5('{seed}|' || {a}gene || '|' || {a}tf || '|' || {a}tf_dna), {a}gene, {a}tf, {a}tf_dna"
 
 
-@register("flow_training_set", with_ctes(*BASE_CTES, TOKENS_SQL) + f""",
+def _training_sql(cap: str) -> str:
+    return with_ctes(*BASE_CTES, TOKENS_SQL) + f""",
 s AS (SELECT p.gene, p.tf, p.tf_dna, p.interaction, t.ids,
              CASE WHEN row_number() OVER (ORDER BY {_md5_ids(0, 'p')}) <= floor(count(*) OVER () * 0.8)
                   THEN 'train' ELSE 'dev' END AS split
@@ -814,13 +1013,24 @@ WHERE split = 'train' AND interaction > 0
 UNION ALL
 SELECT gene, tf, tf_dna, interaction, split, array_to_string(ids, ' ') FROM neg WHERE r <= floor(n * 0.3)
 UNION ALL
-SELECT gene, tf, tf_dna, interaction, split, array_to_string(ids, ' ') FROM dev WHERE r <= 5000""")
+SELECT gene, tf, tf_dna, interaction, split, array_to_string(ids, ' ') FROM dev{cap}"""
+
+
+@register("flow_training_set", _training_sql(" WHERE r <= 5000"))
 def q_flow_training_set(spark, d):
     t = flows.training_set(S.prior(spark, d), S.genes(spark, d), S.tf_seqs(spark, d), threshold=0.5,
                            train_prop=0.8, downsample_rate=0.3, seed=0, k=6, max_length=32, max_eval=5000)
     return t.select("gene", "tf", "tf_dna", "interaction", "split", _ids_str("input_ids").alias("input_ids"))
 
 
+@register("flow_training_set_whole", _training_sql(""))
+def q_flow_training_set_whole(spark, d):
+    """The same flow with all dev rows."""
+    t = flows.training_set(S.prior(spark, d), S.genes(spark, d), S.tf_seqs(spark, d), threshold=0.5,
+                           train_prop=0.8, downsample_rate=0.3, seed=0, k=6, max_length=32)
+    return t.select("gene", "tf", "tf_dna", "interaction", "split", _ids_str("input_ids").alias("input_ids"))
+
+
 @register("flow_inference", with_ctes(*BASE_CTES, SCORED_PAIRS_SQL, PREDICTIONS_SQL) +
           "SELECT gene, tf, prediction FROM predictions")
 def q_flow_inference(spark, d):
