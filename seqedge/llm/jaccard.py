@@ -7,10 +7,10 @@ order here: shingles whose hash lies in the lowest ``REGION`` of all hashes come
 2. Document frequencies are counted for each set's lowest hashes only. A set keeps its prefix elements that another
    set also has; sets without one have no partner and are done. So are those of which less than t occurs elsewhere.
 3. Sets with the same prefix and size form a group, checked against its leader; members that fail leave it.
-4. Groups meet over (prefix element, size band). Only groups in different components meet, in rounds: each list's pivot
-   first, then every group outside the list's largest component, so the near copies of one text cost one check each
-   and no list is expanded into all its pairs. A pair is filtered first by a bound on the symmetric difference
-   (``WORDS``), then checked by its leaders, then expanded to members.
+4. Groups meet over (prefix element, size band). Only groups in different components meet, in rounds whose pivots per
+   list grow: first a few in crowded lists, so that the near copies of one text become one component at a few checks
+   each, then stretches of all lists until every pair of a list that is still apart has met. A pair is filtered first by
+   its place in the prefix and by a bound on the symmetric difference (``WORDS``), then checked by its leaders, then expanded to members.
 
 Set ids are 64-bit hashes, the copy test compares 128 bits.
 """
@@ -29,8 +29,8 @@ SHINGLE, PERCENT = 5, 80
 #: Part of all hashes whose frequency is counted. A set's prefix is about a fifth of it at 80 %.
 REGION = 0.25
 LOW = int(REGION * 2**64) - 2**63
-#: Pivots of a list in one round after the first.
-PIVOTS = 4096
+#: Lists of a group in the first rounds: the most crowded ones.
+CROWDS = 2
 #: Longs of a set's parity bits: bit i says whether an odd number of its hashes falls on i. Two sets' parity bits differ in
 #: at most as many places as their symmetric difference has elements, so too many differing places rule a link out.
 WORDS = 8
@@ -231,39 +231,26 @@ def links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     # leaders whose members link differ by at most a link's share of the sum of their ``reach``.
     many = nodes.groupBy("g").agg(F.count("*").alias("members")).filter("members > 1").select("g", F.lit(3).alias("times"))
     reach = (F.col("n") * F.coalesce("times", F.lit(1))).alias("reach")
-    entries = nodes.filter("s = g").join(many, "g", "left").select("g", "n", "w", reach, band(F.col("n"), percent).alias("band"), F.explode("p").alias("h")).withColumn(
-        "k", F.explode(F.array("band", F.col("band") + 1))).select("g", "n", "w", "reach", "h", "k", (F.col("band") == F.col("k")).alias("own"))
-    spread = cut(entries, "entries")
+    entries = nodes.filter("s = g").join(many, "g", "left").select("g", "n", "w", reach, band(F.col("n"), percent).alias("band"), F.posexplode("p").alias("at", "h"))
+    entries = cut(entries.withColumn("k", F.explode(F.array("band", F.col("band") + 1))).select(
+        "g", "n", "w", "reach", (F.col("n") - F.col("at")).alias("left"), "h", "k", (F.col("band") == F.col("k")).alias("own"),
+        (F.shiftrightunsigned(F.xxhash64("g"), 11) / float(1 << 53)).alias("u")), "entries")
+    lists = cut(entries.groupBy("h", "k").agg(F.count("*").alias("size"), F.max("own").alias("any")).filter("size > 1 and any").drop("any"), "lists")
+    spread = cut(entries.join(lists, ["h", "k"]), "spread")
     other = nodes.filter("s = g").join(many, "g", "left").select(F.col("g").alias("b"), reach.alias("rb"), F.col("w").alias("wg"))
-    found, first, grown = star.select("a", "b"), True, True
-    while True:
+    top = F.slice(F.sort_array(F.collect_list(F.struct("size", "h", "k")), False), 1, CROWDS)
+    crowded = spread.join(spread.groupBy("g").agg(top.alias("t")).select("g", F.explode("t").alias("t")).select("g", "t.h", "t.k"), ["g", "h", "k"], "left_semi")
+    longest = lists.agg(F.max("size")).first()[0] or 0
+    # before the first round no two leaders are linked: each is its own component
+    found, labels, grown = star.select("a", "b"), None, False
+    for whole, lo, hi in turns(longest):
         if grown:
-            # Components so far. A list whose groups are all in one is done for good.
-            if first:
-                labelled = spread.withColumn("c", F.col("g"))
-            else:
-                labels = cut(components(found), "labels")
-                found = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-                labelled = spread.join(labels.withColumnRenamed("node", "g"), "g", "left").withColumn("c", F.coalesce("component", "g")).drop("component")
-            open_ = labelled.groupBy("h", "k").agg(F.mode("c").alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("any")).filter("lo < hi and any")
-            alive = cut(labelled.join(open_.select("h", "k", "most"), ["h", "k"]), "lists")
-            spread = alive.select("g", "n", "w", "reach", "h", "k", "own")
-        # The first round takes each list's smallest group, mostly the same one in all lists of a cluster. Later rounds
-        # take groups outside the list's largest component that were no pivots yet.
-        if first:
-            pivots = alive.groupBy("h", "k").agg(F.min_by(F.struct("g", "n", "w", "reach", "own", "c"), "g").alias("v")).select("h", "k", "v.*")
-        else:
-            rank = F.row_number().over(Window.partitionBy("h", "k").orderBy("g"))
-            pivots = alive.filter("c <> most").join(tried, ["h", "k", "g"], "left_anti").withColumn("r", rank).filter(F.col("r") <= PIVOTS).select("h", "k", "g", "n", "w", "reach", "own", "c")
-        pivots = cut(pivots, "pivots")
-        if not pivots.take(1):
-            return components(found) if first else labels
-        tried = pivots.select("h", "k", "g") if first else tried.unionByName(pivots.select("h", "k", "g"))
-        v = pivots.select("h", "k", F.col("g").alias("pg"), F.col("n").alias("pn"), F.col("w").alias("pw"), F.col("reach").alias("pr"), F.col("own").alias("po"), F.col("c").alias("pc"))
-        apart = (F.col("c") != F.col("pc")) & (F.col("own") | F.col("po")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & may_link(F.col("reach") + F.col("pr"), "w", "pw", percent)
-        pairs = cut(alive.join(v, ["h", "k"]).filter(apart).select(F.least("g", "pg").alias("a"), F.greatest("g", "pg").alias("b")).distinct(), "pairs")
-        grown = first or bool(pairs.take(1))
-        first = False
+            labels = cut(components(found), "labels")
+            found = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        pairs = meetings(spread if whole else crowded, labels, lo, hi, percent)
+        if pairs is None:  # every list has one component: what is left is linked already
+            break
+        grown = bool(pairs.take(1))
         if not grown:
             continue
         yes = cut(linked(pairs, full, percent), "links")
@@ -274,7 +261,51 @@ def links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         near = rest.join(other, "b").join(ma, "a").filter(may_link(F.col("na") + F.col("rb"), "wa", "wg", percent)).drop("rb", "wg")
         expanded = (near.join(mb, "b").filter("ma <> a or mb <> b").filter(may_link(F.col("na") + F.col("nb"), "wa", "wb", percent))
                     .select(F.col("ma").alias("a"), F.col("mb").alias("b")))
-        found = found.unionByName(yes.select("a", "b")).unionByName(cut(linked(expanded, full, percent).select("a", "b"), "links"))
+        more = cut(linked(expanded, full, percent).select("a", "b"), "links")
+        grown = bool(yes.take(1)) or bool(more.take(1))
+        found = found.unionByName(yes.select("a", "b")).unionByName(more)
+    return components(found) if grown or labels is None else labels
+
+
+def turns(longest: int):
+    """(whole lists?, from, to): the rounds' stretches of a list, in which its pivots lie.
+
+    First, some pivots in each group's most crowded lists only, to make one component of the near copies of a text at
+    a cost of a few checks each. Then, in all lists, stretches that cover them whole and grow as fewer components are left.
+    """
+    yield False, 0, 4
+    lo, hi = 0, 16
+    while lo < longest:
+        yield True, lo, hi
+        lo, hi = hi, hi * 16
+
+
+def meetings(lists: DataFrame, labels: DataFrame | None, lo: int, hi: int, percent: int) -> DataFrame | None:
+    """Pairs of groups (a, b) of different components that may link: in each list, the groups whose places (by a hash, so
+    that no list need be sorted) lie in [lo, hi) meet all groups of other components. None: no list has two components.
+
+    Pivots of the list's largest component only meet the groups outside it; so the work is what is left to be checked.
+    A pair whose first common element is the list's shares at most what both have from there on; in its other
+    lists this bound may drop the pair, as it is kept there if it can link.
+    """
+    if labels is None:
+        labelled = lists.withColumn("c", F.col("g"))
+    else:
+        labelled = lists.join(labels.withColumnRenamed("node", "g"), "g", "left").withColumn("c", F.coalesce("component", "g")).drop("component")
+    counts = labelled.groupBy("h", "k", "c").agg(F.count("*").alias("m"), F.max("own").alias("own"))
+    open_ = counts.groupBy("h", "k").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("parts"), F.max("own").alias("any"))
+    open_ = cut(open_.filter("parts > 1 and any").select("h", "k", "most"), "open")
+    if not open_.take(1):
+        return None
+    alive = labelled.join(open_, ["h", "k"]).withColumn("out", F.col("c") != F.col("most"))
+    place = F.floor(F.col("u") * F.col("size"))
+    pivots = alive.filter((place >= lo) & (place < hi)).select("h", "k", F.col("out").alias("z"), *[F.col(x).alias("p" + x) for x in ("g", "n", "w", "reach", "left", "own", "c")])
+    sides = F.when(F.col("out"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    all_ = alive.select("h", "k", F.explode(sides).alias("z"), "g", "n", "w", "reach", "left", "own", "c")
+    apart = ((F.col("c") != F.col("pc")) & (F.col("own") | F.col("pown")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+             & ((100 + percent) * F.least("left", "pleft") >= percent * (F.col("n") + F.col("pn"))) & may_link(F.col("reach") + F.col("preach"), "w", "pw", percent))
+    met = all_.join(pivots, ["h", "k", "z"]).filter(apart)
+    return cut(met.select(F.least("g", "pg").alias("a"), F.greatest("g", "pg").alias("b")).distinct(), "pairs")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
