@@ -12,15 +12,16 @@ from functools import partial, reduce
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqedge.llm.common import cut, let, or_empty, quoted, table
+from seqedge.llm.common import cut, let, or_empty, quoted, running, table
 
 KINDS = ["email", "ip", "card", "phone"]
-#: The base patterns. Possessive loops read the same spans as plain ones and need no stack on long runs.
+#: The base patterns. Possessive loops read the same spans as plain ones and need no stack on long runs; an address starts
+#: where its run does, or where the last match ended, so a long run is read once.
 BASE = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?=[0-9][\x20-]?[0-9])[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -29,7 +30,7 @@ BASE = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?){15}[0-9]", "phone": r"\+[0-9]"}
 #: More proposals: written-out addresses, numbers in groups without a country code, long numbers in groups.
 MORE = {
-    "email": r"(?i)\b[a-z0-9._%+-]++(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[a-z0-9-]++(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)[a-z0-9-]++)++",
+    "email": r"(?i)(?:(?<![a-z0-9._%+-])|(?<=[^a-z0-9._%+-][._%+-]))[a-z0-9][a-z0-9._%+-]*+(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[a-z0-9-]++(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)[a-z0-9-]++)++",
     "card": r"(?<![0-9.+-])[0-9]{4}(?:[.\x20_/-][0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+.)-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
@@ -47,12 +48,10 @@ def spans(text: Column, pattern: str, needs: str) -> Column:
     where the pieces between matches, and the matches before it, end."""
 
     def placed(matches: Column) -> Column:
-        pieces = F.split(text, pattern, -1)
-        steps = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap")))
-        kind = "struct<at:int,out:array<struct<start:int,end:int,m:string>>>"
-        step = lambda a, x: let(a["at"] + x["gap"], lambda s: F.struct(
-            (s + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("start"), (s + F.length(x["m"])).alias("end"), x["m"].alias("m")))).alias("out")).cast(kind))
-        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind), step)["out"]
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda p: F.length(p))
+        sizes = F.zip_with(gaps, matches, lambda g, m: g + F.length(m))
+        return let(gaps, lambda g: let(running(sizes), lambda at: F.transform(matches, lambda m, k: let(F.get(at, k) + F.get(g, k), lambda s: F.struct(
+            s.alias("start"), (s + F.length(m)).alias("end"), m.alias("m"))))))
 
     none = F.array().cast("array<struct<start:int,end:int,m:string>>")
     there = text.contains(needs) if needs == "@" else text.rlike(needs)
@@ -64,13 +63,14 @@ def every_span(text: Column, pattern: str) -> Column:
 
     def placed(matches: Column) -> Column:
         gaps = F.transform(F.split(text, f"(?={pattern})", -1), lambda p: F.length(p))  # no empty piece before a match at the start
-        skip = F.size(gaps) - F.size(matches)
-        steps = F.zip_with(matches, F.slice(gaps, skip + 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), p.alias("gap")))
-        kind = "struct<at:int,out:array<struct<start:int,end:int,m:string>>>"
-        step = lambda a, x: F.struct(
-            (a["at"] + x["gap"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))).alias("out")).cast(kind)
-        return F.aggregate(steps, F.struct(F.when(skip > 0, F.get(gaps, F.lit(0))).otherwise(0).alias("at"), F.array().alias("out")).cast(kind), step)["out"]
+
+        def of(g: Column) -> Column:
+            skip = F.size(g) - F.size(matches)
+            first = F.when(skip > 0, F.get(g, F.lit(0))).otherwise(0)
+            return let(first, lambda f: let(running(F.slice(g, skip + 1, F.size(matches))), lambda at: F.transform(matches, lambda m, k: F.struct(
+                (f + F.get(at, k)).alias("start"), (f + F.get(at, k) + F.length(m)).alias("end"), m.alias("m")))))
+
+        return let(gaps, of)
 
     none = F.array().cast("array<struct<start:int,end:int,m:string>>")
     return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)), placed)).otherwise(none)
@@ -221,13 +221,56 @@ def train(spark: SparkSession):
     return model, thresholds
 
 
+def contexts(text: Column, found: Column) -> Column:
+    """The proposals with the AROUND code points before them and the 8 after, each cut out of two blocks of the text
+    rather than out of the whole of it."""
+    size = 1024
+
+    def of(blocks: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            b = F.floor(start / size).cast("int")
+            return F.substring(F.concat(F.coalesce(F.get(blocks, b), F.lit("")), F.coalesce(F.get(blocks, b + 1), F.lit(""))), start - b * size + 1, end - start)
+
+        return F.transform(found, lambda x: F.struct(
+            x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"),
+            piece(F.greatest(F.lit(0), x["start"] - AROUND), x["start"]).alias("before"), piece(x["end"], x["end"] + 8).alias("after")))
+
+    none = F.array().cast("array<struct<k:int,start:int,end:int,m:string,before:string,after:string>>")
+    return F.when(F.size(found) == 0, none).otherwise(let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), of))
+
+
+def free(proposed: DataFrame, base: DataFrame) -> DataFrame:
+    """The proposals that touch no base span of their text: in the order of places, where the proposals' ends come before
+    base starts, no base span seen so far may end beyond the proposal's start."""
+    events = proposed.select("uid", "x", F.col("x.end").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("upto")).unionByName(
+        base.select("uid", F.col("b.start").alias("at"), F.lit(1).alias("kind"), F.col("b.end").alias("upto")), allowMissingColumns=True)
+    seen = F.max("upto").over(Window.partitionBy("uid").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return events.withColumn("seen", seen).filter((F.col("kind") == 0) & (F.col("seen").isNull() | (F.col("seen") <= F.col("x.start")))).select("uid", "x").distinct()
+
+
+def apart(chosen: DataFrame) -> DataFrame:
+    """(uid, more): of the chosen spans (uid, p, k, start, end, m) that overlap, the one with the highest score, of equals the
+    longest, then by kind and place. Spans that are not linked by overlaps are judged apart."""
+    in_text = Window.partitionBy("uid").orderBy("start", "end", "k")
+    before = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    opens = chosen.withColumn("new", F.when(F.col("start") < before, 0).otherwise(1))
+    linked = opens.withColumn("chain", F.sum("new").over(in_text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    kind = "array<struct<k:int,start:int,end:int,m:string>>"
+    best = lambda a, x: F.when(F.exists(a, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), a).otherwise(
+        F.concat(a, F.array(F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"))))).cast(kind)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), (F.col("start") - F.col("end")).alias("l"), "k", "start", "end", "m")))
+    kept = linked.groupBy("uid", "chain").agg(F.aggregate(ranked, F.array().cast(kind), best).alias("some"))
+    return kept.groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("some"))).alias("more"))
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """(key, base, more) per input row: arrays of (kind number, start, end, m) of the base spans, and of the proposals
     that the trees select and that touch no base span; both in the order of kind, then start. Of selected proposals that
     overlap, the one with the highest score stays, of equals the longest. ``with_text`` adds the text as t (null as empty).
 
     Null and empty texts have no spans; repeated rows and equal or null keys are searched one by one; an empty table
-    gives no rows; other columns play no part.
+    gives no rows; other columns play no part. Long runs of one kind of character and texts of many spans cost as much
+    as their length; spans of a text meet in one task.
     """
     model, thresholds = train(docs.sparkSession)
     t = F.col("t")
@@ -238,25 +281,18 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bo
     rows = rows.withColumn("found", let(F.struct(*[matched(k).alias(k) for k in KINDS]), lambda a: F.struct(
         F.concat(*[numbered(k, a[k]["kept"]) for k in KINDS]).alias("base"),
         F.concat(*[numbered(k, F.flatten(F.transform(a[k]["failed"], partial(parts, k)))) for k in ("card", "phone")]).alias("parts"))))
-    rows = rows.select("uid", "key", "t", F.col("found.base").alias("base"), F.col("found.parts").alias("parts"))
     more = [numbered(k, every_span(t, MORE[k]) if k != "email" else spans(t, MORE[k], MORE_NEEDS)) for k in MORE]
-    proposed = F.array_distinct(F.concat(*more, F.col("parts")))
-    around = lambda x: F.struct(
-        x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"),
-        F.substring(t, F.greatest(F.lit(1), x["start"] - AROUND + 1), F.least(F.lit(AROUND), x["start"])).alias("before"), F.substring(t, x["end"] + 1, F.lit(8)).alias("after"))
-    fresh_ones = let(F.col("base"), lambda b: F.filter(F.transform(proposed, around), lambda x: ~F.exists(b, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))))
-    carried = ["uid", "key", "base", *(["t"] if with_text else [])]
-    one = rows.select(*carried, F.explode_outer(fresh_ones).alias("x"))
-    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.coalesce(F.col("x.k"), F.lit(0)) + 1)
-    one = one.select(*carried, "x", kind.alias("kind"), *[c.alias(k) for k, c in features(kind, F.col("x.m"), F.col("x.before"), F.col("x.after")).items()])
+    proposals = let(F.concat(*more, F.col("found.parts")), lambda a: contexts(t, a))
+    carried = ["key", "base", *(["t"] if with_text else [])]
+    rows = cut(rows.select("uid", F.col("found.base").alias("base"), "key", *carried[2:], proposals.alias("proposals")), "pii-spans")
+    one = free(rows.select("uid", F.explode("proposals").alias("x")), rows.select("uid", F.explode("base").alias("b")))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("x.k") + 1)
+    one = one.select("uid", "x", kind.alias("kind"), *[c.alias(k) for k, c in features(kind, F.col("x.m"), F.col("x.before"), F.col("x.after")).items()])
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(one)).withColumn("p", vector_to_array("probability")[1])
     least = reduce(lambda rest, k: F.when(F.col("kind") == k, F.lit(thresholds[k])).otherwise(rest), thresholds, F.lit(2.0))
-    chosen = F.when(F.col("x").isNotNull() & (F.col("p") >= least), F.struct((-F.col("p")).alias("o"), (F.col("x.start") - F.col("x.end")).alias("l"), "x.k", "x.start", "x.end", "x.m"))
-    kind = "array<struct<k:int,start:int,end:int,m:string>>"
-    best = lambda a, x: F.when(F.exists(a, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), a).otherwise(
-        F.concat(a, F.array(F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"))))).cast(kind)
-    apart = F.aggregate(F.array_sort(F.collect_list(chosen)), F.array().cast(kind), best)
-    return scored.groupBy(*carried).agg(F.array_sort(apart).alias("more")).select(F.col("key").alias(key), "base", "more", *carried[3:])
+    selected = apart(scored.filter(F.col("p") >= least).select("uid", "p", "x.k", "x.start", "x.end", "x.m"))
+    none = F.array().cast("array<struct<k:int,start:int,end:int,m:string>>")
+    return rows.drop("proposals").join(selected, "uid", "left").select(F.col("key").alias(key), "base", F.coalesce("more", none).alias("more"), *carried[2:])
 
 
 def joined(a: Column) -> Column:
