@@ -1,17 +1,17 @@
 """Quality rules (operator 7): repetition measures and cross-document line frequency, in DataFrame functions only.
 
-A line is boilerplate of its host when more than ``max_docs`` distinct documents of the host hold it, in at least
-``min_contexts`` different surroundings: the lines beside it, or beside the block of such frequent lines that it stands
-in. The second limit keeps copies apart from boilerplate: a thousand copies of one article repeat its lines a thousand
-times, but always between the same neighbours, and judging copies is the work of the near-duplicate join. Blocks count
-only in documents that have text of their own, so that a line that differs does not make the rest of a near copy a block.
+A line is frequent in its host when more than ``max_docs`` documents of the host hold it. It is boilerplate when more than
+``max_docs`` distinct ones do that have text of their own: documents of which frequent lines leave ``min_left`` percent of the
+words, told apart by their longest line that is not frequent. So copies and near copies, whose lines are frequent because
+the whole text is, neither lose their content nor count; judging them is the work of the near-duplicate join. Headers,
+footers and site lines on different documents go, in blocks or between fixed neighbours alike.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqedge.llm.common import WORD, cut, fresh, let, or_empty, quoted, table
@@ -22,15 +22,14 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 @dataclass(frozen=True)
 class Limits:
-    """min_words, max_repeat: the base rules (words; percent of words in repeated windows). max_docs, min_contexts:
-    a line is boilerplate beyond these. min_left: percent of a document's words that must remain without it, and that
-    frequent lines must leave for a document's blocks to count."""
+    """min_words, max_repeat: the base rules (words; percent of words in repeated windows). max_docs: a line of more
+    distinct documents is boilerplate. min_left: percent of a document's words that must remain without boilerplate, and
+    that frequent lines must leave for the document to count as one with text of its own."""
 
     min_words: int = 20
     max_repeat: int = 30
     window: int = 8
     max_docs: int = 20
-    min_contexts: int = 10
     min_left: int = 30
 
 
@@ -87,71 +86,39 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[\s\d]+", " ")))
 
 
-def hashed_lines(text: Column) -> Column:
-    """The lines with a word as structs: i (place among all lines), h (hash of the normalised line), w (words)."""
-    lines = F.transform(F.split(or_empty(text), "\n"), lambda x, k: F.struct(x.alias("x"), k.alias("i")))
-    return F.transform(F.filter(lines, lambda e: e["x"].rlike(r"[^\x20\x09-\x0D]")), lambda e: F.struct(
-        e["i"].alias("i"), F.xxhash64(normal_line(e["x"])).alias("h"), F.regexp_count(e["x"], F.lit(WORD)).alias("w")))
-
-
 def line_structs(text: Column) -> Column:
-    """The lines with a word as structs: h (hash of the normalised line), w (words), c (hash of the neighbours'
-    hashes), first (no equal line before it in the text)."""
-
-    def beside(a: Column, k: Column) -> Column:
-        return F.when(k < 1, None).otherwise(F.try_element_at(a, F.greatest(k, F.lit(1)))["h"])
-
-    def context(a: Column) -> Column:
-        return F.array_sort(F.transform(a, lambda e, k: F.struct(
-            e["h"].alias("h"), e["i"].alias("i"), e["w"].alias("w"), F.xxhash64(beside(a, k), beside(a, k + 2)).alias("c"))))
+    """The lines with a word as structs: h (hash of the normalised line), i (place among all lines), w (words), first (no
+    equal line before it in the text)."""
+    lines = F.transform(F.split(or_empty(text), "\n"), lambda x, k: F.struct(x.alias("x"), k.alias("i")))
+    hashed = F.array_sort(F.transform(F.filter(lines, lambda e: e["x"].rlike(r"[^\x20\x09-\x0D]")), lambda e: F.struct(
+        F.xxhash64(normal_line(e["x"])).alias("h"), e["i"].alias("i"), F.regexp_count(e["x"], F.lit(WORD)).alias("w"))))
+    return let(hashed, lambda a: F.transform(a, lambda e, k: F.struct(
+        e["h"].alias("h"), e["i"].alias("i"), e["w"].alias("w"), F.coalesce(F.get(a, k - 1)["h"] != e["h"], F.lit(True)).alias("first"))))
 
-    def first(a: Column) -> Column:
-        return F.transform(a, lambda e, k: F.struct(
-            e["h"].alias("h"), e["i"].alias("i"), e["w"].alias("w"), e["c"].alias("c"),
-            ((k < 1) | (F.coalesce(beside(a, k) != e["h"], F.lit(True)))).alias("first")))
 
-    return let(let(hashed_lines(text), context), first)
+def measured(docs: DataFrame, text: str, host: str, limits: Limits, **more: Column) -> DataFrame:
+    """(uid, host, m, lines) and ``more`` per row, written: every text is read once, and what follows works on numbers."""
+    return cut(docs.select(F.monotonically_increasing_id().alias("uid"), or_empty(quoted(host).cast("string")).alias("host"),
+                           measures(quoted(text), limits).alias("m"), line_structs(quoted(text)).alias("lines"),
+                           *[c.alias(k) for k, c in more.items()]), "quality-rows")
 
 
-def block_lines(docs: DataFrame, frequent: DataFrame, text: str, host: str, limits: Limits) -> DataFrame:
-    """(host, h): those of the ``frequent`` lines that stand in blocks with ``min_contexts`` different surroundings.
+def each_line(rows: DataFrame) -> DataFrame:
+    return rows.select("uid", "host", F.explode("lines").alias("l")).select("uid", "host", "l.*")
 
-    A block is a run of frequent lines of a document, and its surroundings are the lines before and after the run, so
-    only the frequent lines' rows are shuffled, each with its neighbours' hashes.
-    """
 
-    def beside(lines: Column) -> Column:
-        total = F.aggregate(lines, F.lit(0).cast("long"), lambda a, e: a + e["w"])
-        return let(total, lambda n: F.transform(lines, lambda e, k: F.struct(
-            e["h"].alias("h"), e["w"].alias("w"), k.alias("j"), n.alias("total"),
-            F.when(k > 0, F.get(lines, F.greatest(k - 1, F.lit(0)))["h"]).alias("p"), F.get(lines, k + 1)["h"].alias("q"))))
-
-    line = docs.select(F.monotonically_increasing_id().alias("uid"), or_empty(quoted(host).cast("string")).alias("host"),
-                       let(hashed_lines(quoted(text)), beside).alias("lines"))
-    line = line.select("uid", "host", F.explode("lines").alias("l")).select("uid", "host", "l.*")
-    of_doc = Window.partitionBy("uid")
-    rows = line.join(frequent.select("host", "h"), ["host", "h"], "left_semi").withColumns(
-        {"run": F.col("j") - F.row_number().over(of_doc.orderBy("j")), "own": F.col("total") - F.sum("w").over(of_doc)})
-    of_run = Window.partitionBy("uid", "run")
-    rows = rows.filter(100 * F.col("own") >= limits.min_left * F.col("total")).withColumn(
-        "c", F.xxhash64(F.min_by("p", "j").over(of_run), F.max_by("q", "j").over(of_run)))
-    first = rows.groupBy("uid", "host", "h").agg(F.min_by("c", "j").alias("c"))
-    return (first.groupBy("host", "h", "c").agg(F.count("*").alias("n")).groupBy("host", "h").agg(F.count("*").alias("n_contexts"))
-            .filter(F.col("n_contexts") >= limits.min_contexts).select("host", "h"))
-
-
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = Limits()) -> DataFrame:
-    """(host, h) of each host's boilerplate lines.
-
-    Two partial aggregates find the frequent ones: first per (host, line, surroundings), which spreads a line that a third of all documents
-    hold over many keys and combines in every task, then per (host, line).
-    """
-    line = docs.select(or_empty(quoted(host).cast("string")).alias("host"), F.explode(line_structs(quoted(text))).alias("l"))
-    per_context = line.filter("l.first").groupBy("host", "l.h", "l.c").agg(F.count("*").alias("n"))
-    frequent = cut(per_context.groupBy("host", "h").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_contexts"))
-                   .filter(F.col("n_docs") > limits.max_docs), "frequent-lines")
-    varied = frequent.filter(F.col("n_contexts") >= limits.min_contexts).select("host", "h")
-    return varied.unionByName(block_lines(docs, frequent, text, host, limits)).distinct()
+def boilerplate(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(host, h) of each host's boilerplate lines, from ``measured`` rows. Counts combine in every task, so a line that a third of
+    all documents hold is one row a task."""
+    line = each_line(rows)
+    frequent = cut(line.filter("first").groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > limits.max_docs).select("host", "h"), "frequent-lines")
+    rare = F.col("f").isNull()
+    own = (line.join(frequent.withColumn("f", F.lit(True)), ["host", "h"], "left").groupBy("uid")
+           .agg(F.sum("w").alias("total"), F.sum(F.when(rare, F.col("w"))).alias("own"), F.max_by("h", F.when(rare, F.struct("w", -F.col("i")))).alias("sign"))
+           .filter(100 * F.col("own") >= limits.min_left * F.col("total")).select("uid", "sign"))
+    held = line.filter("first").join(frequent, ["host", "h"], "left_semi").select("uid", "host", "h").join(own, "uid")
+    distinct = held.groupBy("host", "h", "sign").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n"))
+    return cut(distinct.filter(F.col("n") > limits.max_docs).select("host", "h"), "boiler")
 
 
 def verdict(m: Column, removed: Column, limits: Limits) -> tuple[Column, Column]:
@@ -168,40 +135,32 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     A null text has no words and fails; a null host is a host of its own; repeated rows and equal or null keys are
     judged one by one; an empty table gives no rows; other columns, whatever their names, play no part.
     """
-    boiler = cut(frequent_lines(docs, text, host, limits), "boiler").select("host", "h", F.lit(True).alias("boiler"))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"), quoted(key).alias("key"), or_empty(quoted(host).cast("string")).alias("host"),
-        measures(quoted(text), limits).alias("m"), F.transform(line_structs(quoted(text)), lambda x: F.struct(x["h"], x["w"])).alias("lines"))
-    lines = rows.select("uid", "key", "host", "m", F.explode_outer("lines").alias("l")).select("uid", "key", "host", "m", "l.h", "l.w")
-    removed = (lines.join(boiler, ["host", "h"], "left").groupBy("uid", "key", "m")
-               .agg(F.coalesce(F.sum(F.when(F.col("boiler"), F.col("w"))), F.lit(0)).cast("long").alias("n_boiler_words")))
+    rows = measured(docs, text, host, limits, key=quoted(key))
+    removed = each_line(rows).join(boilerplate(rows, limits), ["host", "h"], "left_semi").groupBy("uid").agg(F.sum("w").cast("long").alias("n"))
+    judged = rows.select("uid", "key", "m").join(removed, "uid", "left").withColumn("n_boiler_words", F.coalesce("n", F.lit(0).cast("long")))
     m = F.col("m")
     base_failed, depleted = verdict(m, F.col("n_boiler_words"), limits)
-    return removed.select(F.col("key").alias(key), *[m[c].alias(c) for c in MEASURES], "n_boiler_words",
-                          base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"))
+    return judged.select(F.col("key").alias(key), *[m[c].alias(c) for c in MEASURES], "n_boiler_words",
+                         base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"))
 
 
 def clean(docs: DataFrame, text: str = "text", host: str = "source", size: str | None = "n_chars", limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, with boilerplate lines taken out of their text (and ``size`` set to its new length).
     All columns of ``docs`` stay, whatever they are called; cases as in ``judge``.
 
-    What a document loses depends on its host and text alone, so the lines that go are found per (host, text id) from
-    line hashes, and texts meet them in one join; no text is repeated for each of its lines.
+    What a document loses depends on its host and text alone, so verdicts are found per (host, text id) from line
+    hashes, and each text meets its own in one join; no text is repeated for each of its lines.
     """
-    hst, tid, m, at, gone, h, i, w, n = fresh(docs, "host", "tid", "m", "at", "gone", "h", "i", "w", "n")
-    group = or_empty(quoted(host).cast("string"))
-    boiler = cut(frequent_lines(docs, text, host, limits), "boiler").select(F.col("host").alias(hst), F.col("h").alias(h))
-    lines = docs.select(group.alias(hst), F.md5(or_empty(quoted(text))).alias(tid), F.explode(hashed_lines(quoted(text))).alias("l"))
-    lines = lines.select(hst, tid, F.col("l.h").alias(h), F.col("l.i").alias(i), F.col("l.w").alias(w)).join(boiler, [hst, h], "left_semi")
-    # copies of a text give each line once
-    found = cut(lines.groupBy(hst, tid, i).agg(F.first(w).alias(w)).groupBy(hst, tid).agg(F.collect_set(i).alias(at), F.sum(w).alias(n)), "gone")
-    # explode keeps the measures from being computed a second time in the filter
-    rows = docs.select("*", group.alias(hst), F.md5(or_empty(quoted(text))).alias(tid), F.explode_outer(F.array(measures(quoted(text), limits))).alias(m))
-    base_failed, _ = verdict(F.col(m), F.lit(0), limits)
-    rows = rows.filter(~base_failed).join(found, [hst, tid], "left")
-    _, depleted = verdict(F.col(m), F.coalesce(n, F.lit(0)), limits)
+    hst, tid, at, gone = fresh(docs, "host", "tid", "at", "gone")
+    rows = measured(docs, text, host, limits, tid=F.md5(or_empty(quoted(text))))
+    lost = each_line(rows).join(boilerplate(rows, limits), ["host", "h"], "left_semi").groupBy("uid").agg(F.collect_set("i").alias("at"), F.sum("w").alias("n"))
+    base_failed, depleted = verdict(F.col("m"), F.coalesce("n", F.lit(0)), limits)
+    stays = rows.select("uid", "host", "tid", "m").join(lost, "uid", "left").filter(~base_failed & ~depleted)
+    # copies of a text have the same verdict
+    stays = cut(stays.groupBy("host", "tid").agg(F.first("at").alias("at")), "verdicts").select(F.col("host").alias(hst), F.col("tid").alias(tid), F.col("at").alias(at))
+    whole = docs.select("*", or_empty(quoted(host).cast("string")).alias(hst), F.md5(or_empty(quoted(text))).alias(tid))
     left = F.array_join(F.filter(F.split(quoted(text), "\n"), lambda x, k: ~F.array_contains(F.col(at), k)), "\n")
-    kept = rows.filter(~depleted).withColumn(gone, F.when(F.col(at).isNotNull(), left))
+    kept = whole.join(stays, [hst, tid]).withColumn(gone, F.when(F.col(at).isNotNull(), left))
 
     def column(c: str) -> Column:
         if c == text:
@@ -227,10 +186,10 @@ ln AS (SELECT uid, host, i, l FROM (SELECT uid, host, unnest(string_split(t, chr
        WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT uid, count(*) - count(DISTINCT l) AS n_dup_lines FROM ln GROUP BY uid),
 nl AS (SELECT uid, host, i, lower(trim(regexp_replace(l, '[\t\n\x0B\f\r 0-9]+', ' ', 'g'))) AS h, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM ln),
-cx AS (SELECT *, lag(h) OVER (PARTITION BY uid ORDER BY i) AS p, lead(h) OVER (PARTITION BY uid ORDER BY i) AS q,
-       row_number() OVER (PARTITION BY uid, h ORDER BY i) AS k FROM nl),
-boiler AS (SELECT host, h FROM (SELECT host, h, p, q, count(*) AS n FROM cx WHERE k = 1 GROUP BY host, h, p, q)
-           GROUP BY host, h HAVING sum(n) > 20 AND count(*) >= 10),
+freq AS (SELECT host, h FROM nl GROUP BY host, h HAVING count(DISTINCT uid) > 20),
+mk AS (SELECT nl.uid, nl.h, nl.i, nl.n, f.h IS NULL AS rare FROM nl LEFT JOIN freq f ON nl.host = f.host AND nl.h = f.h),
+own AS (SELECT uid, arg_max(h, (n, -i)) FILTER (WHERE rare) AS sign FROM mk GROUP BY uid HAVING 100 * sum(n) FILTER (WHERE rare) >= 30 * sum(n)),
+boiler AS (SELECT host, h FROM nl JOIN freq USING (host, h) JOIN own USING (uid) GROUP BY host, h HAVING count(DISTINCT sign) > 20),
 gone AS (SELECT uid, sum(n)::BIGINT AS n_boiler_words FROM nl JOIN boiler USING (host, h) GROUP BY uid),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
