@@ -1,12 +1,14 @@
 """HTML extraction (operator 5): consensus host paths.
 
-Every page is read into blocks of text and containers. Containers are scored by their text; each page votes for the
-generalised tag-class path of its best one, Spark counts the votes per host, and the page's text is what the container
-on the winning path holds (the page's own best where it has none), without menus, forms, adverts and the like.
+Every page is read into blocks of text and containers. Containers are scored by their text. From the best one the page
+climbs while what a parent adds is text and not links, and votes for the generalised tag-class path of the container it
+reaches, so that an article of several parts is one; Spark counts the votes per host. The page's text is what all containers
+on the winning path hold (the page's own choice where it has none), without menus, forms, adverts and the like.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -33,6 +35,10 @@ GOOD_WORDS = re.compile(r"article|content|post|entry|story|main|body|text", re.I
 WEIGHT = {"article": 3.0, "main": 2.0, "body": 0.5}
 #: A container's share of its children's scores.
 RISE = 0.5
+#: Most linked characters, of all, in what a parent adds to an article, and in a container that is part of one.
+LINKED = 1 / 3
+#: Characters of a path that are kept as they are; of a longer one a digest goes on.
+PATH = 400
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -44,10 +50,12 @@ NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 
 
 class Page:
-    """blocks: texts in page order. containers: (path, first block, end, score)."""
+    """blocks: texts in page order. sizes: their characters, and those in links. containers: (path, first block, end, score,
+    parent, element, its marks)."""
 
     def __init__(self, source: str):
         self.blocks: list[str] = []
+        self.sizes: list[tuple[int, int]] = []
         self.containers: list[list] = []
         self._words: list[str] = []
         self._linked, self._links = 0, 0
@@ -78,6 +86,7 @@ class Page:
             text = " ".join(html.unescape("".join(self._words)).split())
             if text:
                 self.blocks.append(text)
+                self.sizes.append((len(text), min(self._linked, len(text))))
                 if (c := self._stack[-1][2]) >= 0:
                     self.containers[c][3] += max(0, len(text) - 2 * self._linked) + 20
             self._words, self._linked = [], 0
@@ -102,6 +111,7 @@ class Page:
         if name in CONTAINERS and not noisy:
             label = ".".join([name, *sorted(re.sub(r"\d+", "#", (marks.get("class") or "").lower()).split())[:3]])
             above = self.containers[inside][0] if inside >= 0 else ""
+            above = above if len(above) < PATH else hashlib.md5(above.encode()).hexdigest()
             self.containers.append([f"{above}>{label}" if above else label, len(self.blocks), None, 0.0, inside, name, words])
             inside = len(self.containers) - 1
         self._links += name == "a"
@@ -139,9 +149,28 @@ class Page:
         there = [c for c in self.containers if c[0] == path] or self.containers
         return max(there, key=lambda c: c[3], default=None)
 
+    def linked(self, b: int, e: int) -> tuple[int, int]:
+        """Characters, and those in links, of a stretch of blocks."""
+        return sum(n for n, _ in self.sizes[b:e]), sum(k for _, k in self.sizes[b:e])
+
+    def article(self) -> list | None:
+        """The best container, or the last one on the way up to the body whose parts beside it are text, not links."""
+        c = found = self.best()
+        while c and c[4] >= 0 and self.containers[c[4]][5] != "body":
+            up = self.containers[c[4]]
+            (n, k), (m, j) = self.linked(up[1], c[1]), self.linked(c[2], up[2])
+            if k + j > LINKED * (n + m):
+                break
+            found, c = (up if n + m else found), up
+        return found
+
     def text(self, path: str | None) -> str:
-        c = self.best(path)
-        return " ".join(self.blocks[c[1] : c[2]] if c else self.blocks)
+        there = [c for c in self.containers if c[0] == path]
+        if len(there) > 1:  # parts of one article; lists of links on the same path are none
+            best = self.best(path)
+            there = [c for c in there if c is best or (x := self.linked(c[1], c[2]))[1] <= LINKED * x[0]]
+        there = there or [c for c in [self.article()] if c]
+        return " ".join(" ".join(self.blocks[c[1] : c[2]]) for c in there if c[2] > c[1]) if there else " ".join(self.blocks)
 
 
 def winning_paths(pages: DataFrame, url: str = "url", markup: str = "html") -> DataFrame:
@@ -149,7 +178,7 @@ def winning_paths(pages: DataFrame, url: str = "url", markup: str = "html") -> D
 
     def vote(batches):
         for batch in batches:
-            best = [Page(x.as_py() or "").best() for x in batch.column(1)]
+            best = [Page(x.as_py() or "").article() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b and b[0] for b in best], pa.string()),
                                               pa.array([b and float(b[3]) for b in best], pa.float64())], names=["host", "path", "score"])
 
