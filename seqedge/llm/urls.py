@@ -3,7 +3,9 @@
 Paths become templates level by level. A segment is first generalised by its form (runs of digits), then by statistics:
 rare children of a node with many children become a wildcard, and sibling branches whose counts below them (rest of the
 path, label) do not differ from all siblings' by a chi-squared test, and whose labelled shares are close, merge into one. A template is rejected when the
-smoothed share of bad labels among its labelled pages is high. Labels come from the rules and from a list of host words.
+smoothed share of bad labels among its labelled pages is high. Labels come from the rules and from a list of words in
+path segments, so they differ within a host; what a template without labels is taken for comes from its parent's share, from
+the same template on all other hosts, and from words in the host's name, none of which decides alone.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from seqedge.llm.common import ascii_lower, cut, quoted, table
 
 #: (host, path, verdict): a rule fits its host and all subdomains if the path starts with the rule's; the longest wins.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Host words (between dots, hyphens or the ends) that label a page as bad.
+#: Words (between dots, hyphens, underscores or the ends) that make a host suspect, and that label a page
+#: whose path has them as bad.
 BAD_HOST_WORDS = ["ads", "adult", "casino", "cheap", "free", "poker", "porn", "spam"]
+BAD_PATH_WORDS = ["adult", "betting", "casino", "jackpot", "poker", "porn", "spam", "xxx"]
 
 
 @dataclass(frozen=True)
@@ -26,7 +30,8 @@ class Tree:
     """levels: depth of the tree (deeper segments count as part of the last one). fan, support: children with fewer than
     ``support`` pages are variable where a node has more than ``fan``. strength, prior: pseudo-counts and their bad share
     in the smoothed purity; every page without label weighs ``doubt`` more pseudo-counts. apart: labelled shares that
-    differ by more keep siblings apart, however few their pages. reject: least purity."""
+    differ by more keep siblings apart, however few their pages. suspect: prior of hosts with a bad word. reject: least
+    purity."""
 
     levels: int = 4
     fan: int = 12
@@ -35,8 +40,10 @@ class Tree:
     prior: float = 0.25
     doubt: float = 0.1
     apart: float = 0.2
+    suspect: float = 0.75
     reject: float = 0.6
     bad_words: list[str] = field(default_factory=lambda: list(BAD_HOST_WORDS))
+    bad_path_words: list[str] = field(default_factory=lambda: list(BAD_PATH_WORDS))
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -96,14 +103,29 @@ def templates(parsed: DataFrame, tree: Tree) -> DataFrame:
     shapes = cut(shapes.withColumn("t", t).select("host", "shape", "t", "n", "bad", "good"), "url-shapes")
     for d in range(1, tree.levels + 1):
         shapes = _level(shapes, d, tree)
-    named = shapes.withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", "t")))
+    up = F.concat(F.lit("/"), F.concat_ws("/", F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))))
+    named = shapes.withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", "t"))).withColumn("up", up)
+    sums = lambda by, **more: named.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")], *[x.alias(k) for k, x in more.items()])
+    own = sums(["host", "template"], up=F.min("up"))
+    # back-off: the host's name, the parent (its pages without label count as the name says), the template elsewhere
+    name = F.when(F.col("host").rlike(word_pattern(tree.bad_words)), tree.suspect).otherwise(tree.prior)
+    parent = sums(["host", "up"]).select("host", "up", ((F.col("bad") + name * (F.col("n") - F.col("bad") - F.col("good") + tree.strength)) / (F.col("n") + tree.strength)).alias("above"))
+    world = sums(["template"]).select("template", *[F.col(c).alias("all_" + c) for c in ("n", "bad", "good")])
+    there = own.join(parent, ["host", "up"]).join(world, "template")
+    other = {c: F.col("all_" + c) - F.col(c) for c in ("n", "bad", "good")}
+    far = other["bad"] + other["good"] + tree.strength + tree.doubt * (other["n"] - other["bad"] - other["good"])
+    elsewhere = (other["bad"] + tree.prior * (far - other["bad"] - other["good"])) / far
+    prior = F.when(other["n"] > 0, (name + F.col("above") + elsewhere) / 3).otherwise((name + F.col("above")) / 2)
     weight = F.col("bad") + F.col("good") + tree.strength + tree.doubt * (F.col("n") - F.col("bad") - F.col("good"))
-    judged = named.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")]).withColumn(
-        "purity", (F.col("bad") + tree.prior * (weight - F.col("bad") - F.col("good"))) / weight)
+    judged = there.withColumn("purity", (F.col("bad") + prior * (weight - F.col("bad") - F.col("good"))) / weight)
     judged = judged.select("host", "template", "purity", (F.col("purity") >= tree.reject).alias("rejected"))
     return cut(named.select("host", "shape", "template").join(judged, ["host", "template"]), "url-templates")
 
 
+def word_pattern(words: list[str]) -> str:
+    return r"(^|[/._-])(" + "|".join(words) + r")([/._-]|$)"
+
+
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, tree: Tree = Tree()) -> DataFrame:
     """(key, host, path, rule, verdict, template, purity) per input row.
 
@@ -111,11 +133,10 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: list[
     equal or null keys are judged one by one; an empty table gives no rows; other columns play no part.
     """
     host, path = host_path(quoted(url))
-    bad_host = r"(^|[.-])(" + "|".join(tree.bad_words) + r")([.-]|$)"
     parsed = pages.select(quoted(key).alias("key"), host.alias("host"), path.alias("path"))
     rule, said = longest_rule(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumns({"rule": rule, "said": said, "shape": F.regexp_replace("path", "[0-9]+", "#")})
-    label = F.coalesce(F.col("said"), F.when(F.col("host").rlike(bad_host), "block"), F.lit(""))
+    label = F.coalesce(F.col("said"), F.when(F.lower("path").rlike(word_pattern(tree.bad_path_words)), "block"), F.lit(""))
     known = templates(parsed.select("host", "shape", (label == "block").cast("long").alias("bad"), (label == "allow").cast("long").alias("good")), tree)
     verdict = F.coalesce(F.col("said"), F.when(F.col("rejected"), "block").otherwise("allow"))
     return parsed.join(known, ["host", "shape"], "left").select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

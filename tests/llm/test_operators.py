@@ -330,6 +330,33 @@ def test_urls_merge_and_keep_apart(spark):
     assert {r["verdict"] for r in got.values() if "/de/" not in r["path"]} == {"allow"} and {r["verdict"] for r in got.values() if "/de/" in r["path"]} == {"block"}
 
 
+def test_urls_verdicts_by_template(spark):
+    """Within one host the verdict changes by template; a suspect name alone does not reject a template that is harmless elsewhere."""
+    paths = ["/casino/{}/win"] * 200 + ["/news/{}"] * 200
+    given = [f"http://plain.example.com{p.format(i)}" for i, p in enumerate(paths)] + [f"http://cheap-books.example.com/catalogue/{i}" for i in range(200)]
+    given += [f"http://{h}.example.com/catalogue/{i}" for h in ("one", "two") for i in range(100)] + [f"http://casino-9.example.com/a/{i}" for i in range(50)]
+    got = urls.judge(spark.createDataFrame(list(enumerate(given)), "page_id long, url string")).collect()
+    said = {}
+    for r in got:
+        said.setdefault((r["host"].split(".")[0], r["path"].split("/")[1]), set()).add(r["verdict"])
+    assert said == {("plain", "casino"): {"block"}, ("plain", "news"): {"allow"}, ("cheap-books", "catalogue"): {"allow"}, ("one", "catalogue"): {"allow"},
+                    ("two", "catalogue"): {"allow"}, ("casino-9", "a"): {"block"}}
+
+
+def test_pages_of_nested_and_several_parts(spark):
+    """Nothing of an article in nested or neighbouring containers is lost, and no list of links gained."""
+    words = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    first, second, third = words(900, "a"), words(200, "b"), words(60, "c")
+    menu = "<div class='more'>" + "".join(f"<p><a href='/{i}'>{words(6, 'link')}</a></p>" for i in range(9)) + "</div>"
+    nested = f"<body><div class='top'><a href='/'>Home page of ours</a></div><article><h1>A title</h1><div class='content'><div class='part'><p>{first}</p></div><div class='part'><p>{second}</p></div></div></article>{menu}</body>"
+    beside = f"<body><div class='part'><p>{first}</p></div><div class='part'><p>{third}</p></div><div class='part'>{menu}</div></body>"
+    pages = spark.createDataFrame([(1, "http://x.org/1", nested), (2, "http://y.org/1", beside)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert got == {1: f"A title {first} {second}", 2: f"{first} {third}"}
+    deep = html.Page("<div class='some long class name'>" * 30_000 + "deep")
+    assert sum(len(c[0]) for c in deep.containers) < 30_000 * 500 and deep.text(None) == "deep"
+
+
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     judged = {r["doc_id"] for r in quality.judge(docs).collect() if r["kept"]}
