@@ -22,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqedge.llm.common import cut, fresh, quoted, table
+from seqedge.llm.common import cut, fresh, quoted, release, table
 from seqedge.llm.graph import components
 
 SHINGLE, PERCENT = 5, 80
 #: Part of all hashes whose frequency is counted. A set's prefix is about a fifth of it at 80 %.
 REGION = 0.25
 LOW = int(REGION * 2**64) - 2**63
-#: Lists of a group in the first rounds: the most crowded ones.
+#: Lists of a group in the first round: the most crowded ones.
 CROWDS = 2
+#: Groups of a list that are asked for its largest component.
+DRAWN = 5
 #: Longs of a set's parity bits: bit i says whether an odd number of its hashes falls on i. Two sets' parity bits differ in
 #: at most as many places as their symmetric difference has elements, so too many differing places rule a link out.
 WORDS = 8
@@ -192,6 +194,7 @@ def peeled(full: DataFrame, percent: int) -> DataFrame:
     ``percent`` of a set, so as many of its elements occur in at least two sets. This drops what only has a passage in
     common with others."""
     full = cut(full, "candidate-sets")
+    release(full.sparkSession)
     shared = full.select(F.explode("x").alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
     mine = full.select("s", F.size("x").alias("n"), F.explode("x").alias("h")).join(shared, "h", "left_semi").groupBy("s", "n").agg(F.count("*").alias("c"))
     return full.join(mine.filter(100 * F.col("c") >= percent * F.col("n")).select("s"), "s", "left_semi")
@@ -208,7 +211,9 @@ def band(n: Column, percent: int) -> Column:
 
 def links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the sets that link with another, from ``sets`` (s, n, e, rep) and the texts (key, t)."""
+    spark = sets.sparkSession
     kept = cut(prefixes(sets, percent), "prefixes")
+    release(spark)
     by_prefix = Window.partitionBy("n", "p")
     grouped = cut(kept.withColumn("g", F.min("s").over(by_prefix)), "groups")
     heads = grouped.filter("s = g")
@@ -223,13 +228,14 @@ def links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     full = cut(peeled(full_sets(texts).join(wanted.select("s"), "s", "left_semi").groupBy("s").agg(F.first("x").alias("x"), F.first("w").alias("w")), percent), "sets")
     wanted = wanted.join(full.select("s", "w"), "s").withColumn("g", F.min("s").over(by_prefix)).withColumn("gw", F.min_by("w", "s").over(by_prefix))
 
+    release(spark)
     # 3. members against their leaders; who fails is a group of its own
     star = cut(linked(wanted.filter("s <> g").filter(may_link(2 * F.col("n"), "w", "gw", percent)).select(F.col("g").alias("a"), F.col("s").alias("b")), full, percent), "links")
     nodes = cut(wanted.join(star.select(F.col("b").alias("s"), F.lit(True).alias("in")), "s", "left")
                 .select("s", F.when((F.col("s") == F.col("g")) | F.col("in"), F.col("g")).otherwise(F.col("s")).alias("g"), "n", "p", "w"), "nodes")
     # 4. groups meet. A member differs from its leader by at most a link's share of 2 n, so by the triangle inequality
     # leaders whose members link differ by at most a link's share of the sum of their ``reach``.
-    many = nodes.groupBy("g").agg(F.count("*").alias("members")).filter("members > 1").select("g", F.lit(3).alias("times"))
+    many = cut(nodes.groupBy("g").agg(F.count("*").alias("members")).filter("members > 1").select("g", F.lit(3).alias("times")), "many")
     reach = (F.col("n") * F.coalesce("times", F.lit(1))).alias("reach")
     entries = nodes.filter("s = g").join(many, "g", "left").select("g", "n", "w", reach, band(F.col("n"), percent).alias("band"), F.posexplode("p").alias("at", "h"))
     entries = cut(entries.withColumn("k", F.explode(F.array("band", F.col("band") + 1))).select(
@@ -242,18 +248,24 @@ def links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     crowded = spread.join(spread.groupBy("g").agg(top.alias("t")).select("g", F.explode("t").alias("t")).select("g", "t.h", "t.k"), ["g", "h", "k"], "left_semi")
     longest = lists.agg(F.max("size")).first()[0] or 0
     # before the first round no two leaders are linked: each is its own component
-    found, labels, grown = star.select("a", "b"), None, False
+    found, labels, grown, several = star.select("a", "b"), None, False, bool(many.take(1))
     for whole, lo, hi in turns(longest):
+        release(spark)
         if grown:
             labels = cut(components(found), "labels")
-            found = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found, grown = labels.select(F.col("node").alias("a"), F.col("component").alias("b")), False
         pairs = meetings(spread if whole else crowded, labels, lo, hi, percent)
-        if pairs is None:  # every list has one component: what is left is linked already
+        if pairs is None and whole:  # every list has one component: what can be linked is
             break
+        if pairs is None:
+            continue
         grown = bool(pairs.take(1))
         if not grown:
             continue
         yes = cut(linked(pairs, full, percent), "links")
+        found = found.unionByName(yes.select("a", "b"))
+        if not several:
+            continue
         # expand what the leaders did not link, where a group has more members
         rest = pairs.join(yes, ["a", "b"], "left_anti")
         rest = rest.join(many.select(F.col("g").alias("a")), "a", "left_semi").unionByName(rest.join(many.select(F.col("g").alias("b")), "b", "left_semi")).distinct()
@@ -261,9 +273,7 @@ def links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         near = rest.join(other, "b").join(ma, "a").filter(may_link(F.col("na") + F.col("rb"), "wa", "wg", percent)).drop("rb", "wg")
         expanded = (near.join(mb, "b").filter("ma <> a or mb <> b").filter(may_link(F.col("na") + F.col("nb"), "wa", "wb", percent))
                     .select(F.col("ma").alias("a"), F.col("mb").alias("b")))
-        more = cut(linked(expanded, full, percent).select("a", "b"), "links")
-        grown = bool(yes.take(1)) or bool(more.take(1))
-        found = found.unionByName(yes.select("a", "b")).unionByName(more)
+        found = found.unionByName(linked(expanded, full, percent).select("a", "b"))
     return components(found) if grown or labels is None else labels
 
 
@@ -273,11 +283,11 @@ def turns(longest: int):
     First, some pivots in each group's most crowded lists only, to make one component of the near copies of a text at
     a cost of a few checks each. Then, in all lists, stretches that cover them whole and grow as fewer components are left.
     """
-    yield False, 0, 4
-    lo, hi = 0, 16
+    yield False, 0, 8
+    lo, hi = 0, 64
     while lo < longest:
         yield True, lo, hi
-        lo, hi = hi, hi * 16
+        lo, hi = hi, hi * 64
 
 
 def meetings(lists: DataFrame, labels: DataFrame | None, lo: int, hi: int, percent: int) -> DataFrame | None:
@@ -292,9 +302,11 @@ def meetings(lists: DataFrame, labels: DataFrame | None, lo: int, hi: int, perce
         labelled = lists.withColumn("c", F.col("g"))
     else:
         labelled = lists.join(labels.withColumnRenamed("node", "g"), "g", "left").withColumn("c", F.coalesce("component", "g")).drop("component")
-    counts = labelled.groupBy("h", "k", "c").agg(F.count("*").alias("m"), F.max("own").alias("own"))
-    open_ = counts.groupBy("h", "k").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("parts"), F.max("own").alias("any"))
-    open_ = cut(open_.filter("parts > 1 and any").select("h", "k", "most"), "open")
+    # the largest component is that of most of some groups drawn by hashes; another choice would only mean more work
+    drawn = F.array(*[F.min_by("c", F.xxhash64("g", F.lit(i))) for i in range(DRAWN)])
+    votes = lambda a: F.transform(a, lambda x: F.struct(F.size(F.filter(a, lambda y: y == x)).alias("n"), x.alias("c")))
+    open_ = labelled.groupBy("h", "k").agg(drawn.alias("drawn"), F.min("c").alias("least"), F.max("c").alias("greatest"), F.max("own").alias("any"))
+    open_ = cut(open_.filter("least < greatest and any").select("h", "k", F.array_max(votes(F.col("drawn")))["c"].alias("most")), "open")
     if not open_.take(1):
         return None
     alive = labelled.join(open_, ["h", "k"]).withColumn("out", F.col("c") != F.col("most"))
@@ -318,6 +330,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     rows = cut(sketch(docs, key, text, percent), "sketch")
     sets = cut(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("e").alias("e"))
                .withColumnRenamed("s1", "s"), "distinct-sets")
+    release(docs.sparkSession)
     label = links(sets, docs.select(quoted(key).alias("key"), quoted(text).alias("t")), percent)
     mine = sets.select("s", "s2", "rep").join(label.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
     least = mine.groupBy("component").agg(F.min("rep").alias("component_id"))
