@@ -29,6 +29,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store(uri: str):
+    """(file system, path) of a place on the shared store, for tasks that read or write parts of plain files: a folder that is
+    mounted everywhere, or whatever else ``pyarrow.fs`` opens (HDFS, S3, GCS); any other store raises."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if scheme == "file" else uri).lstrip("/")
+    return fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + colon + rest)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of tables that are no longer in use. Spark removes them when the driver's JVM collects
     its garbage, which a series of small jobs between cuts may not bring about for long."""

@@ -36,7 +36,7 @@ def awkward(spark):
 APPLY = {
     "op1": lambda d: licenses.scan(d), "op2": lambda d: mixing.mix(d), "op4": lambda d: jaccard.classes(d), "op4_keep": lambda d: jaccard.one_of_each(d),
     "op7": lambda d: quality.judge(d), "op7_clean": lambda d: quality.clean(d), "op8": lambda d: sharding.shards(d, limit=100_000), "op9": lambda d: pii.find(d),
-    "op10": lambda d: tokens.scan(tokens.flatten(d)),
+    "op10": lambda d: tokens.count(d),
 }
 
 
@@ -277,7 +277,7 @@ def test_tokens_stitch_blocks_and_files(spark, scratch):
     tokens.RUN = 4
     try:
         for block in (7, 64, 100_000):
-            got = sorted(tokens.scan(tokens.token_files(spark, scratch, block=block)).collect(), key=lambda r: r["doc_no"])
+            got = sorted(tokens.scan(tokens.token_files(tokens.listing(spark, scratch), block=block, stretch=6 * block)).collect(), key=lambda r: r["doc_no"])
             assert [r["n_tokens"] for r in got] == want and [r["start"] for r in got] == [0, *[int(e) + 1 for e in ends if e < len(stream) - 1]]
     finally:
         tokens.RUN = old
@@ -286,7 +286,7 @@ def test_tokens_stitch_blocks_and_files(spark, scratch):
 def test_tokens_query(spark, rows):
     encode = tokens.encoder(tokens.VOCABULARY).encode_ordinary
     assert dict(tokens.op10_token_counts(spark, SF).collect()) == {k: len(encode(t or "")) for k, t in rows}
-    small = tokens.scan(tokens.flatten(spark.read.parquet(f"{SF}/documents.parquet"), block=50))
+    small = tokens.count(spark.read.parquet(f"{SF}/documents.parquet"), block=50)
     assert {r["id"]: r["n_tokens"] for r in small.collect()} == {k: len(encode(t or "")) for k, t in rows}
 
 
