@@ -1,27 +1,32 @@
 """Benchmark decontamination (operator 3): a generalised suffix automaton of the normalised test items; every document's
 words stream through it and the longest matching lengths say which words lie in a window of an item.
 
-A window is ``window`` consecutive words of an item, or a whole item of fewer. Items are taken in bounded shards, each
-an automaton that is broadcast; documents pass through the shards one after another in narrow steps, without a shuffle.
+A window is ``window`` consecutive words of an item, or a whole item of fewer. Items are dealt to bounded shards, each
+an automaton that a task builds and writes to the shared folder; documents are matched where they lie, a chunk with one shard after another, without a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqedge.llm.common import fresh, quoted, table
+from seqedge.llm.common import cut, fresh, or_empty, quoted, store, table
 
 #: Words are [0-9a-z] and everything beyond ASCII, after A-Z are lower-cased; any other byte separates.
 FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+JVM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -135,17 +140,52 @@ def spans_of(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
 
 
-def automata(benchmark: DataFrame, key: str, text: str, window: int, shard_words: int) -> Iterator[Automaton]:
-    """An automaton for each shard of at most ``shard_words`` words (or one longer item); items come to the driver shard by shard."""
-    shard, size = [], 0
-    for r in benchmark.select(F.coalesce(quoted(key).cast("string"), F.lit("")).alias("k"), quoted(text).alias("t")).toLocalIterator():
-        ws = words_of(None if r["t"] is None else r["t"].encode())
-        if shard and size + len(ws) > shard_words:
-            yield Automaton(shard, window)
-            shard, size = [], 0
-        shard.append((r["k"], ws))
-        size += len(ws)
-    yield Automaton(shard, window)
+def automata(benchmark: DataFrame, key: str, text: str, window: int, shard_words: int) -> list[str]:
+    """Files of the items' automata, each of about ``shard_words`` words (or one longer item): items are dealt by a hash, built in
+    tasks and written to the shared folder. The driver sees file names only, a few for a shard."""
+    items = benchmark.select(F.coalesce(quoted(key).cast("string"), F.lit("")).alias("k"), or_empty(quoted(text)).alias("t")).distinct()
+    total = items.agg(F.sum(F.regexp_count("t", F.lit(JVM_WORD)))).first()[0] or 0
+    n = max(1, -(-total // shard_words))
+
+    def build(rows):
+        built = Automaton([(k, words_of(t.encode())) for k, t in zip(rows["k"], rows["t"])], window)
+        return pd.DataFrame({"automaton": [pickle.dumps(built, pickle.HIGHEST_PROTOCOL)]})
+
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("k", "t"), F.lit(n))).repartition(n, "shard")
+    return sorted(cut(dealt.groupBy("shard").applyInPandas(build, "automaton binary"), "leak-automata").inputFiles())
+
+
+def stored(files: list[str]) -> Iterator[Automaton]:
+    """The automata in ``files``, one in memory at a time."""
+    for name in files:
+        where, at = store(name)
+        with where.open_input_file(at) as f:
+            for batch in pq.ParquetFile(f).iter_batches(1, columns=["automaton"]):
+                yield pickle.loads(batch.column(0)[0].as_py())
+
+
+_HELD: dict[str, list[Automaton]] = {}
+
+
+def held(name: str) -> list[Automaton]:
+    """The automata of a single file, read once by a Python worker."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = list(stored([name]))
+    return _HELD[name]
+
+
+def chunks(batches, size: int):
+    """Lists of Arrow batches of about ``size`` bytes each."""
+    some, n = [], 0
+    for batch in batches:
+        some.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
 
 
 def by_place(df: DataFrame) -> DataFrame:
@@ -154,7 +194,7 @@ def by_place(df: DataFrame) -> DataFrame:
 
 
 def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10,
-          shard_words: int = 300_000) -> DataFrame:
+          shard_words: int = 300_000, chunk_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` with n_words, spans (word numbers: begin, end, ...), items (ids, sorted) and n_longest.
 
     Null and empty texts have no words; items without words match nothing; repeated items, and items without an id
@@ -162,33 +202,35 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     either side gives no rows or no hits. Columns whose names clash with the new ones are renamed by nobody: the new
     ones take an underscore.
     """
-    spark = docs.sparkSession
     words, spans, items, longest = fresh(docs, "n_words", "spans", "items", "n_longest")
     new = [(words, "bigint", pa.int64()), (spans, "array<bigint>", pa.list_(pa.int64())), (items, "array<string>", pa.list_(pa.string())), (longest, "bigint", pa.int64())]
-    out = docs.withColumns({n: F.lit(None).cast(t) for n, t, _ in new})
-    where = docs.columns.index(text)
-    for built in automata(benchmark, item, item_text, window, shard_words):
-        shared = spark.sparkContext.broadcast(built)
-
-        def run(batches, shared=shared, names=out.columns, base=len(docs.columns)):
-            automaton = shared.value
-            for batch in batches:
-                cells = [[], [], [], []]
-                had = [batch.column(base + 1), batch.column(base + 2), batch.column(base + 3)]
-                for j, t in enumerate(batch.column(where).cast(pa.binary())):
-                    ws = words_of(t.as_py())
-                    hit, found, length = automaton.match(ws)
-                    if had[0][j].is_valid:  # what earlier shards found
-                        runs = had[0][j].as_py()
-                        for b, e in zip(runs[::2], runs[1::2]):
-                            hit[b:e] = True
-                        found, length = found | set(had[1][j].as_py()), max(length, had[2][j].as_py())
-                    for cell, value in zip(cells, (len(ws), spans_of(hit), sorted(found), length)):
-                        cell.append(value)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:base], *(pa.array(c, t) for c, (_, _, t) in zip(cells, new))], names=names)
-
-        out = by_place(out).mapInArrow(run, out.schema)
-    return out
+    schema = docs.withColumns({n: F.lit(None).cast(t) for n, t, _ in new}).schema
+    where, names = docs.columns.index(text), schema.names
+    files = automata(benchmark, item, item_text, window, shard_words)
+
+    def run(batches):
+        # One shard is read once. Of several, each is read for a chunk of documents at a time, so a task holds one automaton.
+        for chunk in chunks(batches, 0 if len(files) == 1 else chunk_bytes):
+            seen = [[[0, [], set(), 0] for _ in range(batch.num_rows)] for batch in chunk]
+            first = True
+            for automaton in itertools.chain(held(files[0]) if len(files) == 1 else stored(files), [None]):  # the last only counts words, if there was no shard
+                if automaton is None and not first:
+                    break
+                for batch, found in zip(chunk, seen):
+                    for t, cell in zip(batch.column(where).cast(pa.binary()), found):
+                        ws = words_of(t.as_py())
+                        cell[0] = len(ws)
+                        if automaton is not None:
+                            hit, ids, length = automaton.match(ws)
+                            for b, e in zip(cell[1][::2], cell[1][1::2]):  # what earlier shards found
+                                hit[b:e] = True
+                            cell[1:] = spans_of(hit), cell[2] | ids, max(cell[3], length)
+                first = False
+            for batch, found in zip(chunk, seen):
+                cells = zip(*((n, s, sorted(i), m) for n, s, i, m in found)) if found else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, (_, _, t) in zip(cells, new))], names=names)
+
+    return by_place(docs).mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: str | None = "n_chars", max_coverage: float = 0.5, **options) -> DataFrame:
