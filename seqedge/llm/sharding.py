@@ -7,12 +7,14 @@ is as fine as the total size asks for, and only prefixes that are still too larg
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seqedge.llm.common import cut, fresh, or_empty, quoted, table
+from seqedge.llm.common import cut, fresh, quoted, table
 
 #: Bits of a row's hash: 64 from its key and text, then 62 from its place, which part repeated rows.
 KEY_BITS, BITS = 64, 126
@@ -30,6 +32,20 @@ def prefix(depth: Column | int) -> Column:
     return F.substring(bits, F.lit(1), depth if isinstance(depth, Column) else F.lit(depth))
 
 
+def row_bytes(docs: DataFrame) -> Column:
+    """What a row weighs: 8 bytes, the bytes of its strings and binaries, the JSON text of its nested columns, and 8 for any other column."""
+
+    def one(field: T.StructField) -> Column:
+        c = quoted(field.name)
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0))
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+        return F.lit(8)
+
+    return functools.reduce(lambda a, b: a + b, [one(f) for f in docs.schema], F.lit(8).cast("long"))
+
+
 def directory(rows: DataFrame, limit: int, step: int = 6) -> DataFrame:
     """(shard, depth, shard_bytes, shard_rows): the buckets of an extendible hash over ``rows`` (h1, h2, bytes).
 
@@ -66,18 +82,19 @@ def directory(rows: DataFrame, limit: int, step: int = 6) -> DataFrame:
 def shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with shard (hash prefix), shard_depth, shard_bytes and row_bytes; clashing input columns keep their names.
 
-    Null keys and texts hash as nulls; a null or empty text weighs only the row's fixed 16 bytes; repeated rows part
+    Null keys and texts hash as nulls; a row weighs all its columns (``row_bytes``), null or empty texts nothing; repeated rows part
     by their place; an empty table gives no rows.
     """
     h1, h2, size, out_shard, out_depth, out_bytes, out_row = fresh(docs, "h1", "h2", "bytes", "shard", "shard_depth", "shard_bytes", "row_bytes")
     a, b = hash_bits(docs, key, text)
-    keyed = docs.select(a.alias("h1"), b.alias("h2"), (F.octet_length(or_empty(quoted(text).cast("string"))) + 16).cast("long").alias("bytes"),
+    keyed = docs.select(a.alias("h1"), b.alias("h2"), row_bytes(docs).alias("bytes"),
                         F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
     books = cut(directory(keyed.select("h1", "h2", "bytes"), limit), "shard-directory")
     low = books.agg(F.min("depth").alias("d")).first()["d"] or 0
-    books = books.withColumn("low", F.substring("shard", F.lit(1), F.lit(low)))
-    # An equi-join on the shallowest bucket's bits, then the one bucket below it that the row's bits spell out.
-    placed = keyed.withColumn("low", prefix(low)).join(books, "low").filter(prefix(F.col("depth")) == F.col("shard"))
+    # The depths (at most BITS) that occur below each prefix of the shallowest bucket's length: a row meets the one
+    # bucket that its bits spell out at one of these depths, however many buckets lie there.
+    depths = books.groupBy(F.substring("shard", F.lit(1), F.lit(low)).alias("low")).agg(F.collect_set("depth").alias("depths"))
+    placed = keyed.withColumn("low", prefix(low)).join(depths, "low").withColumn("at", F.explode("depths")).withColumn("shard", prefix(F.col("at"))).join(books, "shard")
     return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("shard").alias(out_shard), F.col("depth").alias(out_depth),
                          F.col("shard_bytes").alias(out_bytes), F.col("bytes").alias(out_row))
 

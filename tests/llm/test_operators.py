@@ -142,6 +142,33 @@ def test_shards_fit_and_are_a_directory(spark):
     assert len(sharding.shards(docs.limit(5), limit=10**9).select("shard").distinct().collect()) == 1
 
 
+def test_shards_brute_force(spark):
+    """Buckets split in plain Python, one bit at a time; every column weighs, and copies and one heavy prefix make deep buckets."""
+    docs = spark.createDataFrame([(i, "x" * (i % 50) * 20, "s" * (i % 7), ["a"] * (i % 3), None) for i in range(2000)] + [(7, "same" * 10, "s", None, b"12345")] * 300 + [(-1, None, None, [], b"")],
+                                 "doc_id long, text string, source string, tags array<string>, raw binary")
+    a, b = sharding.hash_bits(docs, "doc_id", "text")
+    rows = docs.select(a.alias("h1"), b.alias("h2"), sharding.row_bytes(docs).alias("bytes"), F.struct(*docs.columns).alias("row")).collect()
+    for r in rows:
+        d = r["row"]
+        tags = 0 if d["tags"] is None else len("[" + ",".join(f'"{t}"' for t in d["tags"]) + "]")
+        assert r["bytes"] == 16 + len(d["text"] or "") + len(d["source"] or "") + tags + len(d["raw"] or b"")
+    spelt = [(f"{r['h1'] % 2**64:064b}{r['h2']:062b}", r["bytes"]) for r in rows]
+    for limit in (5_000, 50_000, 10**9):
+        want, todo = {}, [("", spelt)]
+        while todo:
+            at, mine = todo.pop()
+            if sum(n for _, n in mine) <= limit or len(mine) <= 1:
+                want[at] = (len(mine), sum(n for _, n in mine))
+            else:
+                todo += [(at + c, part) for c in "01" if (part := [x for x in mine if x[0][len(at)] == c])]
+        got = {}
+        for r in sharding.shards(docs, limit=limit).collect():
+            n, size = got.get(r["shard"], (0, 0))
+            got[r["shard"]] = (n + 1, size + r["row_bytes"])
+            assert r["shard_depth"] == len(r["shard"]) and r["shard_bytes"] == want[r["shard"]][1]
+        assert got == want
+
+
 def test_quality_boilerplate_and_copies(spark):
     body = lambda i: "\n".join(" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}{chr(97 + m)}" for m in range(9)) for j in range(6))
     docs = [(i, f"{body(i)}\nSubscribe to us 12\n{body(i + 100)}", "s") for i in range(40)]
