@@ -181,6 +181,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(s, n, p): of each set that may have a partner, its prefix elements that another set has, in the common order."""
     found = sets.select("s", "n", F.size("e").alias("m"), F.explode("e").alias("h"))
     shared = cut(sets.select(F.explode("e").alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    release(sets.sparkSession)
     inside = F.col("h") < LOW
     mine = found.join(shared, "h").groupBy("s", "n", "m").agg(F.array_sort(F.collect_list(
         F.struct(~inside, F.when(inside, F.col("df")).otherwise(0).alias("df"), "h"))).alias("p"))
@@ -195,9 +196,13 @@ def peeled(full: DataFrame, percent: int) -> DataFrame:
     common with others."""
     full = cut(full, "candidate-sets")
     release(full.sparkSession)
-    shared = full.select(F.explode("x").alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
+    # each shuffle of all elements is let go before the next one, so that one of them is on disk at a time
+    shared = cut(full.select(F.explode("x").alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h"), "shared-elements")
+    release(full.sparkSession)
     mine = full.select("s", F.size("x").alias("n"), F.explode("x").alias("h")).join(shared, "h", "left_semi").groupBy("s", "n").agg(F.count("*").alias("c"))
-    return full.join(mine.filter(100 * F.col("c") >= percent * F.col("n")).select("s"), "s", "left_semi")
+    kept = cut(mine.filter(100 * F.col("c") >= percent * F.col("n")).select("s"), "kept-sets")
+    release(full.sparkSession)
+    return full.join(kept, "s", "left_semi")
 
 
 def needed_sql(n: Column, percent: int) -> Column:
