@@ -111,7 +111,8 @@ def tokenize_pairs(pairs: DataFrame, k: int = 6, max_length: int | None = None,
         ids = marked.drop(gene_dna)
         g = (marked.select(*on, gene_dna).groupBy(*on).agg(F.first(gene_dna).alias(gene_dna))
              .withColumn("_gids", sequence_ids(gene_dna, k)).drop(gene_dna))
-    j = ids.join(g, on).drop("_gmd5").join(t, [tf, tf_dna])
+    # the long ids of the genes come last, so no pair carries them through a shuffle
+    j = ids.join(t, [tf, tf_dna]).join(g, on).select(tf, tf_dna, gene, *[c for c in ids.columns if c not in (tf, tf_dna, gene, "_gmd5")], "_gids", "_tids")
     head = F.array(F.lit(CLS_ID)) if add_cls else F.array().cast("array<int>")
     ids = F.concat(head, F.col("_gids"), F.array(F.lit(CLS_ID)), F.col("_tids"))
     out = j.withColumn("input_ids", ids).drop("_gids", "_tids")
