@@ -228,6 +228,7 @@ def links(sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     lists = lists.join(met, ["h", "k"], "left_semi")
     some = lists.select("g").unionByName(grouped.filter("s <> g").select("g")).distinct()
     wanted = cut(grouped.join(some, "g", "left_semi").select("s", "g", "n", "p"), "candidates")
+    release(spark)
     reps = sets.join(wanted.select("s"), "s", "left_semi").select("rep").distinct()
     texts = docs.join(reps, F.col("key").eqNullSafe(F.col("rep")), "left_semi")
     full = cut(peeled(full_sets(texts).join(wanted.select("s"), "s", "left_semi").groupBy("s").agg(F.first("x").alias("x"), F.first("w").alias("w")), percent), "sets")
@@ -332,8 +333,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     (null, if there is no other); repeated rows, and equal keys, are judged by their texts one by one; an empty table
     gives no rows; other columns play no part.
     """
-    rows = cut(sketch(docs, key, text, percent), "sketch")
-    sets = cut(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("e").alias("e"))
+    # the hashes are made twice, so that only those of distinct sets are kept on disk
+    made = sketch(docs, key, text, percent)
+    rows = cut(made.drop("e"), "sketch")
+    sets = cut(made.filter("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("e").alias("e"))
                .withColumnRenamed("s1", "s"), "distinct-sets")
     release(docs.sparkSession)
     label = links(sets, docs.select(quoted(key).alias("key"), quoted(text).alias("t")), percent)
