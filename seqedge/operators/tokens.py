@@ -32,6 +32,8 @@ KMER_BASE = 6
 SINGLE_BASES = "ACGTN"
 #: Folder column of caches split by size.
 FILE = "cache_file"
+#: Column of pairs with the token ids of their TF sequence.
+TF_IDS = "_tids"
 
 
 def _c(col) -> Column:
@@ -83,6 +85,11 @@ def sequence_ids(seq, k: int = 6) -> Column:
     return F.transform(toks, lambda t: token_id(t, k)).cast("array<int>")
 
 
+def with_sequence_ids(tfs: DataFrame, tf_dna: str = "tf_dna", k: int = 6, out: str = TF_IDS) -> DataFrame:
+    """The sequence table with each sequence's token ids, for pairs that keep them (``pairs.build_keys``)."""
+    return tfs.withColumn(out, sequence_ids(tf_dna, k))
+
+
 def tokenize_pairs(pairs: DataFrame, k: int = 6, max_length: int | None = None, padding: bool = False,
                    gene: str = "gene", gene_dna: str = "gene_dna", tf: str = "tf", tf_dna: str = "tf_dna",
                    add_cls: bool = True, genes: DataFrame | None = None, tfs: DataFrame | None = None) -> DataFrame:
@@ -93,36 +100,43 @@ def tokenize_pairs(pairs: DataFrame, k: int = 6, max_length: int | None = None,
     sequence tables ``genes`` (gene, gene_dna: one row a gene) and ``tfs``
     (tf, tf_dna: distinct), these are tokenized and joined to the pairs by
     id, which need not hold any DNA of genes; pairs without a gene drop out.
-    Without them the distinct sequences are taken from the pairs, which are
+    Pairs that already hold the TF's ids (``TF_IDS``) are not joined to
+    ``tfs`` once more. Without tables the distinct sequences are taken from the pairs, which are
     built once more for each, and a digest of the gene's DNA tells two
     sequences of one gene apart. Equal to ``tokenize`` on ``format_pair``;
     the ``gene_dna`` column is dropped from the output.
     """
-    if tfs is None:
-        tfs = pairs.select(tf, tf_dna).distinct()
-    t = tfs.withColumn("_tids", sequence_ids(tf_dna, k))
+    # what stands before and after the gene's ids is put there once a gene
+    head = F.array(F.lit(CLS_ID)) if add_cls else F.array().cast("array<int>")
+    gids = F.concat(head, sequence_ids(gene_dna, k), F.array(F.lit(CLS_ID))).alias("_gids")
     # Only ids cross the shuffle, never a 12 kb string per pair; AQE sees the
     # real size of both sides and broadcasts one only under its threshold.
     if genes is not None:
         ids, on = pairs.drop(gene_dna), [gene]
-        g = genes.select(gene, sequence_ids(gene_dna, k).alias("_gids"))
+        g = genes.select(gene, gids)
     else:
         marked, on = pairs.withColumn("_gmd5", F.coalesce(F.md5(gene_dna), F.lit(""))), [gene, "_gmd5"]
         ids = marked.drop(gene_dna)
-        g = (marked.select(*on, gene_dna).groupBy(*on).agg(F.first(gene_dna).alias(gene_dna))
-             .withColumn("_gids", sequence_ids(gene_dna, k)).drop(gene_dna))
+        g = marked.select(*on, gene_dna).groupBy(*on).agg(F.first(gene_dna).alias(gene_dna)).select(*on, gids)
+    if TF_IDS in pairs.columns:
+        known = ids
+    else:
+        known = ids.join(with_sequence_ids(pairs.select(tf, tf_dna).distinct() if tfs is None else tfs, tf_dna, k), [tf, tf_dna])
     # the long ids of the genes come last, so no pair carries them through a shuffle
-    j = ids.join(t, [tf, tf_dna]).join(g, on).select(tf, tf_dna, gene, *[c for c in ids.columns if c not in (tf, tf_dna, gene, "_gmd5")], "_gids", "_tids")
-    head = F.array(F.lit(CLS_ID)) if add_cls else F.array().cast("array<int>")
-    ids = F.concat(head, F.col("_gids"), F.array(F.lit(CLS_ID)), F.col("_tids"))
-    out = j.withColumn("input_ids", ids).drop("_gids", "_tids")
-    if max_length is not None:
-        out = out.withColumn("input_ids", F.slice("input_ids", 1, max_length))
-    out = out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
-    if padding and max_length is not None:
-        out = (out.withColumn("input_ids", pad_to("input_ids", max_length, PAD_ID))
-               .withColumn("attention_mask", pad_to("attention_mask", max_length, 0)))
-    return out
+    kept = [c for c in ids.columns if c not in (tf, tf_dna, gene, "_gmd5", TF_IDS)]
+    j = known.join(g, on).select(tf, tf_dna, gene, *kept, "_gids", TF_IDS)
+    parts = [F.col("_gids"), F.col(TF_IDS)]
+    n = F.size("_gids") + F.size(TF_IDS)
+    if max_length is None:
+        return j.withColumns({"input_ids": F.concat(*parts), "attention_mask": F.array_repeat(F.lit(1), n)}).drop("_gids", TF_IDS)
+    n = F.least(n, F.lit(max_length))
+    if not padding:
+        out = j.withColumns({"input_ids": F.slice(F.concat(*parts), 1, max_length), "attention_mask": F.array_repeat(F.lit(1), n)})
+        return out.drop("_gids", TF_IDS)
+    # both are cut out of constants: the padding follows the ids, the mask is a stretch of ones and then zeros
+    pad, ones, zeros = (F.array_repeat(F.lit(x), max_length) for x in (PAD_ID, 1, 0))
+    mask = F.slice(F.concat(ones, zeros), F.lit(max_length + 1) - n, F.lit(max_length))
+    return j.withColumns({"input_ids": F.slice(F.concat(*parts, pad), 1, max_length), "attention_mask": mask}).drop("_gids", TF_IDS)
 
 
 def remove_padding(df: DataFrame, ids: str = "input_ids", mask: str = "attention_mask") -> DataFrame:
