@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqedge import session
-from seqedge.operators import lists, ranking
+from seqedge.operators import lists, motifs, ranking
 from seqedge.plans import queries_more
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +77,11 @@ def test_text_parts_of_many_promoters(spark, small_tasks):
     whole = got.groupBy("TF").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "Promoter_Sequence"))), lambda x: x["Promoter_Sequence"]), ", ").alias("s"))
     assert rows_of(whole) == rows_of(targets.groupBy("TF").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("Gene_ID", "Promoter_Sequence"))), lambda x: x["Promoter_Sequence"]), ", ").alias("s")))
+
+
+def test_whole_texts_of_many_promoters(spark, small_tasks):
+    got = queries_more.q_motifs_concat_sequences(spark, SF)
+    assert min(n for keys, n in dealt_to(got) if keys == "TF") > 8
+    assert dict(rows_of(got)) == {tf: s for tf, s in rows_of(queries_more._proxy(spark, SF).groupBy("TF").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("Gene_ID", "Promoter_Sequence"))), lambda x: x["Promoter_Sequence"]), ", ")))}
+    assert min(n for keys, n in dealt_to(motifs.group_sequences(spark.range(3_000).select((F.col("id") % 9).alias("tf"), F.col("id").cast("string").alias("sequence")))) if keys == "tf") > 8
