@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqedge import session
 from seqedge.operators import lists, motifs, ranking
-from seqedge.plans import queries_more
+from seqedge.plans import catalog, queries_more
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +85,18 @@ def test_whole_texts_of_many_promoters(spark, small_tasks):
     assert dict(rows_of(got)) == {tf: s for tf, s in rows_of(queries_more._proxy(spark, SF).groupBy("TF").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("Gene_ID", "Promoter_Sequence"))), lambda x: x["Promoter_Sequence"]), ", ")))}
     assert min(n for keys, n in dealt_to(motifs.group_sequences(spark.range(3_000).select((F.col("id") % 9).alias("tf"), F.col("id").cast("string").alias("sequence")))) if keys == "tf") > 8
+
+
+@pytest.mark.parametrize("name", ["pairs_build", "score_mean_by_pair", "eval_against_prior"])
+def test_pairs_of_many_cells(spark, monkeypatch, name):
+    want = rows_of(catalog.QUERIES[name](spark, SF))
+    monkeypatch.setattr(session, "TASK_BYTES", 16_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = catalog.QUERIES[name](spark, SF)
+        by = [(keys, n) for keys, n in dealt_to(got) if keys in ("l_partkey, l_suppkey", "tf", "gene", "gene, tf")]
+        assert {"l_partkey, l_suppkey", "tf", "gene"} <= {keys for keys, _ in by}
+        # only the gene table itself goes to the shuffle partitions
+        assert rows_of(got) == want and [keys for keys, n in by if n <= 8] in ([], ["gene"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
