@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqedge.llm import jaccard
 from seqedge.operators import pairs, tokens
+from seqedge.plans import queries_more
 from seqedge.sources import readers, writers
 
 
@@ -53,3 +54,30 @@ def test_hashes_are_kept_of_distinct_sets_only(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == jaccard.brute_force(rows)
     assert written["sketch"] == ["key", "n", "s1", "s2"]
+
+
+def test_a_file_for_each_motif_is_written_and_listed_in_bounded_parts(spark, scratch, monkeypatch):
+    """Driver memory must not grow with the motifs: no read lists more than a part's files, and all motifs come out."""
+    rows = [(i, [float((i * j) % 7 + 1) for j in range(1, 65)], i % 3) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{scratch}/embeddings.parquet")
+    listed, real = [], readers.read_pwms
+    monkeypatch.setattr(writers, "FILES_AT_ONCE", 10)
+
+    def seen(spark, path, **kw):
+        listed.append(len(spark.read.text(path).inputFiles()))
+        return real(spark, path, **kw)
+
+    monkeypatch.setattr(readers, "read_pwms", seen)
+    got = {r["motif_id"]: tuple(r)[1:] for r in queries_more.q_io_pwm_corpus(spark, scratch).collect()}
+    want = {r["motif_id"]: tuple(r)[1:] for r in queries_more.q_motifs_summarize(spark, scratch).collect()}
+    assert got == want | {f"H{i}": (None, None, 0, None) for i in range(3)}
+    assert sum(listed) == 43 and len(listed) == 5 and max(listed) < 25
+
+
+def test_parts_of_keys_are_whole_and_keep_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(writers, "FILES_AT_ONCE", 4)
+    df = spark.range(60).select(F.when(F.col("id") % 20 > 0, F.col("id") % 20).alias("k"), "id")
+    parts = [[tuple(r) for r in p.collect()] for p in writers.key_batches(df, "k")]
+    assert len(parts) == 5 and sorted(i for p in parts for _, i in p) == list(range(60))
+    assert sum(len({k for k, _ in p}) for p in parts) == 20
+    assert [p.count() for p in writers.key_batches(df.limit(0), "k")] == [0]
